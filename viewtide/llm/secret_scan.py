@@ -127,8 +127,11 @@ def digests(found: DataFrame) -> DataFrame:
     def text(which: Column) -> Column:
         return F.array_join(F.transform(which, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def count(rank: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_KINDS))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 

@@ -210,14 +210,21 @@ def class_edges(classes: DataFrame, radius: int = RADIUS, n_pivots: int = 24) ->
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) edges with u > v -> (node, component): the smallest node reachable, for every node that has an edge.
 
-    Each round gives every node the smallest of itself and its neighbours and puts that in its place in the edges, until
-    no edge is left. At least every second node of what is left goes in a round.
+    Each round points every node to the smallest of itself and its neighbours, follows the pointers to their ends by
+    doubling, and puts the ends in the nodes' places in the edges, until no edge is left. An end has a neighbour that points
+    to it, so a round leaves at most half of the nodes, and doubling takes the logarithm of the longest way.
     """
     edges = cut(edges.where("u <> v"))
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         to = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")).select(F.col("u").alias("node"), "to"))
+        while True:
+            ends = to.where("node <> to").select(F.col("node").alias("to"), F.col("to").alias("after"))
+            farther = cut(to.join(ends, "to", "left").select("node", F.coalesce("after", "to").alias("to"), F.col("after").isNotNull().alias("moved")))
+            to = farther.drop("moved")
+            if farther.where("moved").isEmpty():
+                break
         if labels is None:
             labels = to.select("node", F.col("to").alias("component"))
         else:
