@@ -236,8 +236,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 4, r
     members = members.select("g", "part", "block", "leaf", "c", "v")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"q": pd.Series([], dtype="int64"), "best": pd.Series([], dtype=object)})
         if left.empty or right.empty:
-            return pd.DataFrame({"q": [], "best": []})
+            return nothing
         left = left.sort_values("leaf", kind="stable")
         x, ids, leaf = np.stack(left["v"].to_numpy()), left["c"].to_numpy(), left["leaf"].to_numpy()
         y, q = np.stack(right["x"].to_numpy()), right["q"].to_numpy()
@@ -260,7 +261,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 4, r
             which.append(who[i])
             what.append(a + j)
         if not which:
-            return pd.DataFrame({"q": [], "best": []})
+            return nothing
         i, j = np.concatenate(which), np.concatenate(what)
         score = np.zeros(len(i))
         for c in range(d):
