@@ -1,7 +1,7 @@
 """Token ids as flat binary files.
 
-Format of a shard: ``NAME.ids`` holds the ids of its documents one after another as little-endian unsigned 32-bit integers,
-``NAME.off`` one more little-endian unsigned 64-bit integer than it has documents (where each begins, counted in ids, and
+Format of a shard: ``NAME.ids`` holds the ids of its documents one after another as little-endian unsigned integers of 16
+bits, or of 32 where the vocabulary has more ids than that (the report of a shard says which), ``NAME.off`` one more little-endian unsigned 64-bit integer than it has documents (where each begins, counted in ids, and
 the end), ``NAME.doc`` the doc_ids as 64-bit integers (the smallest one stands for null). Shards hold ascending doc_id
 ranges; a shard's base, the ids before it, is the prefix sum over the shards' sizes, so a document's place in the whole
 is base + offset. Readers map the files into memory and touch only the pages they need.
@@ -18,6 +18,7 @@ repeated doc_ids keep the order of their texts; other columns are ignored; an em
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,8 +39,13 @@ TABLE_ROWS = 500_000
 TABLE_BYTES = 64
 
 
-class WordIds(dict):
-    """word (UTF-8) -> its ids as little-endian unsigned 32-bit integers."""
+class WordIds:
+    """word (UTF-8) -> its ids as little-endian integers of ``kind``, through the library.
+
+    The library's own normalising and cutting are the slow part, so words of ASCII and Latin-1 letters are lower-cased and
+    cut here, and what they are cut into goes to the library's model, once for each distinct piece of a word; all other
+    words go through the whole library. Two bounded generations of tables keep what is frequent.
+    """
 
     def __init__(self, model: str):
         import os
@@ -47,18 +53,64 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_file(model))
+        self.kind = id_kind(model)
+        self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.cuts: dict[str, bytes] = {}
+        # Only vocabularies that lower-case and cut as word_bpe_49k.json does have the short way.
+        self.short_way = model == MODEL
+
+    def turn(self) -> None:
+        if len(self.words) > TABLE_ROWS // 2:
+            self.old_words, self.words = self.words, {}
+        if len(self.cuts) > TABLE_ROWS // 2:
+            self.cuts = {}
 
     def add(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+        slow, cuts, get, model = [], self.cuts, self.cuts.get, self.tokenizer.model
+        for word in words:
+            text = word.decode()
+            if not self.short_way or not PLAIN.fullmatch(text) or "<|" in text:
+                slow.append(word)
+                continue
+            parts = CUT.findall(text.lower())
+            found = [get(p) for p in parts]
+            for i, ids in enumerate(found):
+                if ids is None:
+                    p = parts[i]
+                    ids = np.array([x.id for x in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS))], self.kind).tobytes()
+                    found[i] = ids
+                    if len(p) <= TABLE_BYTES:
+                        cuts[p] = ids
+            self.words[word] = b"".join(found)
+        for at in range(0, len(slow), 4096):
+            part = slow[at : at + 4096]
             for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[word] = np.array(e.ids, "<u4").tobytes()
+                self.words[word] = np.array(e.ids, self.kind).tobytes()
+
+
+#: How the vocabulary's file cuts normalised text, for the letters that PLAIN lets through.
+CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+
+
+def _byte_chars() -> dict[int, int]:
+    """The character that byte-level vocabularies write for each byte: printable Latin-1 stands for itself, the rest follow from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
+@lru_cache(maxsize=4)
+def id_kind(model: str) -> str:
+    """The smallest of 16 and 32 bits that holds the vocabulary's ids."""
+    from tokenizers import Tokenizer
 
-    def __missing__(self, word: bytes) -> bytes:
-        self.add([word])
-        return self[word] if len(word) <= TABLE_BYTES else self.pop(word)
+    return "<u2" if Tokenizer.from_file(tokenizer_file(model)).get_vocab_size() <= 1 << 16 else "<u4"
 
 
 @lru_cache(maxsize=2)
@@ -67,24 +119,31 @@ def word_ids(model: str) -> WordIds:
 
 
 def encode_texts(texts: list[str], model: str = MODEL) -> list[bytes]:
-    """The ids of each text as bytes, without an end id."""
+    """The ids of each text as little-endian integers of id_kind(model), without an end id."""
     table = word_ids(model)
-    if len(table) > TABLE_ROWS:
-        table.clear()
+    table.turn()
     # bytes.split() splits at ASCII white space, no more.
     words = [t.encode("utf-8", "replace").split() for t in texts]
-    table.add([w for w in set().union(*words) - table.keys() if len(w) <= TABLE_BYTES])
-    return [b"".join(map(table.__getitem__, w)) for w in words]
+    missing = set().union(*words) - table.words.keys()
+    again = missing & table.old_words.keys()
+    table.words.update(zip(again, map(table.old_words.__getitem__, again), strict=True))
+    table.add(list(missing - again))
+    out = [b"".join(map(table.words.__getitem__, w)) for w in words]
+    for word in missing:
+        if len(word) > TABLE_BYTES:
+            del table.words[word]
+    return out
 
 
 def write_token_files(docs: DataFrame, model: str = MODEL, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
-    """Writes docs in ascending doc_id order. Returns a row for each shard: shard, path, n_docs, n_ids, base."""
+    """Writes docs in ascending doc_id order. Returns a row for each shard: shard, path, n_docs, n_ids, base, folder, kind."""
     import pyarrow as pa
 
     spark = docs.sparkSession
     text_batches(spark)
     folder = folder or shared_folder(spark, "token-ids")
-    end = np.array([end_id], "<u4").tobytes()
+    kind = id_kind(model)
+    end = np.array([end_id], kind).tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -103,7 +162,7 @@ def write_token_files(docs: DataFrame, model: str = MODEL, end_id: int = END_ID,
             for ids in encode_texts([t or "" for _, t in rows], model):
                 files["ids"].write(ids)
                 files["ids"].write(end)
-                sizes.append(len(ids) // 4 + 1)
+                sizes.append(len(ids) // len(end) + 1)
             files["doc"].write(np.array([NO_DOC if d is None else d for d, _ in rows], "<i8").tobytes())
             n_docs += len(rows)
         if files:
@@ -116,7 +175,7 @@ def write_token_files(docs: DataFrame, model: str = MODEL, end_id: int = END_ID,
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards = cut(ordered.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))).withColumn("folder", F.lit(folder))
+    return shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))).withColumn("folder", F.lit(folder)).withColumn("kind", F.lit(kind))
 
 
 def mapped(fs, path: str, kind: str) -> np.ndarray:
@@ -132,21 +191,21 @@ def mapped(fs, path: str, kind: str) -> np.ndarray:
 
 
 def read_token_files(shards: DataFrame, digest_only: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32, and unless digest_only the ids."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 (of its ids as 32-bit integers), and unless digest_only the ids."""
     import pyarrow as pa
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, folder, base in rows_of(batch, "path", "folder", "base"):
+            for path, folder, base, kind in rows_of(batch, "path", "folder", "base", "kind"):
                 fs, _ = open_fs(folder)
-                ids, off, doc = mapped(fs, f"{path}.ids", "<u4"), mapped(fs, f"{path}.off", "<u8"), mapped(fs, f"{path}.doc", "<i8")
+                ids, off, doc = mapped(fs, f"{path}.ids", kind), mapped(fs, f"{path}.off", "<u8"), mapped(fs, f"{path}.doc", "<i8")
                 for at in range(0, len(doc), 1000):
                     spans = list(zip(off[at : at + 1000].tolist(), off[at + 1 : at + 1001].tolist(), strict=False))
                     cols = [
                         pa.array([None if d == NO_DOC else d for d in doc[at : at + 1000].tolist()], pa.int64()),
                         pa.array([base + a for a, _ in spans], pa.int64()),
                         pa.array([z - a for a, z in spans], pa.int64()),
-                        pa.array([zlib.crc32(ids[a:z]) for a, z in spans], pa.int64()),
+                        pa.array([zlib.crc32(ids[a:z].astype("<u4")) for a, z in spans], pa.int64()),
                     ]
                     if not digest_only:
                         cols.append(pa.array([ids[a:z].astype(np.int64) for a, z in spans], pa.list_(pa.int64())))
