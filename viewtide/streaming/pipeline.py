@@ -1,8 +1,8 @@
 """The change stream as a Structured Streaming query: transactions in, routed and sequenced changes out, exactly once.
 
 Each micro-batch is routed and sequenced as a whole against versioned state (the parent index and each partition's last
-sequence number), and publishes its changes and the new state as one version under its batch id. A batch that runs again
-after a failure finds its version published and does nothing.
+sequence number), and publishes its changes, the new state and its batch id as one version. A batch that runs again after a
+failure finds its id published and does nothing.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ class ChangeStream:
     def take(self, batch: DataFrame, batch_id: int) -> bool:
         """One micro-batch. False if it was taken before."""
         last = self.state.current()
-        if batch_id <= last:
+        if batch_id <= self.taken(last):
             return False
         changes = cut(exploded(_numbered(batch)))
         index, sequences, put_aside = (self.state.read(n, last) for n in ("parents", "sequences", "quarantined"))
@@ -47,8 +47,16 @@ class ChangeStream:
         newest = sequenced.groupBy("partition").agg(F.max("seq").alias("seq"))
         if sequences is not None:
             newest = newest.unionByName(sequences).groupBy("partition").agg(F.max("seq").alias("seq"))
-        tables = {"changes": goes, "aside": stays, "dropped": routed.where("partition is null"), "parents": latest_parents(parent_updates(changes, self.schema), index), "sequences": newest, "quarantined": aside}
-        return self.state.publish(batch_id, tables)
+        tables = {"changes": goes, "aside": stays, "dropped": routed.where("partition is null"), "parents": latest_parents(parent_updates(changes, self.schema), index), "sequences": newest, "quarantined": aside, "batch": self._batch(batch_id)}
+        return self.state.publish(last + 1, tables)
+
+    def taken(self, version: int | None = None) -> int:
+        """The last batch's id, -1 before the first."""
+        row = self.state.read("batch", version)
+        return row.first()["id"] if row is not None else -1
+
+    def _batch(self, batch_id: int) -> DataFrame:
+        return self.spark.createDataFrame([(batch_id,)], "id long")
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(lambda df, i: self.take(df, i)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
@@ -69,7 +77,7 @@ class ChangeStream:
         old = self.state.read("quarantined", version)
         new = self.spark.createDataFrame([(partition, reason)], "partition string, reason string")
         tables = {n: df for n in ("parents", "sequences") if (df := self.state.read(n, version)) is not None}
-        self.state.publish(version + 1, tables | {"quarantined": new if old is None else old.unionByName(new)})
+        self.state.publish(version + 1, tables | {"batch": self._batch(self.taken(version)), "quarantined": new if old is None else old.unionByName(new)})
 
 
 class SequenceProcessor(StatefulProcessor):
