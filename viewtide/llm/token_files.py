@@ -35,7 +35,7 @@ MODEL = "word_bpe_49k.json"
 END_ID = 1
 NO_DOC = -(2**63)
 #: Words that a worker's table holds, and the longest word it keeps.
-TABLE_ROWS = 500_000
+TABLE_ROWS = 800_000
 TABLE_BYTES = 64
 
 
@@ -68,7 +68,7 @@ class WordIds:
             self.cuts = {}
 
     def add(self, words: list[bytes]) -> None:
-        slow, cuts, get, model = [], self.cuts, self.cuts.get, self.tokenizer.model
+        slow, cuts, get, model, size = [], self.cuts, self.cuts.get, self.tokenizer.model, int(self.kind[2:])
         for word in words:
             text = word.decode()
             if not self.short_way or not PLAIN.fullmatch(text) or "<|" in text:
@@ -79,7 +79,8 @@ class WordIds:
             for i, ids in enumerate(found):
                 if ids is None:
                     p = parts[i]
-                    ids = np.array([x.id for x in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS))], self.kind).tobytes()
+                    tokens = model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS))
+                    ids = b"".join([x.id.to_bytes(size, "little") for x in tokens])
                     found[i] = ids
                     if len(p) <= TABLE_BYTES:
                         cuts[p] = ids
