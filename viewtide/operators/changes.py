@@ -142,12 +142,15 @@ def normalize(rows: DataFrame, table: Table) -> DataFrame:
     return decoded
 
 
-def image(text: Column, table: Table) -> Column:
-    """A JSON image as a struct of stored values; null for null."""
+def image(text: Column, table: Table, stored: DataFrame | None = None) -> Column:
+    """A JSON image as a struct of stored values, of the types that a stored table has; null for null."""
     cells = []
     for c in table.columns:
         cell = F.get_json_object(text, f"$.{c.name}")
-        cells.append(cell.try_cast(stored_type(c.kind)).alias(c.name))
+        if c.derived:
+            cell = c.derived.column(F.get_json_object(text, f"$.{c.derived.source}"))
+        kind = stored_type(c.kind) if stored is None else stored.schema[c.name].dataType
+        cells.append((cell if c.derived else cell.try_cast(kind)).alias(c.name))
     return F.when(text.isNotNull(), F.struct(*cells))
 
 
@@ -279,13 +282,14 @@ def rekeyed(changes: DataFrame, schema: Schema) -> DataFrame:
     return changes.withColumn("part", F.explode(parts)).select(*rest, "part.key", "part.before", "part.after", "part.half")
 
 
-def images_by_table(changes: DataFrame, schema: Schema, order: list[str]) -> dict[str, DataFrame]:
-    """Folded changes of each table as key, before and after images with stored values."""
+def images_by_table(changes: DataFrame, schema: Schema, order: list[str], stored: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Folded changes of each table as key, before and after images with stored values, as in the stored tables if given."""
     flat = folded(rekeyed(changes, schema), [*order, "half"])
     out = {}
     for t in schema.tables:
         rows = flat.where(F.col("tbl") == t.name)
-        out[t.name] = rows.select(KEY, image(F.col("before"), t).alias("before"), image(F.col("after"), t).alias("after")).where("before is not null or after is not null")
+        like = (stored or {}).get(t.name)
+        out[t.name] = rows.select(KEY, image(F.col("before"), t, like).alias("before"), image(F.col("after"), t, like).alias("after")).where("before is not null or after is not null")
     return out
 
 

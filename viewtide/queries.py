@@ -279,7 +279,7 @@ UNION ALL SELECT c_custkey + 1000000000, c_name, c_nationkey, c_acctbal * 2, c_m
 
 def changed(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame], dict[str, DataFrame]]:
     before = tables(spark, sf_dir)
-    by_table = ch.images_by_table(customer_changes(spark, sf_dir).withColumn("key", F.lit(None).cast("string")), schema(), ["stream_index", "ord"])
+    by_table = ch.images_by_table(customer_changes(spark, sf_dir).withColumn("key", F.lit(None).cast("string")), schema(), ["stream_index", "ord"], before)
     by_table = {"customer": by_table["customer"]}
     return before, by_table, mt.apply_changes(before, by_table)
 
