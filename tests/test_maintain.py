@@ -8,16 +8,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.fixtures import ITEM, ORGANIZATION, SCHEMA, change, frame, item, random_changes, random_item
+from viewtide.functions import wire
 from viewtide.operators import changes as ch
 from viewtide.operators.levels import recompute
 from viewtide.operators.maintain import apply_changes, maintain
 from viewtide.operators.overlay import MutationLog
+from viewtide.operators.replica import Replica, membership_index
 from viewtide.plans.planner import plan_query
 from viewtide.plans.query import q
 from viewtide.plans.schema import KEY, Column, Parent, Table, compile_schema
+from viewtide.sources.fills import parent_index
 from viewtide.sources.shared import cut
 from viewtide.streaming.engine import Engine, for_session
-from viewtide.streaming.pipeline import ChangeStream, sequenced_stream
+from viewtide.streaming.pipeline import ChangeStream, Watch, sequenced_stream
 
 open_ = lambda c: c.is_null("displayOrder")
 SHAPES = [
@@ -236,3 +239,41 @@ def test_sequences_in_the_state_store(spark, tmp_path):
     query()
     assert rows_of(spark.read.parquet(f"file://{tmp_path}/out")) == [("A", 1, "g1", 1), ("A", 3, "g3", 2), ("A", 7, "g7", 3), ("B", 2, "g2", 1)]
     assert ITEM.relation("folder").kind == "one"
+
+
+def test_replica_follows_the_engine(spark):
+    e, r = Engine(spark, SCHEMA), Replica(spark, SCHEMA)
+    docs = q("item").where(lambda c: c.eq("type", "DOCUMENT")).order_by("displayOrder").limit(2)
+    planned = plan_query(SCHEMA, docs.query)
+    key, _ = e.subscribe(docs.query)
+    e.fill(e.scopes["item"].fill_id, frame(spark, [item("a", displayOrder=1), item("b", displayOrder=2), item("c", displayOrder=3)]))
+    (s,) = e.complete(e.scopes["item"].fill_id, "")
+    r.apply_snapshot(key, s.cursor, s.rows, s.members)
+    ids = lambda **k: [x.id for x in r.read(planned, key, **k).collect()]
+    assert ids() == ["a", "b"] and r.tables["item"].count() == 2
+    for seq, c in ((1, change("delete", item("a", displayOrder=1), None)), (2, change("update", item("c", displayOrder=3), item("c", displayOrder=0)))):
+        _, (d,) = e.apply_batch(batch(e, (seq, [c])))
+        r.apply_delta(d.cursor, d.changed, d.rows)
+        r.apply_delta(d.cursor, d.changed, d.rows)
+    assert ids() == ["c", "b"] and r.cursor == 2 and r.tables["item"].count() == 2
+    larger, (g,) = e.subscribe(docs.limit(3).query, based_on=key)
+    r.apply_snapshot(larger, g.cursor, g.rows, g.members, g.base)
+    assert r.members[larger].count() == 0 and r.members_of(larger).count() == 2
+    assert {x[KEY]: x.subscriptions for x in membership_index({"x": r.members[key], "y": r.members_of(larger)}).collect()} == {'["b"]': ["x", "y"], '["c"]': ["x", "y"]}
+    log = MutationLog(SCHEMA, {"add": lambda tx, a, ctx: tx.insert("item", item(a, displayOrder=-1))}, r.tables)
+    log.mutate("add", "new")
+    assert ids(log=log) == ["new", "c"]
+    r.release(key)
+    r.release(larger)
+
+
+def test_raw_rows_and_parent_index(spark):
+    rows = spark.createDataFrame([([1, -1, 0, 2], bytearray(b"abc")), ([1], bytearray(b"")), ([1], bytearray(b"ab")), ([-2], bytearray(b""))], "n array<int>, v binary")
+    cells, bad = wire.row_cells(F.col("n"), F.col("v"))
+    got = rows.select(cells.alias("c"), bad.alias("bad")).collect()
+    assert [r.bad for r in got] == [False, True, True, True] and [x if x is None else bytes(x) for x in got[0].c] == [b"a", None, b"", b"bc"]
+    p = PC.table("p")
+    index = parent_index(spark.createDataFrame([("p1", "A"), ("p2", None)], "id string, org string"), p)
+    assert rows_of(index) == [("p", "p1", "A")]
+    w = Watch()
+    assert not w.stalled() and w.stalled(w.progress + 31)

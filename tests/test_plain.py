@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.fixtures import ITEM, ORGANIZATION, SCHEMA
-from viewtide.functions import kinds
+from viewtide.functions import kinds, wire
 from viewtide.functions.gtid import BadGtid, GtidSet, step
 from viewtide.operators.changes import Assembler, StreamError
 from viewtide.operators.overlay import MutationError, Pusher
@@ -16,6 +16,7 @@ from viewtide.plans import named
 from viewtide.plans.planner import QueryProblem, chains, plan_query
 from viewtide.plans.query import Query, c, from_json, q, to_json
 from viewtide.plans.schema import Column, Derived, Parent, Relation, SchemaError, Table, compatibility, compile_schema, plan_migration
+from viewtide.sources.fills import FillRegistry
 
 U = ["a2523813-adbe-11f1-b19c-0a2250a7ed6c", "b2523813-adbe-11f1-b19c-0a2250a7ed6c"]
 sets = st.lists(st.tuples(st.sampled_from(U), st.integers(1, 40), st.integers(0, 6)), max_size=8)
@@ -218,3 +219,23 @@ def test_writes_are_checked():
         from viewtide.operators.overlay import LocalTransaction
 
         LocalTransaction(SCHEMA, {}, {}).delete("item", {"nope": 1})
+
+
+def test_wire():
+    assert wire.decode_row([1, -1, 0, 2], b"abc") == [b"a", None, b"", b"bc"]
+    for bad in (([1], b""), ([1], b"ab"), ([-2], b"")):
+        with pytest.raises(wire.BadRow):
+            wire.decode_row(*bad)
+    assert [wire.sql_literal(k, v) for k, v in (("bool", True), ("bigint", "12"), ("float", 1), ("bytes", "AP8="), ("string", "it's\\"), ("date", None))] == ["1", "12", "1.0", "X'00ff'", "'it\\'s\\\\'", "NULL"]
+    assert wire.percent_encoded("a/b c") == "a%2Fb%20c" and len(wire.now_text()) == 23
+    grants = [{"partitions": ["a"], "expires": 10}, {"partitions": ["*"], "expires": 5}]
+    assert wire.granted(grants, "a", 9) and wire.granted(grants, "z", 4) and not wire.granted(grants, "z", 6)
+
+
+def test_fill_registry():
+    r = FillRegistry()
+    assert r.enqueue("p", 1, "t") and not r.enqueue("p", 1, "t")
+    for i in range(2, 20):
+        r.enqueue("p", i, "t")
+    assert [x.fill_id for x in r.poll(0)] == list(range(1, 17)) and len(r.poll(0)) == 3 and r.poll(0) == []
+    assert r.dequeue("p", 1) and not r.dequeue("p", 1) and [x.fill_id for x in r.poll(181)][0] == 2

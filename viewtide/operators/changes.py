@@ -165,6 +165,22 @@ def exploded(transactions: DataFrame) -> DataFrame:
     return transactions.select("stream_index", "gtid", F.posexplode("changes").alias("ord", "c")).select("stream_index", "gtid", "ord", F.col("c.table").alias("tbl"), "c.op", "c.before", "c.after")
 
 
+def synced(changes: DataFrame, schema: Schema) -> DataFrame:
+    """Changes of the schema's tables; a source may send others."""
+    return changes.where(F.col("tbl").isin(*(t.name for t in schema.tables)))
+
+
+def observed(routed: DataFrame, name: str) -> DataFrame:
+    """routed, reporting its counts to query listeners as metrics of this name while it runs."""
+    return routed.observe(
+        name,
+        F.count(F.when(F.col("partition").isNotNull(), 1)).alias("routed"),
+        F.count(F.when((F.col("outcome") == "moved") & (F.col("turn") == 0), 1)).alias("moves"),
+        F.count(F.when(F.col("outcome") == "unpartitioned", 1)).alias("unpartitioned"),
+        F.count(F.when(F.col("outcome") == "unresolved", 1)).alias("unresolved"),
+    )
+
+
 def _by_table(schema: Schema, tbl: Column, value) -> Column:
     out = F.lit(None).cast("string")
     for t in schema.tables:

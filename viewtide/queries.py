@@ -12,9 +12,11 @@ from viewtide.operators import changes as ch
 from viewtide.operators import levels as lv
 from viewtide.operators import maintain as mt
 from viewtide.operators import overlay as ov
+from viewtide.operators import replica as rp
 from viewtide.plans.planner import plan_query
 from viewtide.plans.query import Builder, q
 from viewtide.plans.schema import KEY, Column, Derived, Parent, Relation, Schema, Table, compile_schema, project
+from viewtide.sources import fills as fl
 from viewtide.sources.tables import by_columns, read_tables
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -359,6 +361,38 @@ def normalized_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.normalize(text, t).where("size(bad) = 0").drop("bad")
 
 
+@register("fanout_index", """
+WITH a AS (SELECT '["' || c_custkey || '"]' AS __key, 'segment' AS s FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT '["' || c_custkey || '"]', 'rich' FROM customer WHERE c_acctbal > 9000)
+SELECT 'customer' AS tbl, __key, string_agg(s, ',' ORDER BY s) AS subscriptions FROM a GROUP BY __key
+""")
+def fanout_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir)
+    wanted = {"segment": q("customer").where(lambda c: c.eq("c_mktsegment", "BUILDING")), "rich": q("customer").where(lambda c: c.gt("c_acctbal", 9000))}
+    members = {k: lv.seen(lv.recompute(plan_query(schema(), b.query), t)) for k, b in wanted.items()}
+    return rp.membership_index(members).select("tbl", KEY, F.array_join("subscriptions", ",").alias("subscriptions"))
+
+
+@register("parent_index", "SELECT 'customer' AS tbl, CAST(c_custkey AS VARCHAR) AS parent_key, CAST(c_nationkey AS VARCHAR) AS partition FROM customer")
+def parent_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fl.parent_index(tables(spark, sf_dir)["customer"], schema().table("customer"))
+
+
+@register("assembled_transactions", "SELECT user_id AS shard, event_id // 50 AS tx, count(*) AS changes, min(event_id) AS first_event FROM events WHERE (event_id // 50) % 9 <> 4 GROUP BY 1, 2")
+def assembled_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in transactions of fifty ids by user, every ninth of them rolled back."""
+    e = tables(spark, sf_dir)["events"].select(F.col("user_id").cast("string").alias("shard"), "event_id", F.floor(F.col("event_id") / 50).cast("long").alias("tx"))
+    none = F.lit(None).cast("string")
+    row = e.select("shard", (F.col("event_id") * 10).alias("ord"), F.lit("row").alias("type"), F.lit("events").alias("tbl"), none.alias("before"), F.col("event_id").cast("string").alias("after"), none.alias("position"), F.lit(None).cast("long").alias("timestamp"))
+    each = e.select("shard", "tx").distinct()
+
+    def mark(kind, offset: int) -> DataFrame:
+        return each.select("shard", (F.col("tx") * 500 + offset).alias("ord"), kind.alias("type"), none.alias("tbl"), none.alias("before"), none.alias("after"), none.alias("position"), F.col("tx").alias("timestamp"))
+
+    events = row.unionByName(mark(F.lit("begin"), -1)).unionByName(mark(F.when(F.col("tx") % 9 == 4, "rollback").otherwise("commit"), 495))
+    got = ch.assemble(events)
+    return got.select(F.col("shard").cast("long").alias("shard"), F.col("commit_timestamp").alias("tx"), F.size("changes").cast("long").alias("changes"), F.element_at("changes", 1)["after"].cast("long").alias("first_event"))
+
+
 def queries() -> dict[str, Run]:
     return dict(QUERIES)
 

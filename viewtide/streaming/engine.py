@@ -195,6 +195,10 @@ class Engine:
             del self.subscriptions[k]
         return gone
 
+    def next_sweep(self) -> float | None:
+        """When the subscription that was abandoned first will have been kept long enough."""
+        return min((s.orphaned + GRACE for s in self.subscriptions.values() if s.orphaned is not None), default=None)
+
     def recompute(self, key: str) -> DataFrame:
         """What maintenance must equal."""
         return recompute(self.subscriptions[key].planned, self.tables)

@@ -7,15 +7,16 @@ failure finds its id published and does nothing.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery, StreamingQueryListener
 from pyspark.sql.window import Window
 
-from viewtide.operators.changes import exploded, latest_parents, parent_updates, quarantine, route, sequence
+from viewtide.operators.changes import exploded, latest_parents, observed, parent_updates, quarantine, route, sequence, synced
 from viewtide.plans.schema import Schema
 from viewtide.sources.shared import cut
 from viewtide.sources.tables import Versions
@@ -27,6 +28,33 @@ def _numbered(batch: DataFrame) -> DataFrame:
     return batch.withColumn("stream_index", place.cast("long"))
 
 
+class Watch(StreamingQueryListener):
+    """When a stream last had rows and last did anything, to tell one that stalls from one without news."""
+
+    def __init__(self, stall: float = 30, no_progress: float = 120):
+        self.stall, self.no_progress = stall, no_progress
+        self.progress = self.rows = time.time()
+        self.ended: str | None = None
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802  Spark's names
+        self.progress = self.rows = time.time()
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.progress = time.time()
+        if event.progress.numInputRows:
+            self.rows = self.progress
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self.progress = time.time()
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended = event.exception or "ended"
+
+    def stalled(self, now: float | None = None) -> bool:
+        now = time.time() if now is None else now
+        return now - self.progress > self.stall or now - self.rows > self.no_progress
+
+
 class ChangeStream:
     """Routes and sequences a stream of one shard's transactions into ``folder``."""
 
@@ -38,9 +66,9 @@ class ChangeStream:
         last = self.state.current()
         if batch_id <= self.taken(last):
             return False
-        changes = cut(exploded(_numbered(batch)))
+        changes = cut(synced(exploded(_numbered(batch)), self.schema))
         index, sequences, put_aside = (self.state.read(n, last) for n in ("parents", "sequences", "quarantined"))
-        routed = cut(route(changes, self.schema, index))
+        routed = cut(observed(route(changes, self.schema, index), "routing"))
         sequenced = cut(sequence(routed, sequences))
         aside = put_aside if put_aside is not None else self.spark.createDataFrame([], "partition string, reason string")
         goes, stays = quarantine(sequenced, aside)
