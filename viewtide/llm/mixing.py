@@ -28,7 +28,7 @@ from .common import cut, small_or_plain
 
 SEED = 20_26
 #: Documents of a leaf that a range of hashes holds, about.
-RANGE_ROWS = 4_000
+RANGE_ROWS = 500
 #: Without given weights a node weighs its tokens to this power, so small sources count for more than their size.
 SMOOTHING = 0.7
 LEVELS = ("mix_domain", "mix_lang", "mix_source")
