@@ -25,8 +25,9 @@ def documents():
 @pytest.fixture(scope="session")
 def docs(spark, documents):
     """documents as a DataFrame, with extra columns named as an operator's results are."""
-    data = [(*r, len(r[1] or ""), "x", 1) for r in documents]
-    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, fp string, spans int").repartition(5).cache()
+    data = [(*r, len(r[1] or ""), "x", 1, "x", 1, "x", 1) for r in documents]
+    extra = "fp string, spans int, near_dup_mark string, mix_copies int, scan_text string, extra_7_ int"
+    return spark.createDataFrame(data, f"doc_id long, text string, lang string, source string, n_chars long, {extra}").repartition(5).cache()
 
 
 @pytest.fixture(scope="session")

@@ -149,7 +149,7 @@ def test_secrets_equal_brute_force(spark, docs, documents):
 
 def test_redaction_replaces_spans(spark, docs, documents):
     extra = [(300_000 + i, t, None, None) for i, t in enumerate(SECRETS)]
-    more = docs.drop("fp", "spans").unionByName(spark.createDataFrame([(i, t, None, None, len(t)) for i, t, _, _ in extra], "doc_id long, text string, lang string, source string, n_chars long"))
+    more = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(i, t, None, None, len(t)) for i, t, _, _ in extra], "doc_id long, text string, lang string, source string, n_chars long"))
 
     def one(i, t, lang):
         out, at = "", 0
@@ -163,6 +163,7 @@ def test_redaction_replaces_spans(spark, docs, documents):
             out, at = f"{out}{t[at:a]}[{kind}]", z
         return {"clean": out + t[at:]}
 
+    assert secret_scan.redacted(docs).columns == docs.columns
     got = [{"doc_id": r.doc_id, "clean": r.text or ""} for r in secret_scan.redacted(more).collect()]
     assert_same(by_id(got), expected(documents + extra, one), ["clean"])
 
@@ -287,3 +288,35 @@ def test_empty_tables(no_docs):
     assert simhash.one_of_each(no_docs).count() == 0
     assert merge_dropout.round_trips(no_docs).count() == 0
     assert token_files.read_token_files(token_files.write_token_files(no_docs)).count() == 0
+
+
+def test_tables_turn_over(documents, monkeypatch, pieces):
+    """Small tables, long words and words that come back give what whole texts give."""
+    from tokenizers import Tokenizer
+
+    texts = [t or "" for _, t, *_ in documents][:40] + ["Ünïcödé ÀÉÎ straße ÿ's don't I'LL 12a3 <|endoftext|>x a<|startoftext|> µm ﬁ ǅ é İ"] + ["y" * 300]
+    library = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    table = token_files.WordIds(token_files.MODEL)
+    monkeypatch.setattr(token_files, "TABLE_ROWS", 60)
+    monkeypatch.setattr(token_files, "word_ids", lambda _: table)
+    for part in (texts[:5], texts[5:], texts[:20], texts[::-1]):
+        assert [np.frombuffer(x, "<u2").tolist() for x in token_files.encode_texts(part)] == [library.encode(t, add_special_tokens=False).ids for t in part]
+    wanted = merge_dropout.Encoder(merge_dropout.MODEL, 1, 0.2).encode(list(enumerate(texts)))
+    monkeypatch.setattr(merge_dropout, "TABLE_ROWS", 60)
+    e = merge_dropout.Encoder(merge_dropout.MODEL, 1, 0.2)
+    assert [x for i, t in enumerate(texts) for x in e.encode([(i, t)])] == wanted
+    monkeypatch.setattr(fertility, "TABLE_ROWS", 60)
+    tokens = fertility.TokenTable(fertility.MODEL)
+    for t in texts:
+        assert tokens.tokens([t])[0].tolist() == pieces.encode(t)
+
+
+def test_plain_words_are_cut_as_the_library_does():
+    """Every printable Latin-1 character beside letters, digits and signs."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    chars = [chr(i) for i in [*range(33, 127), *range(161, 256)]]
+    words = [w for ch in chars for w in (ch, f"a{ch}b", f"{ch}{ch}1", f"É{ch}é", f"'{ch}", f"x'{ch}ll")]
+    found = token_files.encode_texts([f"{w} z" for w in words])
+    assert [np.frombuffer(x, "<u2").tolist() for x in found] == [e.ids for e in library.encode_batch([f"{w} z" for w in words], add_special_tokens=False)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,10 +61,23 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
+def rarely_collect() -> None:
+    """For workers that make many short-lived lists and no cycles: the collector looks at its young objects less often."""
+    import gc
+
+    gc.set_threshold(200_000, 50, 100)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def around_extras(docs: DataFrame, needed: set[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run over docs, whose columns but the needed ones have names that clash with none; run keeps the columns' order, and they get their names back."""
+    names = docs.columns
+    return run(docs.toDF(*(n if n in needed else f"extra_{i}_" for i, n in enumerate(names)))).toDF(*names)
+
+
 def rows_of(batch, *names: str) -> Iterator[tuple]:
     """The rows of an Arrow batch as Python values."""
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)

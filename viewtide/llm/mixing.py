@@ -15,7 +15,7 @@ cut are put in order.
 
 Defined results: a null text has no tokens, and documents without tokens are never chosen; a null source or lang is a node
 of its own, named ``?``; ties of the hash go by doc_id; repeated rows are chosen alike and count each time; an empty table
-gives no rows; the columns of docs may have any names (the operator's own are prefixed ``mix_``).
+gives no rows; other columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, small_or_plain
+from .common import around_extras, cut, small_or_plain
 
 SEED = 20_26
 #: Documents of a leaf that a range of hashes holds, about.
@@ -123,6 +123,10 @@ def choices(docs: DataFrame, share: float = 0.9, max_epochs: int = 2, weights: d
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs as often as they are chosen, with docs' columns. Rows without doc_id aren't chosen."""
+    return around_extras(docs, {"doc_id", "text", "lang", "source"}, lambda d: _mixed(d, **how))
+
+
+def _mixed(docs: DataFrame, **how) -> DataFrame:
     names = docs.columns
     copies = choices(docs, **how).where("mix_copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("mix_copies").alias("mix_copies"))
     copies = cut(copies.withColumnRenamed("doc_id", "mix_id"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, text_or_empty
+from .common import around_extras, cut, text_or_empty
 
 #: The patterns of the base kinds, as the contract states them.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -137,6 +137,10 @@ def digests(found: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """The rows of docs, their spans' text replaced by ``[kind]`` (the first kind of spans that overlap), n_chars adjusted where docs has it."""
+    return around_extras(docs, {"doc_id", "text", "n_chars"}, lambda d: _redacted(d, reach))
+
+
+def _redacted(docs: DataFrame, reach: int) -> DataFrame:
     scanned = cut(scan(docs))
     merged = F.aggregate(
         "spans",

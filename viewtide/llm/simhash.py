@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rows_of, text_batches
+from .common import around_extras, cut, rows_of, text_batches
 
 SEED = 42
 RADIUS = 2
@@ -252,6 +252,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, n_piv
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """The rows of docs that stay: of each component the document with the smallest doc_id, once. Rows without doc_id stay."""
+    return around_extras(docs, {"doc_id", "text"}, lambda d: _firsts(d, width, radius))
+
+
+def _firsts(docs: DataFrame, width: int, radius: int) -> DataFrame:
     names = docs.columns
     labels = near_duplicates(docs, width, radius).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
     labels = cut(labels.where("doc_id <> component_id or times > 1").select("doc_id", F.struct((F.col("doc_id") == F.col("component_id")).alias("first"), "times").alias("near_dup_mark")))
