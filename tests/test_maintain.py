@@ -111,6 +111,22 @@ def test_children_follow_their_parents_as_of_the_transaction(spark):
     assert {x.outcome: x.changes for x in ch.counters(r).collect()} == {"routed": 6, "moved": 2, "unresolved": 1, "unpartitioned": 1}
 
 
+def test_statuses_of_a_batch(spark):
+    b = spark.createDataFrame([("a", 3, "g3"), ("a", 4, "x"), ("a", 5, "g5"), ("a", 7, "g7"), ("a", 8, "g8"), ("new", 9, "h9"), ("new", 10, "h10"), ("new", 12, "h12")], "partition string, seq long, gtid string")
+    applied, log = spark.createDataFrame([("a", 4)], "partition string, seq long"), spark.createDataFrame([("a", 3, "g3"), ("a", 4, "g4")], "partition string, seq long, gtid string")
+    got = [r.status for r in ch.deduplicated(b, applied, log).orderBy("partition", "seq").collect()]
+    assert got == ["duplicate", "conflict", "new", "gap", "new", "new", "new", "gap"]
+    put, aside = ch.quarantine(b, spark.createDataFrame([("a",)], "partition string"))
+    assert put.count() == 3 and aside.count() == 5
+
+
+def test_sequences_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(ch, "STRETCH", 4)
+    rows = spark.range(40).selectExpr("if(id % 3 = 0, 'a', 'b') partition", "id stream_index").unionByName(spark.createDataFrame([(None, 5)], "partition string, stream_index long"))
+    got = ch.sequence(rows, spark.createDataFrame([("b", 100)], "partition string, seq long")).orderBy("partition", "stream_index").collect()
+    assert [(r.partition, r.seq) for r in got] == [("a", i + 1) for i in range(14)] + [("b", i + 101) for i in range(26)]
+
+
 def test_assembled_as_a_plan(spark):
     events = [("s", 0, "begin", None, None, None, None, 5), ("s", 1, "row", "t", None, "{}", None, None), ("s", 2, "vgtid", None, None, None, "p1", None), ("s", 3, "commit", None, None, None, None, None), ("s", 4, "begin", None, None, None, None, 6), ("s", 5, "row", "t", "{}", None, None, None), ("s", 6, "rollback", None, None, None, None, None), ("u", 1, "vgtid", None, None, None, "p9", None)]
     rows = ch.assemble(spark.createDataFrame(events, "shard string, ord int, type string, tbl string, before string, after string, position string, timestamp long")).collect()

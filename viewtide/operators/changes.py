@@ -15,6 +15,10 @@ from viewtide.functions.kinds import cell_text, decode_cell, decode_enum, decode
 from viewtide.plans.schema import KEY, Parent, Schema, Table
 
 
+#: Transactions that are ranked together.
+STRETCH = 100_000
+
+
 class StreamError(ValueError):
     """Events that make no transaction."""
 
@@ -205,14 +209,23 @@ def latest_parents(updates: DataFrame, index: DataFrame | None = None) -> DataFr
     return updates.groupBy("tbl", "parent_key").agg(F.max_by("partition", F.struct("stream_index", "ord")).alias("partition"))
 
 
+def parent_periods(updates: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """tbl, known_key, found (partition), since, until (stream indexes, the latter exclusive): where parents were when."""
+    if index is not None:
+        updates = updates.unionByName(index.select(F.lit(-1).cast("long").alias("stream_index"), F.lit(0).alias("ord"), "tbl", "parent_key", "partition"))
+    last = updates.groupBy("tbl", "parent_key", "stream_index").agg(F.max_by("partition", "ord").alias("found"))
+    until = F.lead("stream_index").over(Window.partitionBy("tbl", "parent_key").orderBy("stream_index"))
+    return last.select("tbl", F.col("parent_key").alias("known_key"), "found", F.col("stream_index").alias("since"), F.coalesce(until, F.lit(2**62)).alias("until"))
+
+
 def route(changes: DataFrame, schema: Schema, index: DataFrame | None = None) -> DataFrame:
     """changes (exploded) -> stream_index, gtid, partition, ord, tbl, op, key, before, after, outcome.
 
     An insert goes where its row is, a delete where it was; an update that changes the partition is a move: a delete in the
     old one and an insert in the new one. A row without a partition is dropped (outcome ``unpartitioned``), one whose parent
     isn't known too (``unresolved``); both stay in the result with a null partition, to be counted. Parents are looked up as
-    of the change's transaction, its own updates included: child and parent changes are brought in one order by parent, and
-    each child takes the last partition before it.
+    of the change's transaction, its own updates included: a parent's updates make periods, and a child joins the period that
+    its transaction lies in. Only updates are put in order, so a parent of very many children is a skewed join key, no more.
     """
     sides = changes.select("*", F.explode(F.expr("array('before', 'after')")).alias("side"))
     sides = sides.withColumn("img", F.when(F.col("side") == "before", F.col("before")).otherwise(F.col("after"))).where("img is not null")
@@ -220,12 +233,10 @@ def route(changes: DataFrame, schema: Schema, index: DataFrame | None = None) ->
     parent = _by_table(schema, F.col("tbl"), lambda t: F.lit(t.partition.table) if isinstance(t.partition, Parent) else None)
     parent_key = _by_table(schema, F.col("tbl"), lambda t: F.get_json_object("img", f"$.{t.partition.column}") if isinstance(t.partition, Parent) else None)
     sides = sides.select("stream_index", "ord", "side", own.alias("own"), parent.alias("parent"), parent_key.alias("parent_key"))
-    asked = sides.where("parent is not null and parent_key is not null").select(F.col("parent").alias("tbl"), "parent_key", "stream_index", F.lit(1).alias("asks"), "ord", "side", F.lit(None).cast("string").alias("partition"))
-    told = parent_updates(changes, schema).select("tbl", "parent_key", "stream_index", F.lit(0).alias("asks"), "ord", F.lit(None).cast("string").alias("side"), "partition")
-    if index is not None:
-        told = told.unionByName(index.select("tbl", "parent_key", F.lit(-1).cast("long").alias("stream_index"), F.lit(0).alias("asks"), F.lit(0).alias("ord"), F.lit(None).cast("string").alias("side"), "partition"))
-    last = Window.partitionBy("tbl", "parent_key").orderBy("stream_index", "asks", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    answered = asked.unionByName(told).withColumn("found", F.last("partition", ignorenulls=True).over(last)).where("asks = 1").select("stream_index", "ord", "side", "found")
+    asked = sides.where("parent is not null and parent_key is not null").select("stream_index", "ord", "side", "parent", "parent_key")
+    known = parent_periods(parent_updates(changes, schema), index)
+    during = (asked["parent"] == known["tbl"]) & (asked["parent_key"] == known["known_key"]) & (asked["stream_index"] >= known["since"]) & (asked["stream_index"] < known["until"])
+    answered = asked.join(known, during).select("stream_index", "ord", "side", "found")
     placed = sides.join(answered, ["stream_index", "ord", "side"], "left").withColumn("place", F.coalesce("own", "found"))
     ways = placed.groupBy("stream_index", "ord").agg(
         F.max(F.when(F.col("side") == "before", F.col("place"))).alias("was"),
@@ -261,11 +272,16 @@ def route(changes: DataFrame, schema: Schema, index: DataFrame | None = None) ->
 def sequence(routed: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """routed with seq: each partition's transactions numbered from 1, or on from last (partition, seq), without gaps.
 
-    Only (partition, transaction) pairs are numbered, and changes take their pair's number.
+    Only (partition, transaction) pairs are numbered, and changes take their pair's number. Pairs are ranked within stretches
+    of STRETCH stream indexes, and stretches' sizes are summed before, so a partition that has most transactions isn't ranked
+    in one task.
     """
-    pairs = routed.where("partition is not null").select("partition", "stream_index").distinct()
-    number = F.row_number().over(Window.partitionBy("partition").orderBy("stream_index")).cast("long")
-    pairs = pairs.withColumn("seq", number)
+    pairs = routed.where("partition is not null").select("partition", "stream_index").distinct().withColumn("stretch", F.floor(F.col("stream_index") / STRETCH))
+    sizes = pairs.groupBy("partition", "stretch").agg(F.count("*").alias("size"))
+    earlier = F.sum("size").over(Window.partitionBy("partition").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("partition", "stretch", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    rank = F.row_number().over(Window.partitionBy("partition", "stretch").orderBy("stream_index"))
+    pairs = pairs.withColumn("rank", rank).join(sizes, ["partition", "stretch"]).select("partition", "stream_index", (F.col("rank") + F.col("earlier")).cast("long").alias("seq"))
     if last is not None:
         before = last.select("partition", F.col("seq").alias("before"))
         pairs = pairs.join(before, "partition", "left").select("partition", "stream_index", (F.col("seq") + F.coalesce("before", F.lit(0))).alias("seq"))
@@ -316,18 +332,18 @@ def deduplicated(batch: DataFrame, applied: DataFrame, log: DataFrame) -> DataFr
     """
     known = applied.select("partition", F.col("seq").alias("applied"))
     logged = log.select("partition", "seq", F.col("gtid").alias("logged"))
-    rows = batch.join(known, "partition", "left").join(logged, ["partition", "seq"], "left")
+    first = batch.groupBy("partition").agg(F.min("seq").alias("first"))
+    before = batch.select("partition", (F.col("seq") + 1).alias("seq"), F.lit(True).alias("follows")).distinct()
+    rows = batch.join(known, "partition", "left").join(first, "partition", "left").join(logged, ["partition", "seq"], "left").join(before, ["partition", "seq"], "left")
     applied_seq = F.coalesce("applied", F.lit(0))
-    before = F.lag("seq").over(Window.partitionBy("partition").orderBy("seq"))
-    expected = F.when(before.isNull() | (before < applied_seq), applied_seq + 1).otherwise(before + 1)
-    gap = (F.col("seq") > expected) & ~(before.isNull() & (applied_seq == 0))
+    gap = F.col("follows").isNull() & (F.col("seq") > applied_seq + 1) & ~((applied_seq == 0) & (F.col("seq") == F.col("first")))
     status = (
         F.when((F.col("seq") <= applied_seq) & F.col("logged").isNotNull() & (F.col("logged") != F.col("gtid")), "conflict")
         .when(F.col("seq") <= applied_seq, "duplicate")
         .when(gap, "gap")
         .otherwise("new")
     )
-    return rows.withColumn("status", status).drop("applied", "logged")
+    return rows.withColumn("status", status).drop("applied", "logged", "first", "follows")
 
 
 def quarantine(batch: DataFrame, quarantined: DataFrame) -> tuple[DataFrame, DataFrame]:
