@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, open_fs, rows_of, shared_folder, text_batches, tokenizer_file
+from .common import cut, open_fs, rarely_collect, rows_of, shared_folder, text_batches, tokenizer_file
 
 MODEL = "word_bpe_49k.json"
 END_ID = 1
@@ -53,6 +53,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        rarely_collect()
         self.tokenizer = Tokenizer.from_file(tokenizer_file(model))
         self.kind = id_kind(model)
         self.words: dict[bytes, bytes] = {}
