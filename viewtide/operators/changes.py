@@ -316,10 +316,9 @@ def rekeyed(changes: DataFrame, schema: Schema) -> DataFrame:
 
 def images_by_table(changes: DataFrame, schema: Schema, order: list[str], stored: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Folded changes of each table as key, before and after images with stored values, as in the stored tables if given."""
-    flat = folded(rekeyed(changes, schema), [*order, "half"])
     out = {}
     for t in schema.tables:
-        rows = flat.where(F.col("tbl") == t.name)
+        rows = folded(rekeyed(changes.where(F.col("tbl") == t.name), schema), [*order, "half"])
         like = (stored or {}).get(t.name)
         out[t.name] = rows.select(KEY, image(F.col("before"), t, like).alias("before"), image(F.col("after"), t, like).alias("after")).where("before is not null or after is not null")
     return out
