@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from xxhash import xxh64_intdigest
 
-from .common import rows_of, text_batches
+from .common import rarely_collect, rows_of, text_batches
 from .pieces import MARK, MODEL, Vocabulary, vocabulary
 
 SEED, RATE = 42, 0.1
@@ -38,7 +38,7 @@ VARIANTS = 4
 #: Pre-tokens of a document in a row that share a variant, and pre-tokens that are merged together.
 RUN = 32
 TOGETHER = 2048
-TABLE_ROWS = 800_000
+TABLE_ROWS = 1_000_000
 #: Longer pre-tokens are merged alone and not kept.
 TABLE_CHARS = 48
 #: Here U+2581 is no space, unlike in the library.
@@ -194,6 +194,7 @@ class Encoder:
     """Encodes texts through one bounded table of merged pre-tokens for each variant."""
 
     def __init__(self, model: str, seed: int, rate: float):
+        rarely_collect()
         self.v, self.seed, self.rate = vocabulary(model), seed, rate
         if self.v.n > 1 << 16:
             raise ValueError("ids need more than 16 bits")
@@ -275,11 +276,12 @@ def round_trips(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate: flo
 
 
 def encoded(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate: float = RATE, name: str = "piece_ids") -> DataFrame:
-    """docs with a column of piece ids behind its own."""
+    """docs with a column of piece ids behind its own; a column that has its name already is replaced."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
     text_batches(docs.sparkSession)
+    docs = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model, seed, rate)
