@@ -314,11 +314,15 @@ def rekeyed(changes: DataFrame, schema: Schema) -> DataFrame:
     return changes.withColumn("part", F.explode(parts)).select(*rest, "part.key", "part.before", "part.after", "part.half")
 
 
-def images_by_table(changes: DataFrame, schema: Schema, order: list[str], stored: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Folded changes of each table as key, before and after images with stored values, as in the stored tables if given."""
+def images_by_table(changes: DataFrame, schema: Schema, order: list[str], stored: dict[str, DataFrame] | None = None, names: set[str] | None = None) -> dict[str, DataFrame]:
+    """Folded changes of each table (or the named ones) as key, before and after images with stored values, as in the stored tables if given."""
     out = {}
     for t in schema.tables:
-        rows = folded(rekeyed(changes.where(F.col("tbl") == t.name), schema), [*order, "half"])
+        if names is not None and t.name not in names:
+            continue
+        # Keys of one table only: the expressions stay small.
+        alone = Schema((t,), schema.partition_kind, by_name={t.name: t})
+        rows = folded(rekeyed(changes.where(F.col("tbl") == t.name), alone), [*order, "half"])
         like = (stored or {}).get(t.name)
         out[t.name] = rows.select(KEY, image(F.col("before"), t, like).alias("before"), image(F.col("after"), t, like).alias("after")).where("before is not null or after is not null")
     return out

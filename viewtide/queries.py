@@ -17,6 +17,7 @@ from viewtide.plans.planner import plan_query
 from viewtide.plans.query import Builder, q
 from viewtide.plans.schema import KEY, Column, Derived, Parent, Relation, Schema, Table, compile_schema, project
 from viewtide.sources import fills as fl
+from viewtide.sources.shared import cut
 from viewtide.sources.tables import by_columns, read_tables
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -281,8 +282,8 @@ UNION ALL SELECT c_custkey + 1000000000, c_name, c_nationkey, c_acctbal * 2, c_m
 
 def changed(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame], dict[str, DataFrame]]:
     before = tables(spark, sf_dir)
-    by_table = ch.images_by_table(customer_changes(spark, sf_dir).withColumn("key", F.lit(None).cast("string")), schema(), ["stream_index", "ord"], before)
-    by_table = {"customer": by_table["customer"]}
+    by_table = ch.images_by_table(customer_changes(spark, sf_dir).withColumn("key", F.lit(None).cast("string")), schema(), ["stream_index", "ord"], before, {"customer"})
+    by_table = {"customer": cut(by_table["customer"])}
     return before, by_table, mt.apply_changes(before, by_table)
 
 

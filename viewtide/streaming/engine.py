@@ -122,7 +122,7 @@ class Engine:
         rows = rows.dropDuplicates([KEY])
         if held is not None:
             late = replayable(held, position)
-            rows = rewritten(rows, images_by_table(late.withColumn("key", F.lit(None).cast("string")), self.schema, ["seq", "ord"], {name: rows})[name])
+            rows = rewritten(rows, images_by_table(late.withColumn("key", F.lit(None).cast("string")), self.schema, ["seq", "ord"], {name: rows}, {name})[name])
         self.tables[name], scope.live = cut(rows), True
         scope.rows = []
         return [s for key in list(self.subscriptions) for s in self._materialize(key)]
@@ -262,7 +262,7 @@ class Engine:
                 mine = changes.where(F.col("tbl") == name).drop("key")
                 self.held[name] = cut(self.held[name].unionByName(mine)) if name in self.held else mine
         live = touched & self.tables.keys()
-        folded = images_by_table(changes, self.schema, ["seq", "ord"], self.tables)
+        folded = images_by_table(changes, self.schema, ["seq", "ord"], self.tables, live)
         by_table = {n: cut(folded[n]) for n in live}
         # The image before is the stored one; a stream may send less.
         before = dict(self.tables)
