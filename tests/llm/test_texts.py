@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from viewtide.llm import fertility, merge_dropout, secret_scan, simhash, token_counts, token_files
+from viewtide.llm import fertility, merge_dropout, near_copies, secret_scan, simhash, token_counts, token_files
 from viewtide.llm.common import tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -209,6 +209,49 @@ def test_near_duplicates_equal_brute_force(docs, documents):
     assert sorted(r.doc_id for r in stay.collect() if r.doc_id is not None) == firsts
 
 
+def brute_similar(texts):
+    """Pairs of rows whose five-word shingles have a Jaccard similarity of at least 0.8."""
+    sets = []
+    for t in texts:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(min(1, len(words)), len(words) - 4))})
+    return [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 9 * len(a & b) >= 4 * (len(a) + len(b))]
+
+
+@pytest.mark.parametrize("sample", [1, 16])
+def test_near_copies_equal_brute_force(spark, monkeypatch, documents, sample):
+    """Planted copies with changed words, a chain of them, a large group, and a line that many share."""
+    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    texts = [t for _, t, *_ in documents[:120]] + ["", " ", None, "one", "ONE", "one two three"]
+    line = " ".join(word() for _ in range(30))
+    for size, copies, changes in ((200, 12, 4), (200, 40, 3), (60, 8, 1), (600, 6, 15)):
+        base = [word() for _ in range(size)]
+        for k in range(copies):
+            new = list(base)
+            for at in rng.integers(0, size, int(rng.integers(0, changes + 1))):
+                new[at] = word()
+            texts.append(" ".join(new))
+            if k % 4 == 3:
+                base = new
+    texts += [line + " " + " ".join(word() for _ in range(int(rng.integers(5, 60)))) for _ in range(40)]
+    ids = [None if i % 50 == 7 else 1000 - i for i in range(len(texts))]
+    links = brute_similar(texts)
+    prints = [brute_fingerprint(t or "") for t in texts]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 2 for i, j in links) > 20
+    label = list(range(len(texts)))
+    for i, j in links:
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    least = {x: min((d for d, y in zip(ids, label, strict=True) if y == x and d is not None), default=None) for x in label}
+    frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+    found = sorted(near_copies.near_copies(frame).collect(), key=str)
+    assert [tuple(r) for r in found] == [tuple(r) for r in sorted(spark.createDataFrame([(d, least[x]) for d, x in zip(ids, label, strict=True)], "doc_id long, component_id long").collect(), key=str)]
+    stay = [r.doc_id for r in near_copies.one_of_each(frame).collect()]
+    assert sorted(d for d in stay if d is not None) == sorted(d for d, x in zip(ids, label, strict=True) if d is not None and d == least[x])
+
+
 @pytest.mark.parametrize("block", [8, 8192])
 def test_links_of_dense_fingerprints(spark, monkeypatch, block):
     """Chains and dense clusters, also with buckets dealt out in blocks."""
@@ -286,6 +329,7 @@ def test_empty_tables(no_docs):
     assert secret_scan.redacted(no_docs).count() == 0
     assert simhash.near_duplicates(no_docs).count() == 0
     assert simhash.one_of_each(no_docs).count() == 0
+    assert near_copies.one_of_each(no_docs).count() == 0
     assert merge_dropout.round_trips(no_docs).count() == 0
     assert token_files.read_token_files(token_files.write_token_files(no_docs)).count() == 0
 

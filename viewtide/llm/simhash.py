@@ -33,22 +33,28 @@ BLOCK_ROWS = 8_192
 PAIRS = 1_000_000
 
 
-def fingerprint_of(text: str, width: int, seed: int = SEED) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+def shingle_hashes(text: str, width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle in turn, none for a text without words."""
     from xxhash import xxh64_intdigest
 
     # bytes.lower() and bytes.split() know ASCII only: A-Z, and 0x20 and 0x09-0x0D.
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = np.array([xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        spans = zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)
-        hashes = np.fromiter((xxh64_intdigest(joined[a:z], seed) for a, z in spans), np.uint64, len(words) - width + 1)
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    spans = zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)
+    return np.fromiter((xxh64_intdigest(joined[a:z], seed) for a, z in spans), np.uint64, len(words) - width + 1)
+
+
+def fingerprint_of(text: str, width: int, seed: int = SEED) -> int:
+    """The fingerprint as a signed 64-bit integer."""
+    hashes = shingle_hashes(text, width, seed)
+    if not len(hashes):
+        return 0
     # Bits in little-endian order: bit k of the value at place k.
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
@@ -252,12 +258,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, n_piv
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """The rows of docs that stay: of each component the document with the smallest doc_id, once. Rows without doc_id stay."""
-    return around_extras(docs, {"doc_id", "text"}, lambda d: _firsts(d, width, radius))
+    return around_extras(docs, {"doc_id", "text"}, lambda d: firsts(d, near_duplicates(d, width, radius)))
 
 
-def _firsts(docs: DataFrame, width: int, radius: int) -> DataFrame:
+def firsts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that stay under labels (doc_id, component_id), a row for each row of docs."""
     names = docs.columns
-    labels = near_duplicates(docs, width, radius).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
+    labels = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
     labels = cut(labels.where("doc_id <> component_id or times > 1").select("doc_id", F.struct((F.col("doc_id") == F.col("component_id")).alias("first"), "times").alias("near_dup_mark")))
     marked = docs.join(labels.withColumnRenamed("doc_id", "near_dup_id"), F.col("doc_id") == F.col("near_dup_id"), "left").drop("near_dup_id")
     stays = marked.where("near_dup_mark is null or near_dup_mark.first")
