@@ -322,6 +322,21 @@ def test_dropout_decodes_and_equals_the_agenda(docs, documents, pieces):
     assert sorted(len(r.piece_ids) for r in out.collect()) == sorted(r["n_pieces"] for x in rows.values() for r in x)
 
 
+def test_dropout_varies_by_occurrence(pieces):
+    """A frequent word has many segmentations, within a document and over documents, each as the agenda has it under its own key."""
+    v = merge_dropout.vocabulary(merge_dropout.MODEL)
+    e = merge_dropout.Encoder(merge_dropout.MODEL, 1, 0.3)
+    text = " ".join(["understanding"] * 20 + ["x" * 60, "naïve\U0001F600"] * 3)
+    tokens = merge_dropout.PRE_TOKEN.findall(" " + text)
+    whole = []
+    for doc_id, ids in zip((1, 2, None), e.encode([(1, text), (2, text), (None, text)]), strict=True):
+        one = [merge_dropout.merge_one(t, int(k), 0.3, v) for t, k in zip(tokens, merge_dropout.occurrence_keys(doc_id, len(tokens), 1), strict=True)]
+        assert np.frombuffer(ids, "<u2").tolist() == sum(one, [])
+        assert len({tuple(x) for x in one[:20]}) > 4
+        whole.append(ids)
+    assert len(set(whole)) == 3
+
+
 def test_empty_tables(no_docs):
     assert token_counts.token_counts(no_docs).count() == 0
     assert fertility.quality(no_docs).count() == 0

@@ -2,11 +2,10 @@
 
 A pre-token's characters are merged as the model does it: the best-ranked merge first, the leftmost of equal ones. Each
 candidate - what lies to the left, what to the right, and where - is skipped when its keyed hash falls below the dropout
-rate; it comes back only as part of another candidate, after a neighbour was merged. The key is made of the seed, the
-pre-token and a variant; each run of a document's pre-tokens draws its variant from a stream that the seed and its doc_id key.
-So one seed always gives the same segmentation, a pre-token has up to ``VARIANTS`` of them, and each (pre-token, variant)
-is merged once per worker, in a bounded table. Missing ones are merged together, all of a length at once as arrays
-(``merge_many``); ``merge_one`` walks an agenda for a single one, and serves long ones. Both give the same pieces.
+rate; it comes back only as part of another candidate, after a neighbour was merged. The key is made of the seed, the doc_id
+and the pre-token's number in the document, so one seed always gives a document the same pieces, and a word is segmented anew
+wherever it occurs. A batch's pre-tokens are merged together, those of about a length at once as arrays (``merge_many``);
+``merge_one`` walks an agenda for a single one, and serves long ones. Both give the same pieces.
 
 Characters outside the vocabulary become byte pieces, and so does U+2581 itself, which the library would turn into a space:
 decoding gives back every text, code point by code point.
@@ -21,25 +20,21 @@ import hashlib
 import heapq
 import re
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
-from xxhash import xxh64_intdigest
 
 from .common import rarely_collect, rows_of, text_batches
 from .pieces import MARK, MODEL, Vocabulary, vocabulary
 
 SEED, RATE = 42, 0.1
-#: Segmentations that a pre-token may have under one seed.
-VARIANTS = 4
-#: Pre-tokens of a document in a row that share a variant, and pre-tokens that are merged together.
-RUN = 32
-TOGETHER = 2048
-TABLE_ROWS = 1_000_000
-#: Longer pre-tokens are merged alone and not kept.
+#: Pre-tokens that are merged together.
+TOGETHER = 8192
+#: Pre-tokens that are kept between batches: none, as each occurrence has a key of its own.
+TABLE_ROWS = 0
+#: Longer pre-tokens are merged alone.
 TABLE_CHARS = 48
 #: Here U+2581 is no space, unlike in the library.
 PRE_TOKEN = re.compile(" +[^ ]*")
@@ -62,15 +57,11 @@ def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndar
         return mix(mix(key) ^ place) >> np.uint64(11) < np.uint64(int(rate * 2**53))
 
 
-def token_key(token: str, variant: int, seed: int) -> int:
-    return xxh64_intdigest(token.encode("utf-8", "replace"), (seed * VARIANTS + variant) % 2**64)
-
-
-def document_variants(doc_id: int | None, n: int, seed: int) -> np.ndarray:
-    """The variants of a document's runs of pre-tokens."""
+def occurrence_keys(doc_id: int | None, n: int, seed: int) -> np.ndarray:
+    """The keys of a document's pre-tokens in turn."""
     key = hashlib.blake2b(f"{seed}:{-1 if doc_id is None else doc_id}".encode(), digest_size=8).digest()
     with np.errstate(over="ignore"):
-        return mix(np.frombuffer(key, "<u8") + np.arange(n, dtype=np.uint64)) % np.uint64(VARIANTS)
+        return mix(np.frombuffer(key, "<u8") + np.arange(n, dtype=np.uint64))
 
 
 def characters(text: str, v: Vocabulary) -> np.ndarray:
@@ -134,7 +125,7 @@ def merge_one(token: str, key: int, rate: float, v: Vocabulary) -> list[int]:
     return with_bytes([ids[s] for s in starts], starts, token, v)
 
 
-def merge_many(tokens: list[str], keys: list[int], rate: float, v: Vocabulary) -> list[bytes]:
+def merge_many(tokens: list[str], keys: list[int] | np.ndarray, rate: float, v: Vocabulary) -> list[bytes]:
     """The pieces of pre-tokens of like lengths as little-endian 16-bit integers, merged all together."""
     n, lengths = len(tokens), np.fromiter(map(len, tokens), np.int64, len(tokens))
     width = int(lengths.max()) + 1
@@ -191,57 +182,36 @@ def merge_many(tokens: list[str], keys: list[int], rate: float, v: Vocabulary) -
 
 
 class Encoder:
-    """Encodes texts through one bounded table of merged pre-tokens for each variant."""
+    """Encodes texts, each occurrence of a pre-token under its own key."""
 
     def __init__(self, model: str, seed: int, rate: float):
         rarely_collect()
         self.v, self.seed, self.rate = vocabulary(model), seed, rate
         if self.v.n > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        # What was used since the tables were full last, and what was before: frequent pre-tokens outlive that.
-        self.tables: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.tables: list[dict[str, bytes]] = [{}] * TABLE_ROWS
 
     def encode(self, rows: list[tuple[int | None, str]]) -> list[bytes]:
         """The ids of each (doc_id, text) as little-endian 16-bit integers."""
-        if sum(map(len, self.tables)) > TABLE_ROWS // 2:
-            self.old, self.tables = self.tables, [{} for _ in range(VARIANTS)]
-        tables = self.tables
-        look = [t.get for t in tables]
-        missing: list[set[str]] = [set() for _ in tables]
-        done, gaps = [], []
+        tokens, keys, ends = [], [np.zeros(0, np.uint64)], [0]
         for doc_id, text in rows:
-            tokens = PRE_TOKEN.findall(" " + text) if text else []
-            found: list[bytes | None] = []
-            for at, k in zip(range(0, len(tokens), RUN), document_variants(doc_id, -(-len(tokens) // RUN), self.seed).tolist(), strict=True):
-                run = tokens[at : at + RUN]
-                got = list(map(look[k], run))
-                if None in got:
-                    absent = [i for i, x in enumerate(got) if x is None]
-                    missing[k].update([run[i] for i in absent])
-                    gaps += [(found, at + i, k, run[i]) for i in absent]
-                found += got
-            done.append(found)
-        for k, tokens in enumerate(missing):
-            again = tokens & self.old[k].keys()
-            tables[k].update(zip(again, map(self.old[k].__getitem__, again), strict=True))
-            self._fill(tables[k], k, sorted(tokens - again, key=len))
-        for found, at, k, token in gaps:
-            found[at] = tables[k][token]
-        for k, tokens in enumerate(missing):
-            for token in tokens:
-                if len(token) > TABLE_CHARS:
-                    del tables[k][token]
-        return [b"".join(x) for x in done]
-
-    def _fill(self, table: dict[str, bytes], variant: int, tokens: list[str]) -> None:
-        """tokens by length"""
-        short = bisect_right(tokens, TABLE_CHARS, key=len)
+            mine = PRE_TOKEN.findall(" " + text) if text else []
+            tokens += mine
+            keys.append(occurrence_keys(doc_id, len(mine), self.seed))
+            ends.append(len(tokens))
+        key = np.concatenate(keys)
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        order = np.argsort(lengths, kind="stable")
+        short = int(np.searchsorted(lengths[order], TABLE_CHARS, side="right"))
+        found: list[bytes] = [b""] * len(tokens)
         for at in range(0, short, TOGETHER):
-            part = tokens[at : min(at + TOGETHER, short)]
-            table.update(zip(part, merge_many(part, [token_key(t, variant, self.seed) for t in part], self.rate, self.v), strict=True))
-        for token in tokens[short:]:
-            table[token] = np.array(merge_one(token, token_key(token, variant, self.seed), self.rate, self.v), "<u2").tobytes()
+            part = order[at : min(at + TOGETHER, short)]
+            places = part.tolist()
+            for i, ids in zip(places, merge_many([tokens[i] for i in places], key[part], self.rate, self.v), strict=True):
+                found[i] = ids
+        for i in order[short:].tolist():
+            found[i] = np.array(merge_one(tokens[i], int(key[i]), self.rate, self.v), "<u2").tobytes()
+        return [b"".join(found[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids in UTF-8: the pieces' text without the one space that encoding put before it."""
