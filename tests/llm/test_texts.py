@@ -147,6 +147,26 @@ def test_secrets_equal_brute_force(spark, docs, documents):
     assert "ident" in linked and "opaque" in linked and "endpoint" in linked
 
 
+def test_secrets_with_endpoints(spark):
+    """A weak secret and an endpoint complete each other, apart or one in the other."""
+    opaque = "Xk29dLq84mZpT7vWb3Ns10Qe"
+    cases = [
+        (f"call https://api.example.com/v1 with {opaque} now", "endpoint opaque", "call [endpoint] with [opaque] now"),
+        (f"postgresql://admin:{opaque}@db.example.com:5432/prod", "endpoint opaque", "[endpoint]"),
+        ("at redis://:hunter2@cache:6379/0 then", "endpoint", "at [endpoint] then"),
+        ("get https://example.com/a?token=abcdefgh1234 now", "endpoint assign", "get [endpoint] now"),
+        (f"see https://example.com/docs:8/a@b and {'x ' * 300}{opaque}", "", None),
+        (f"only {opaque}", "", None),
+        ("user=bob at https://example.com/x", "", None),
+        (f"user={opaque}", "", None),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")
+    found = {r.doc_id: " ".join(s.kind for s in r.spans) for r in secret_scan.find_secrets(frame).collect()}
+    assert found == {i: kinds for i, (_, kinds, _) in enumerate(cases)}
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(frame).collect()}
+    assert clean == {i: t if c is None else c for i, (t, _, c) in enumerate(cases)}
+
+
 def test_redaction_replaces_spans(spark, docs, documents):
     extra = [(300_000 + i, t, None, None) for i, t in enumerate(SECRETS)]
     more = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(i, t, None, None, len(t)) for i, t, _, _ in extra], "doc_id long, text string, lang string, source string, n_chars long"))

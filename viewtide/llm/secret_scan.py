@@ -4,7 +4,9 @@ Three kinds are always reported: assignments of secrets, access identifiers, and
 on their own, and are reported only with a complementary part nearby: the name of an account (``ident``), an opaque run of
 mixed characters (``opaque``), and an endpoint (``endpoint``). A part has a role - identifier (access, ident), secret
 (assign, hex, opaque) or endpoint - and its scope reaches ``REACH`` code points to both sides within its document. A weak
-identifier needs a secret in its scope, a weak secret an identifier, an endpoint a secret. Parts meet in an interval join:
+identifier needs a secret in its scope, a weak secret an identifier or an endpoint, an endpoint a secret. Identifiers and
+secrets must lie apart; an endpoint may hold the secret, and one with a user and a password before its host (``userinfo``,
+which is a secret part but no kind of its own) is complete by itself. Parts meet in an interval join:
 each is dealt to the cells of REACH code points that it covers, a weak one also to those that its scope covers, and cells are
 joined by document and number before the intervals are compared. A cell holds few parts, however long the text.
 
@@ -32,10 +34,15 @@ HEX = r"[0-9a-f]+"
 BASE_KINDS = ("assign", "access", "hex")
 WEAK_KINDS = ("ident", "opaque", "endpoint")
 KINDS = BASE_KINDS + WEAK_KINDS
+#: What is looked for: the kinds, and a part that only completes others.
+PART_KINDS = (*KINDS, "userinfo")
 #: A run that begins and ends at a boundary and holds a digit, a capital and a small letter.
 OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+"
 IDENT = r"(?<![A-Za-z0-9])(?i:user(?:_?name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}"
-ENDPOINT = r"(?<![A-Za-z0-9])(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+"
+SCHEME = r"(?<![A-Za-z0-9])(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://"
+ENDPOINT = SCHEME + r"[^\s\"'<>]+"
+#: An endpoint up to the @ behind user:secret.
+USERINFO = SCHEME + r"[^\s\"'<>/?#:@]*:[^\s\"'<>/?#]+@"
 #: Code points to both sides within which parts belong together.
 REACH = 256
 KEY = ["scan_doc", "scan_null", "scan_hash"]
@@ -63,8 +70,9 @@ def scan(docs: DataFrame) -> DataFrame:
         "ident": _cuts(text, IDENT, IDENT),
         "opaque": _cuts(text, OPAQUE, r"[A-Za-z0-9+/_-]{20}"),
         "endpoint": _cuts(text, ENDPOINT, "://"),
+        "userinfo": _cuts(text, USERINFO, r"://[^\s@]*@"),
     }
-    return docs.select("doc_id", *_key(text), *(cuts[k].alias(k) for k in KINDS))
+    return docs.select("doc_id", *_key(text), *(cuts[k].alias(k) for k in PART_KINDS))
 
 
 def _key(text: Column) -> list[Column]:
@@ -74,36 +82,38 @@ def _key(text: Column) -> list[Column]:
 def parts(scanned: DataFrame) -> DataFrame:
     """The parts of each distinct document: key, kind, rank (of the kind), start, end (code points)."""
     some = F.lit(False)
-    for k in KINDS:
+    for k in PART_KINDS:
         some = some | (F.size(k) > 0)
-    kinds = F.array(*(F.struct(F.lit(i).alias("rank"), F.col(k).alias("cuts")) for i, k in enumerate(KINDS)))
+    kinds = F.array(*(F.struct(F.lit(i).alias("rank"), F.col(k).alias("cuts")) for i, k in enumerate(PART_KINDS)))
     rows = scanned.where(some).dropDuplicates(KEY).select(*KEY, F.explode(kinds).alias("k"))
     rows = rows.select(*KEY, F.col("k.rank").alias("rank"), F.posexplode("k.cuts").alias("at", "cut"))
     so_far = Window.partitionBy(*KEY, "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("cut.gap") + F.col("cut.size")).over(so_far)
     rows = rows.select(*KEY, "rank", "cut", end.alias("end")).where("cut.counts")
-    return rows.select(*KEY, F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1).alias("kind"), "rank", (F.col("end") - F.col("cut.size")).alias("start"), "end")
+    return rows.select(*KEY, F.element_at(F.array(*map(F.lit, PART_KINDS)), F.col("rank") + 1).alias("kind"), "rank", (F.col("end") - F.col("cut.size")).alias("start"), "end")
 
 
 def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     """The weak parts that have a complementary part in their scope."""
     role = F.when(F.col("kind").isin("access", "ident"), "id").when(F.col("kind") == "endpoint", "endpoint").otherwise("secret")
     found = found.withColumn("role", role)
-    needs = F.when(F.col("role") == "secret", "id").otherwise("secret")
+    needs = F.when(F.col("role") == "secret", F.array(F.lit("id"), F.lit("endpoint"))).otherwise(F.array(F.lit("secret")))
     covered = F.explode(F.sequence(F.floor(F.col("from") / reach), F.floor((F.col("to") - 1) / reach)))
     other = found.select(*KEY, F.col("role").alias("needs"), F.col("rank").alias("other_rank"), F.col("start").alias("from"), F.col("end").alias("to")).withColumn("cell", covered)
     base = other.where(F.col("other_rank") < len(BASE_KINDS))
     weak = found.where(F.col("kind").isin(*WEAK_KINDS)).withColumn("needs", needs)
-    # What overlaps a base part is that part in another pattern's eyes.
+    # What overlaps a base part is that part in another pattern's eyes; an endpoint may hold it.
     weak = weak.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor((F.col("end") - 1) / reach))))
-    inside = [weak[c] == base[c] for c in (*KEY, "cell")] + [(base["from"] < weak["end"]) & (base["to"] > weak["start"])]
-    seen = weak.join(base, inside, "left_semi").select(*KEY, "rank", "start").distinct()
-    weak = weak.drop("cell").distinct().join(seen, [*KEY, "rank", "start"], "left_anti")
+    over = [weak[c] == base[c] for c in (*KEY, "cell")] + [(base["from"] < weak["end"]) & (base["to"] > weak["start"])]
+    seen = weak.where("role <> 'endpoint'").join(base, over, "left_semi").select(*KEY, "rank", "start").distinct()
+    weak = weak.drop("cell").distinct().join(seen, [*KEY, "rank", "start"], "left_anti").withColumn("needs", F.explode("needs"))
     weak = weak.withColumn("cell", F.explode(F.sequence(F.floor((F.col("start") - reach) / reach), F.floor((F.col("end") + reach) / reach))))
     same = [weak[c] == other[c] for c in (*KEY, "needs", "cell")]
     close = (other["from"] < weak["end"] + reach) & (other["to"] > weak["start"] - reach)
     apart = (other["from"] >= weak["end"]) | (other["to"] <= weak["start"])
-    return weak.join(other, [*same, close, apart], "left_semi").select(*KEY, "kind", "rank", "start", "end").distinct()
+    holds = (weak["role"] == "endpoint") & (other["from"] >= weak["start"]) & (other["to"] <= weak["end"])
+    held = (weak["needs"] == "endpoint") & (other["from"] <= weak["start"]) & (other["to"] >= weak["end"])
+    return weak.join(other, [*same, close, apart | holds | held], "left_semi").select(*KEY, "kind", "rank", "start", "end").distinct()
 
 
 def spans(scanned: DataFrame, reach: int = REACH) -> DataFrame:
