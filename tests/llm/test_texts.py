@@ -229,6 +229,17 @@ def test_near_duplicates_equal_brute_force(docs, documents):
     assert sorted(r.doc_id for r in stay.collect() if r.doc_id is not None) == firsts
 
 
+def test_rows_without_doc_id_link(spark, monkeypatch):
+    """A fingerprint that only rows without doc_id have joins its neighbours, and bridges two of them."""
+    prints = [(None, 0b11), (5, 0b1), (9, 0b110111), (None, 1 << 40 | 1 << 50 | 1 << 60), (7, 0b1111)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: spark.createDataFrame(prints, "doc_id long, fp long"))
+    found = {r.fingerprint: r.component_id for r in simhash.near_duplicates(None).collect()}
+    assert found == {f"{f:016x}": c for (_, f), c in zip(prints, brute_components(prints), strict=True)}
+    assert list(found.values()).count(None) == 1
+    prints[:] = [(4, 0), (None, 0b11), (6, 0b1111)]
+    assert {r.component_id for r in simhash.near_duplicates(None).collect()} == {4}
+
+
 def brute_similar(texts):
     """Pairs of rows whose five-word shingles have a Jaccard similarity of at least 0.8."""
     sets = []

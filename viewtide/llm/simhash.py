@@ -250,9 +250,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, n_pivots: int = 24) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id (the smallest doc_id reachable over links)."""
     prints = cut(fingerprints(docs, width))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(class_edges(classes.where("node is not null"), radius, n_pivots))
-    named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # A class is named by its fingerprint, so one without a doc_id links too.
+    found = components(class_edges(classes.select("fp", F.col("fp").alias("node")), radius, n_pivots))
+    placed = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
