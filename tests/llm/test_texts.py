@@ -48,11 +48,16 @@ def test_token_counts_equal_the_library(docs, documents, pieces):
     assert_same(by_id(token_counts.token_counts(docs).collect()), expected(documents, one), ["n_bytes", "n_tokens", "over_limit"])
 
 
-def test_token_table_starts_anew(pieces, monkeypatch):
-    monkeypatch.setattr(token_counts, "TABLE_ROWS", 5)
-    texts = ["one two three four five six", "six seven one", "x" * 100 + " y"]
-    for t in texts * 2:
-        assert token_counts.count_texts([t]) == [len(pieces.encode(t))]
+def test_pre_tokens_are_counted_once_and_joined(spark, docs, documents, pieces, monkeypatch):
+    """The frequencies and pieces of the distinct pre-tokens, and counts whose tail meets them in a shuffle join."""
+    cut = Counter(p for _, t, *_ in documents for p in token_counts.pre_tokens(t or ""))
+    table = {r.token: (r.times, r.pieces) for r in token_counts.piece_table(docs).collect()}
+    assert table == {t: (n, len(pieces.encode(t)) or 1) for t, n in cut.items() if len(t) <= token_counts.LONG}
+    whole = by_id(token_counts.token_counts(docs).collect())
+    monkeypatch.setattr(token_counts, "HEAD_ROWS", 200)
+    monkeypatch.setattr(token_counts, "GATHERED", 50)
+    assert token_counts.head_threshold(token_counts.piece_table(docs)) > 1
+    assert by_id(token_counts.token_counts(docs).collect()) == whole
 
 
 def test_quality_equals_brute_force(docs, documents, pieces):

@@ -1,12 +1,17 @@
 """Token counts without token ids.
 
-A text is cut into pre-tokens that no piece of the vocabulary crosses: a run of the space mark with what follows it.
-Each distinct pre-token is given to the library once per table, which keeps only the number of its pieces; a document's
-count is the join of its pre-token frequencies with that table, summed. The table belongs to a Python worker, is bounded
-(``TABLE_ROWS``) and starts anew when full, so memory doesn't grow with the corpus and nothing is shuffled.
+A text is cut into pre-tokens that no piece of the vocabulary crosses: a run of the space mark with what follows it. One pass
+gathers the distinct pre-tokens of the corpus with their frequencies, pre-aggregated in the tasks; the library counts the
+pieces of each of them once; a second pass joins every document's pre-token frequencies with these counts and sums.
+
+The join's frequent side is broadcast: the most frequent pre-tokens, ``HEAD_ROWS`` at most, by a threshold on the frequency
+that a histogram gives. A document's frequencies of the others leave the pass as rows and meet their counts in a shuffle join;
+none of those has more than the threshold's number of rows. Where the corpus has no more than ``HEAD_ROWS`` distinct pre-tokens
+nothing is left to shuffle. Pre-tokens of more than ``LONG`` characters aren't moved: they are counted where they stand.
 
 Defined results: a null text counts as empty; an empty text has 0 bytes and 0 tokens; a null doc_id stays null;
-repeated rows are counted one by one; other columns of the input are ignored; an empty table gives no rows.
+repeated rows are counted one by one; other columns of the input are ignored; an empty table gives no rows; a very long text
+is counted whole, and one without a space is a single pre-token.
 """
 
 from __future__ import annotations
@@ -18,69 +23,133 @@ from functools import lru_cache
 from operator import mul
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import rows_of, text_batches, tokenizer_file
+from .common import cut, rows_of, text_batches, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
-#: Distinct pre-tokens that a worker's table holds; longer pre-tokens than TABLE_CHARS are counted but not kept.
-TABLE_ROWS = 400_000
-TABLE_CHARS = 64
+#: Pre-tokens whose counts are broadcast, at most, and characters that a gathered pre-token has, at most.
+HEAD_ROWS, LONG = 200_000, 64
+#: Distinct pre-tokens that a task gathers before it passes them on.
+GATHERED = 300_000
 #: Space and U+2581 are the same mark to the model.
 PRE_TOKEN = re.compile("[ ▁]+[^ ▁]*")
 
 
-class PieceCounts(dict):
-    """pre-token -> number of pieces, filled through the library."""
+def pre_tokens(text: str) -> list[str]:
+    """The pre-tokens without their first mark, which the library puts before what it is given."""
+    if not text:
+        return []
+    if "  " in text or "▁" in text or text[0] == " ":
+        return [t[1:] for t in PRE_TOKEN.findall(" " + text)]
+    return text.split(" ")
 
-    def __init__(self, model: str):
-        import sentencepiece
 
-        super().__init__()
-        self.processor = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(model))
+@lru_cache(maxsize=2)
+def processor(model: str):
+    import sentencepiece
 
-    def add(self, pre_tokens: list[str]) -> None:
-        # The library puts one mark before what it is given, so one is taken off.
-        for token, ids in zip(pre_tokens, self.processor.encode([t[1:] for t in pre_tokens], num_threads=1), strict=True):
-            # It puts none before an empty string: a lone mark is one piece of the vocabulary.
-            self[token] = len(ids) if len(token) > 1 else 1
+    return sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(model))
 
 
-@lru_cache(maxsize=2)
-def piece_counts(model: str) -> PieceCounts:
-    return PieceCounts(model)
+def count_pieces(tokens: list[str], model: str) -> list[int]:
+    """Pieces of each pre-token. The library puts no mark before an empty string: a lone mark is one piece."""
+    return [len(ids) if t else 1 for t, ids in zip(tokens, processor(model).encode(tokens, num_threads=1), strict=True)]
 
 
-def pre_tokens(text: str) -> list[str]:
-    return PRE_TOKEN.findall(" " + text) if text else []
+def frequencies(docs: DataFrame) -> DataFrame:
+    """token, times: the distinct pre-tokens of up to LONG characters."""
+    import pyarrow as pa
+
+    text_batches(docs.sparkSession)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            kept = [(t, n) for t, n in found.items() if len(t) <= LONG]
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["token", "times"])
 
+        for batch in batches:
+            for (text,) in rows_of(batch, "text"):
+                found.update(pre_tokens(text or ""))
+            if len(found) > GATHERED:
+                yield flush()
+                found.clear()
+        yield flush()
+
+    return docs.select("text").mapInArrow(gather, "token string, times long").groupBy("token").agg(F.sum("times").alias("times"))
+
+
+def piece_table(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """token, times, pieces: every distinct pre-token, counted once by the library."""
+    import pyarrow as pa
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = count_pieces(batch.column(0).to_pylist(), model)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], ["token", "times", "pieces"])
+
+    return cut(frequencies(docs).mapInArrow(count, "token string, times long, pieces long"))
 
-def count_texts(texts: list[str], model: str = MODEL) -> list[int]:
-    """Pieces of each text, as the library gives them for whole texts."""
-    table = piece_counts(model)
-    if len(table) > TABLE_ROWS:
-        table.clear()
-    frequencies = [Counter(pre_tokens(t)) for t in texts]
-    table.add(list(set().union(*frequencies) - table.keys()))
-    counts = [sum(map(mul, map(table.__getitem__, f), f.values())) for f in frequencies]
-    for token in [t for f in frequencies for t in f if len(t) > TABLE_CHARS]:
-        table.pop(token, None)
-    return counts
+
+def head_threshold(table: DataFrame) -> int:
+    """The least frequency that no more than HEAD_ROWS pre-tokens reach, a power of two."""
+    by_size = {r["power"]: r["count"] for r in table.groupBy(F.floor(F.log2("times")).cast("int").alias("power")).count().collect()}
+    total, least = 0, 63
+    for power in range(62, -1, -1):
+        total += by_size.get(power, 0)
+        if total > HEAD_ROWS:
+            break
+        least = power
+    return 1 << least
 
 
 def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit`` tokens)."""
     import pyarrow as pa
 
-    text_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    table = piece_table(docs, model)
+    least = head_threshold(table)
+    head = spark.sparkContext.broadcast({r["token"]: r["pieces"] for r in table.where(F.col("times") >= least).select("token", "pieces").toLocalIterator()})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = head.value
+        get = known.get
         for batch in batches:
-            ids, texts = zip(*rows_of(batch, "doc_id", "text"), strict=True) if batch.num_rows else ((), ())
-            texts = [t or "" for t in texts]
-            counts = count_texts(texts, model)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+            names, times, ends, counts, sizes = [], [], [0], [], []
+            for (text,) in rows_of(batch, "text"):
+                text = text or ""
+                freq = Counter(pre_tokens(text))
+                pieces = list(map(get, freq))
+                if None in pieces:
+                    missing = [t for t, n in zip(freq, pieces, strict=True) if n is None]
+                    long = [t for t in missing if len(t) > LONG]
+                    pieces = [n or 0 for n in pieces]
+                    extra = sum(n * freq[t] for t, n in zip(long, count_pieces(long, model), strict=True)) if long else 0
+                    rest = [t for t in missing if len(t) <= LONG]
+                    names += rest
+                    times += map(freq.__getitem__, rest)
+                else:
+                    extra = 0
+                ends.append(len(names))
+                counts.append(sum(map(mul, pieces, freq.values())) + extra)
+                sizes.append(len(text.encode("utf-8", "replace")))
+            pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int64())], ["token", "times"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), lists], ["row", "doc_id", "n_bytes", "n_head", "tail"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text_batches(spark)
+    joined = rows.mapInArrow(join, "row long, doc_id long, n_bytes long, n_head long, tail array<struct<token:string,times:long>>")
+    n_tokens = F.col("n_head")
+    if least > 1:
+        # Row numbers hold from here on: the pass is run once.
+        joined = cut(joined)
+        tail = joined.select("row", F.explode("tail").alias("t")).select("row", "t.token", "t.times")
+        rare = table.where(F.col("times") < least).select("token", "pieces")
+        sums = tail.join(rare, "token").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("n_tail"))
+        joined = joined.drop("tail").join(sums, "row", "left")
+        n_tokens = F.col("n_head") + F.coalesce("n_tail", F.lit(0))
+    return joined.select("doc_id", "n_bytes", n_tokens.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
