@@ -288,10 +288,31 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, documents, sample):
     assert sorted(d for d in stay if d is not None) == sorted(d for d, x in zip(ids, label, strict=True) if d is not None and d == least[x])
 
 
+def test_pivot_cells_hold_every_link_once():
+    """Fingerprints within the radius meet in one cell where they share no way; few others do."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**64, 400, np.uint64)
+    flips = [np.uint64(0), np.uint64(1) << np.uint64(63), np.uint64(0b101 << 20)]
+    b = np.concatenate([a ^ f for f in flips])
+    for radius, n, share in ((2, 6, 0.55), (1, 3, 0.45), (3, 9, 0.75)):
+        pivots = simhash.pivot_values(n)
+        sides = [defaultdict(list) for _ in range(2)]
+        for side, fps in zip(sides, (a, b), strict=True):
+            for key, way, row in zip(*(x.tolist() for x in simhash.cells(fps, pivots, radius)), strict=True):
+                side[key].append((way, row))
+        met = Counter((i, j) for key, rows in sides[0].items() for w, i in rows for v, j in sides[1].get(key, ()) if not w & v)
+        near = {(i, j) for i in range(400) for j in range(1200) if (int(a[i]) ^ int(b[j])).bit_count() <= radius}
+        assert near <= met.keys() and set(met.values()) == {1} and len(near) >= 800
+        assert len(met) < 480_000 * share**n + 1_200
+
+
 @pytest.mark.parametrize("block", [8, 8192])
 def test_links_of_dense_fingerprints(spark, monkeypatch, block):
-    """Chains and dense clusters, also with buckets dealt out in blocks."""
+    """Chains and dense clusters, also with cells dealt out in blocks."""
     monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    monkeypatch.setattr(simhash, "CELL_ROWS", 20)
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    monkeypatch.setattr(simhash, "TOGETHER", 300)
     monkeypatch.setattr(simhash, "PAIRS", 50)
     rng = np.random.default_rng(0)
     fps = []

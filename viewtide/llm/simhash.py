@@ -1,19 +1,26 @@
 """SimHash near-duplicates through pivot distance tables.
 
 A fingerprint has a bit set where over half of the XXH64 hashes of the text's three-word shingles have it. Documents with
-equal fingerprints form a class; classes link at ``RADIUS`` or fewer differing bits. Two fingerprints that close agree in
-one of RADIUS + 1 bit segments, so classes meet in the buckets of their segments. Within a bucket a table holds every
-fingerprint's Hamming distances to the reference fingerprints (pivots): by the triangle inequality a pair whose distances
-to any pivot differ by more than RADIUS is no link. The table is sorted by its first column, so only a window of each row's
-followers is looked at; the other columns discard pairs one after another, and only the survivors' bits are compared. A
-bucket gives the edges of a spanning forest, never its pairs, and pairs that are connected already are skipped.
-
-Buckets of more than ``BLOCK_ROWS`` fingerprints are dealt out as pairs of blocks to several tasks. Components come from
-contracting the edges until none is left; nothing of that is held on the driver.
+equal fingerprints form a class; classes link at ``RADIUS`` or fewer differing bits. A table holds every fingerprint's Hamming
+distances to reference fingerprints (pivots). By the triangle inequality the distances of a link to any pivot differ by RADIUS
+at most, and the table is used three times for it:
+
+- Candidates: the first pivots' distances are cut into cells of 2 RADIUS + 1, and a fingerprint lies in the cell of its
+  distance and in that of its distance plus RADIUS. Fingerprints that link share one cell under every pivot, so they meet in the
+  cells of all these pivots together, and are compared in the one cell where no pivot has both of them by the second way.
+- Within a cell the rows are sorted by the next pivot's distance, and only a window of each row's followers is looked at.
+- The other pivots discard pairs whose distances differ by more, one after another. The survivors' bits are compared.
+
+How many pivots make the cells follows from the number of classes, so a cell holds about ``CELL_ROWS``; each further pivot
+halves a cell's rows and adds 40 % of copies, so rows grow as the 1.4th power of the number of classes. Cells that a sample shows
+to be large are dealt out as pairs of blocks to several tasks. A task gives the edges of a spanning forest, never its pairs,
+and pairs that are connected already are skipped. Components come from contracting the edges until none is left; nothing of
+that is held on the driver.
 
 Defined results: null text is empty; a text without words has fingerprint zero and links like any other; fewer words than
 a shingle has make one shingle of the whole sequence; a null doc_id takes part, but is no component's id unless all are
-null; repeated rows are repeated in the result; other columns are ignored.
+null; repeated rows are repeated in the result; other columns are ignored; an empty table gives no rows; a very long text is
+read whole, its hashes added up in parts.
 """
 
 from __future__ import annotations
@@ -21,16 +28,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import around_extras, cut, rows_of, text_batches
+from .common import around_extras, cut, rows_of, small_or_plain, text_batches
 
 SEED = 42
 RADIUS = 2
-BLOCK_ROWS = 8_192
-#: Pairs looked at together in a bucket.
-PAIRS = 1_000_000
+#: Reference fingerprints in a table.
+PIVOTS = 24
+#: Rows of a cell, about, and of a block of a cell that is dealt out; one row in SAMPLE is looked at for large cells.
+CELL_ROWS, BLOCK_ROWS, SAMPLE = 1_000, 8_192, 16
+#: The share of random pairs that one pivot's cells leave together.
+LEFT = 0.46
+#: Rows closed together, and pairs looked at together.
+TOGETHER, PAIRS = 65_536, 1_000_000
 
 
 def shingle_hashes(text: str, width: int, seed: int = SEED) -> np.ndarray:
@@ -90,7 +102,7 @@ def pivot_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Labels of a bucket's rows under the links found so far, and one edge for each link that joined two trees."""
+    """Labels of rows under the links found so far, and one edge for each link that joined two trees."""
 
     def __init__(self, n: int):
         self.label, self.edges = np.arange(n), []
@@ -105,7 +117,7 @@ class Forest:
             # One link for each higher label: they join at once, whatever order they come in.
             high, low = np.maximum(la, lb), np.minimum(la, lb)
             high, at = np.unique(high, return_index=True)
-            self.edges += zip(a[at].tolist(), b[at].tolist(), strict=True)
+            self.edges.append(np.column_stack([a[at], b[at]]))
             to = np.arange(len(self.label))
             to[high] = low[at]
             while True:
@@ -116,30 +128,57 @@ class Forest:
             self.label = to[self.label]
 
 
-def links_within(fps: np.ndarray, split: int, pivots: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning edges (row numbers) of the links among fps; with split > 0, of those between rows before and from it."""
-    n = len(fps)
-    if n == 2:
-        return [(0, 1)] if int(np.bitwise_count(fps[0] ^ fps[1])) <= radius else []
-    table = pivot_table(fps, pivots)
-    order = np.argsort(table[:, 0], kind="stable")
-    first = table[order, 0]
-    until = np.searchsorted(first, first + radius, side="right")
-    forest = Forest(n)
-    begin = 0
+def cell_pivots(n: int) -> int:
+    """How many pivots make the cells of n fingerprints."""
+    return max(2, int(np.ceil(np.log(max(n, 1) / CELL_ROWS) / -np.log(LEFT))))
+
+
+def cells(fps: np.ndarray, pivots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, ways, row: the cells that each fingerprint lies in. Bit j of ways: under pivot j by its distance plus radius."""
+    table, width = pivot_table(fps, pivots).astype(np.int64), 2 * radius + 1
+    first, second = table // width, (table + radius) // width
+    # A cell's key is made of a hash for each pivot's part of it.
+    names = np.array([[hash_of(j, c) for c in range(64 // width + 2)] for j in range(len(pivots))], np.uint64)
+    row = np.arange(len(fps))
+    key, ways = np.zeros(len(fps), np.uint64), np.zeros(len(fps), np.int64)
+    for j in range(len(pivots)):
+        key ^= names[j, first[:, j]]
+    for j in range(len(pivots)):
+        also = np.flatnonzero(first[row, j] != second[row, j])
+        r = row[also]
+        key = np.concatenate([key, key[also] ^ names[j, first[r, j]] ^ names[j, second[r, j]]])
+        ways, row = np.concatenate([ways, ways[also] | 1 << j]), np.concatenate([row, r])
+    return key, ways, row
+
+
+def hash_of(pivot: int, cell: int) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(f"cell {pivot} {cell}".encode(), SEED)
+
+
+def links_within(cell: np.ndarray, fps: np.ndarray, ways: np.ndarray, own: np.ndarray | None, pivots: np.ndarray, radius: int) -> np.ndarray:
+    """Spanning edges (row numbers) of the links between rows of a cell (numbered) that share no way. own: the rows' blocks, -1 where all pairs count; else those of different blocks."""
+    n, table = len(fps), pivot_table(fps, pivots)
+    # A cell's rows in the order of the first distance; no window reaches the next cell.
+    place = cell * 256 + table[:, 0]
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    until = np.searchsorted(place, place + radius, side="right")
+    width = until - np.arange(n) - 1
+    before = np.cumsum(width) - width
+    forest, begin = Forest(n), 0
     while begin < n:
         # As many rows as give about PAIRS pairs.
-        sizes = np.cumsum(until[begin:] - np.arange(begin, n) - 1)
-        end = begin + max(1, int(np.searchsorted(sizes, PAIRS)))
-        width = until[begin:end] - np.arange(begin, min(end, n)) - 1
-        a = np.repeat(np.arange(begin, min(end, n)), width)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(width) - width, width)
+        end = max(begin + 1, int(np.searchsorted(before, before[begin] + PAIRS)))
+        w = width[begin:end]
+        a = np.repeat(np.arange(begin, min(end, n)), w)
+        b = a + 1 + np.arange(len(a)) - np.repeat(before[begin:end] - before[begin], w)
         a, b = order[a], order[b]
-        if split:
-            across = (a < split) != (b < split)
-            a, b = a[across], b[across]
-        open_ = forest.label[a] != forest.label[b]
-        a, b = a[open_], b[open_]
+        keep = (forest.label[a] != forest.label[b]) & (ways[a] & ways[b] == 0)
+        if own is not None:
+            keep &= (own[a] < 0) | (own[a] != own[b])
+        a, b = a[keep], b[keep]
         for p in range(1, len(pivots)):
             if not len(a):
                 break
@@ -148,69 +187,74 @@ def links_within(fps: np.ndarray, split: int, pivots: np.ndarray, radius: int) -
         linked = np.bitwise_count(fps[a] ^ fps[b]) <= radius
         forest.join(a[linked], b[linked])
         begin = end
-    return forest.edges
+    return np.concatenate([np.zeros((0, 2), np.int64), *forest.edges])
+
+
+def celled(classes: DataFrame, n_cell: int, radius: int, n_pivots: int) -> DataFrame:
+    """classes (fp, node) -> key (of a cell), ways, fp, node: a row for each cell that a class lies in."""
+    import pyarrow as pa
 
+    pivots = pivot_values(max(n_cell, n_pivots))[:n_cell]
 
-def _segment_columns(fp: Column, n: int) -> Column:
-    """Array of (segment number, its bits)."""
-    bounds = [64 * i // n for i in range(n + 1)]
-    return F.array(*(F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned(fp, a).bitwiseAND((1 << (z - a)) - 1).alias("bits")) for i, (a, z) in enumerate(zip(bounds, bounds[1:], strict=False))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                fps, nodes = (c.to_numpy(zero_copy_only=False) for c in batch.slice(at, 1000).columns)
+                key, ways, row = cells(fps.view(np.uint64), pivots, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ways), pa.array(fps[row]), pa.array(nodes[row])], ["key", "ways", "fp", "node"])
 
+    return classes.select("fp", "node").mapInArrow(run, "key long, ways long, fp long, node long")
 
-def class_edges(classes: DataFrame, radius: int = RADIUS, n_pivots: int = 24) -> DataFrame:
-    """classes (fp, node) -> (u, v) edges between nodes whose fingerprints link, at most one less than rows in a bucket."""
+
+def class_edges(classes: DataFrame, radius: int = RADIUS, n_pivots: int = PIVOTS) -> DataFrame:
+    """classes (fp, node) -> (u, v) edges between nodes whose fingerprints link, fewer than rows in each cell."""
     import pyarrow as pa
 
-    pivots = pivot_values(n_pivots)
-    rows = classes.select("node", "fp", F.explode(_segment_columns(F.col("fp"), radius + 1)).alias("s")).select("node", "fp", "s.segment", "s.bits")
-    counts = rows.groupBy("segment", "bits").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK_ROWS).cast("int")).drop("count")
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    placed = rows.join(counts, ["segment", "bits"]).withColumn("own", block)
-    # Block i meets block j in task (min, max); a bucket of one block is its own task.
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = placed.select("segment", "bits", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "fp")
-    key = ["segment", "bits", "low", "high"]
-
-    def bucket(node: np.ndarray, fp: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, int]]:
-        order = np.argsort(own, kind="stable")
-        split = int((own == own[order[0]]).sum()) % len(own)
-        for a, b in links_within(fp[order].view(np.uint64), split, pivots, radius):
-            yield max(node[order[a]], node[order[b]]), min(node[order[a]], node[order[b]])
+    n_cell = cell_pivots(classes.count())
+    # The cells' own pivots tell rows of a cell apart least, so they come last.
+    pivots = np.roll(pivot_values(max(n_pivots, n_cell + 1)), -n_cell)
+    rows = cut(celled(classes, n_cell, radius, n_pivots))
+    sampled = rows.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).groupBy("key").count()
+    large = cut(sampled.where(F.col("count") * SAMPLE > BLOCK_ROWS).select("key", F.ceil(F.col("count") * SAMPLE / BLOCK_ROWS).cast("int").alias("blocks")))
+    # Block i meets block j in task (min, max); a cell of one block is its own task.
+    one = F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(-1).alias("own")
+    if large.isEmpty():
+        keyed = rows.select("key", *one, "ways", "fp", "node")
+    else:
+        placed = rows.join(small_or_plain(large), "key", "left").withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("fp"), F.col("blocks"))).otherwise(0).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        own = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
+        keyed = placed.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), own.alias("own"), "ways", "fp", "node")
+    key = ["key", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        out: list[tuple[int, int]] = []
-
-        def flush():
-            nonlocal out
-            a = np.array(out, np.int64).reshape(-1, 2)
-            out = []
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
+        kept: list[np.ndarray] = []
+        held = 0
 
-        def closed(cols: np.ndarray) -> None:
-            cuts = np.flatnonzero((cols[1:, :4] != cols[:-1, :4]).any(axis=1)) + 1
-            for part in np.split(cols, cuts):
-                if len(part) > 1:
-                    out.extend(bucket(part[:, 5], part[:, 6].copy(), part[:, 4]))
+        def closed(cols: np.ndarray) -> pa.RecordBatch:
+            starts = np.concatenate([[True], (cols[1:, :3] != cols[:-1, :3]).any(axis=1)])
+            own = cols[:, 3]
+            pairs = links_within(np.cumsum(starts), cols[:, 5].copy().view(np.uint64), cols[:, 4], own if (own >= 0).any() else None, pivots, radius)
+            u, v = cols[pairs[:, 0], 6], cols[pairs[:, 1], 6]
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
         for batch in batches:
-            cols = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            cols = cols if kept is None else np.concatenate([kept, cols])
-            if not len(cols):
+            kept.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            held += batch.num_rows
+            if held < TOGETHER:
                 continue
-            # The last bucket may go on in the next batch.
-            last = np.flatnonzero((cols[:, :4] != cols[-1, :4]).any(axis=1))
-            at = int(last[-1]) + 1 if len(last) else 0
+            cols = np.concatenate(kept)
+            # The last cell may go on in the next batch.
+            other = np.flatnonzero((cols[:, :3] != cols[-1, :3]).any(axis=1))
+            at = int(other[-1]) + 1 if len(other) else 0
             if at:
-                closed(cols[:at])
-            kept = cols[at:]
-            if len(out) > 10_000:
-                yield flush()
-        if kept is not None and len(kept):
-            closed(kept)
-        yield flush()
+                yield closed(cols[:at])
+            kept = [cols[at:]]
+            held = len(cols) - at
+        if held:
+            yield closed(np.concatenate(kept))
 
-    return keyed.repartition(*key).sortWithinPartitions(*key).select(*key, "own", "node", "fp").mapInArrow(run, "u long, v long").distinct()
+    return keyed.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -247,7 +291,7 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, n_pivots: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, n_pivots: int = PIVOTS) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id (the smallest doc_id reachable over links)."""
     prints = cut(fingerprints(docs, width))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -268,7 +312,7 @@ def firsts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = docs.columns
     labels = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
     labels = cut(labels.where("doc_id <> component_id or times > 1").select("doc_id", F.struct((F.col("doc_id") == F.col("component_id")).alias("first"), "times").alias("near_dup_mark")))
-    marked = docs.join(labels.withColumnRenamed("doc_id", "near_dup_id"), F.col("doc_id") == F.col("near_dup_id"), "left").drop("near_dup_id")
+    marked = docs.join(small_or_plain(labels).withColumnRenamed("doc_id", "near_dup_id"), F.col("doc_id") == F.col("near_dup_id"), "left").drop("near_dup_id")
     stays = marked.where("near_dup_mark is null or near_dup_mark.first")
     if labels.where("near_dup_mark.times > 1").isEmpty():
         return stays.select(*names)
