@@ -11,8 +11,8 @@ at most, and the table is used three times for it:
 - Within a cell the rows are sorted by the next pivot's distance, and only a window of each row's followers is looked at.
 - The other pivots discard pairs whose distances differ by more, one after another. The survivors' bits are compared.
 
-How many pivots make the cells follows from the number of classes, so a cell holds about ``CELL_ROWS``; each further pivot
-halves a cell's rows and adds 40 % of copies, so rows grow as the 1.4th power of the number of classes. Cells that a sample shows
+How many pivots make the cells follows from the number of classes, so a class meets about ``CELL_ROWS`` others; each further pivot
+leaves 56 % of them and adds 40 % of rows, so rows grow as the 1.6th power of the number of classes. Cells that a sample shows
 to be large are dealt out as pairs of blocks to several tasks. A task gives the edges of a spanning forest, never its pairs,
 and pairs that are connected already are skipped. Components come from contracting the edges until none is left; nothing of
 that is held on the driver.
@@ -38,9 +38,9 @@ RADIUS = 2
 #: Reference fingerprints in a table.
 PIVOTS = 24
 #: Rows of a cell, about, and of a block of a cell that is dealt out; one row in SAMPLE is looked at for large cells.
-CELL_ROWS, BLOCK_ROWS, SAMPLE = 1_000, 8_192, 16
-#: The share of random pairs that one pivot's cells leave together.
-LEFT = 0.46
+CELL_ROWS, BLOCK_ROWS, SAMPLE = 2_500, 8_192, 16
+#: The share of random pairs that one pivot's cells leave together, for RADIUS.
+LEFT = 0.56
 #: Rows closed together, and pairs looked at together.
 TOGETHER, PAIRS = 65_536, 1_000_000
 
