@@ -49,15 +49,23 @@ def test_token_counts_equal_the_library(docs, documents, pieces):
 
 
 def test_pre_tokens_are_counted_once_and_joined(spark, docs, documents, pieces, monkeypatch):
-    """The frequencies and pieces of the distinct pre-tokens, and counts whose tail meets them in a shuffle join."""
+    """The distinct pre-tokens' frequencies, products that count a token once, and results that don't depend on what is broadcast."""
     cut = Counter(p for _, t, *_ in documents for p in token_counts.pre_tokens(t or ""))
-    table = {r.token: (r.times, r.pieces) for r in token_counts.piece_table(docs).collect()}
-    assert table == {t: (n, len(pieces.encode(t)) or 1) for t, n in cut.items() if len(t) <= token_counts.LONG}
+    table = token_counts.frequencies(docs)
+    assert {r.token: r.times for r in table.collect()} == {t: n for t, n in cut.items() if len(t) <= token_counts.LONG}
+    asked = []
+    count = token_counts.count_pieces
+    monkeypatch.setattr(token_counts, "count_pieces", lambda tokens, model: asked.extend(tokens) or count(tokens, model))
+    pairs = spark.createDataFrame([("a", 1, 2), ("", 2, 1), ("understanding", 1, 3), ("a", 3, 1)], "token string, row long, times int")
+    assert sorted(map(tuple, token_counts.products(pairs, token_counts.MODEL).collect())) == sorted((r, n * (len(pieces.encode(t)) or 1)) for t, r, n in map(tuple, pairs.collect()))
     whole = by_id(token_counts.token_counts(docs).collect())
-    monkeypatch.setattr(token_counts, "HEAD_ROWS", 200)
-    monkeypatch.setattr(token_counts, "GATHERED", 50)
-    assert token_counts.head_threshold(token_counts.piece_table(docs)) > 1
-    assert by_id(token_counts.token_counts(docs).collect()) == whole
+    assert len(asked) == len(set(asked)) <= len(cut)
+    for rows, sample in ((0, 8), (50, 1), (10**6, 1)):
+        monkeypatch.setattr(token_counts, "HEAD_ROWS", rows)
+        monkeypatch.setattr(token_counts, "SAMPLE", sample)
+        monkeypatch.setattr(token_counts, "GATHERED", 50)
+        assert len(token_counts.head_of(table)) <= rows
+        assert by_id(token_counts.token_counts(docs).collect()) == whole
 
 
 def test_quality_equals_brute_force(docs, documents, pieces):

@@ -1,13 +1,14 @@
 """Token counts without token ids.
 
-A text is cut into pre-tokens that no piece of the vocabulary crosses: a run of the space mark with what follows it. One pass
-gathers the distinct pre-tokens of the corpus with their frequencies, pre-aggregated in the tasks; the library counts the
-pieces of each of them once; a second pass joins every document's pre-token frequencies with these counts and sums.
+A text is cut into pre-tokens that no piece of the vocabulary crosses: a run of the space mark with what follows it. Each
+distinct pre-token's pieces are counted once by the library, and every document's pre-token frequencies are joined with these
+counts and summed.
 
-The join's frequent side is broadcast: the most frequent pre-tokens, ``HEAD_ROWS`` at most, by a threshold on the frequency
-that a histogram gives. A document's frequencies of the others leave the pass as rows and meet their counts in a shuffle join;
-none of those has more than the threshold's number of rows. Where the corpus has no more than ``HEAD_ROWS`` distinct pre-tokens
-nothing is left to shuffle. Pre-tokens of more than ``LONG`` characters aren't moved: they are counted where they stand.
+The join has two parts. The most frequent pre-tokens, ``HEAD_ROWS`` at most, are found in a sample (one text in ``SAMPLE``, by
+hash), counted and broadcast; where a pre-token is counted doesn't change how many pieces it has. A document's frequencies of
+all others leave the pass as rows and are dealt out by pre-token, so each of these meets one task, which counts it once; the
+products go back to their documents as sums. What is broadcast is bounded, and a pre-token that the sample hasn't got has few
+rows. Pre-tokens of more than ``LONG`` characters aren't moved: they are counted where they stand.
 
 Defined results: a null text counts as empty; an empty text has 0 bytes and 0 tokens; a null doc_id stays null;
 repeated rows are counted one by one; other columns of the input are ignored; an empty table gives no rows; a very long text
@@ -22,14 +23,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 from operator import mul
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rows_of, text_batches, tokenizer_file
+from .common import cut, rows_of, text_batches, text_or_empty, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
-#: Pre-tokens whose counts are broadcast, at most, and characters that a gathered pre-token has, at most.
-HEAD_ROWS, LONG = 200_000, 64
+#: Pre-tokens whose counts are broadcast, at most, characters that a pre-token that is moved has, at most, and texts for each sampled one.
+HEAD_ROWS, LONG, SAMPLE = 200_000, 64, 8
 #: Distinct pre-tokens that a task gathers before it passes them on.
 GATHERED = 300_000
 #: Space and U+2581 are the same mark to the model.
@@ -81,20 +83,8 @@ def frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(gather, "token string, times long").groupBy("token").agg(F.sum("times").alias("times"))
 
 
-def piece_table(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """token, times, pieces: every distinct pre-token, counted once by the library."""
-    import pyarrow as pa
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = count_pieces(batch.column(0).to_pylist(), model)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], ["token", "times", "pieces"])
-
-    return cut(frequencies(docs).mapInArrow(count, "token string, times long, pieces long"))
-
-
-def head_threshold(table: DataFrame) -> int:
-    """The least frequency that no more than HEAD_ROWS pre-tokens reach, a power of two."""
+def head_of(table: DataFrame) -> list[str]:
+    """The tokens of table (token, times) from the least power of two that no more than HEAD_ROWS of them reach."""
     by_size = {r["power"]: r["count"] for r in table.groupBy(F.floor(F.log2("times")).cast("int").alias("power")).count().collect()}
     total, least = 0, 63
     for power in range(62, -1, -1):
@@ -102,7 +92,28 @@ def head_threshold(table: DataFrame) -> int:
         if total > HEAD_ROWS:
             break
         least = power
-    return 1 << least
+    return [r["token"] for r in table.where(F.col("times") >= 1 << least).select("token").toLocalIterator()]
+
+
+def products(pairs: DataFrame, model: str) -> DataFrame:
+    """pairs (token, row, times) -> row, n: times the token's pieces, each distinct token counted once."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str | None, int] = (None, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = batch.column(0).dictionary_encode()
+            names = runs.dictionary.to_pylist()
+            # Rows are in the order of their tokens, so only the first may have been counted.
+            known = names[0] == last[0]
+            counts = [last[1]] * known + count_pieces(names[known:], model)
+            last = names[-1], counts[-1]
+            n = np.array(counts, np.int64)[runs.indices.to_numpy()] * batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n)], ["row", "n"])
+
+    return pairs.repartition("token").sortWithinPartitions("token").mapInArrow(run, "row long, n long")
 
 
 def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 4096) -> DataFrame:
@@ -110,46 +121,36 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 4096) -> Data
     import pyarrow as pa
 
     spark = docs.sparkSession
-    table = piece_table(docs, model)
-    least = head_threshold(table)
-    head = spark.sparkContext.broadcast({r["token"]: r["pieces"] for r in table.where(F.col("times") >= least).select("token", "pieces").toLocalIterator()})
+    sampled = docs.where(F.pmod(F.xxhash64(text_or_empty()), F.lit(SAMPLE)) == 0)
+    frequent = head_of(cut(frequencies(sampled)))
+    head = spark.sparkContext.broadcast(dict(zip(frequent, count_pieces(frequent, model), strict=True)))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value
-        get = known.get
+        get = head.value.get
         for batch in batches:
             names, times, ends, counts, sizes = [], [], [0], [], []
             for (text,) in rows_of(batch, "text"):
                 text = text or ""
                 freq = Counter(pre_tokens(text))
                 pieces = list(map(get, freq))
-                if None in pieces:
-                    missing = [t for t, n in zip(freq, pieces, strict=True) if n is None]
-                    long = [t for t in missing if len(t) > LONG]
-                    pieces = [n or 0 for n in pieces]
-                    extra = sum(n * freq[t] for t, n in zip(long, count_pieces(long, model), strict=True)) if long else 0
-                    rest = [t for t in missing if len(t) <= LONG]
-                    names += rest
-                    times += map(freq.__getitem__, rest)
-                else:
-                    extra = 0
+                missing = [t for t, n in zip(freq, pieces, strict=True) if n is None]
+                long = [t for t in missing if len(t) > LONG]
+                rest = [t for t in missing if len(t) <= LONG] if long else missing
+                names += rest
+                times += map(freq.__getitem__, rest)
                 ends.append(len(names))
-                counts.append(sum(map(mul, pieces, freq.values())) + extra)
+                here = sum(n * freq[t] for t, n in zip(long, count_pieces(long, model), strict=True))
+                counts.append(here + sum(map(mul, (n or 0 for n in pieces) if missing else pieces, freq.values())))
                 sizes.append(len(text.encode("utf-8", "replace")))
-            pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int64())], ["token", "times"])
+            pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int32())], ["token", "times"])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), lists], ["row", "doc_id", "n_bytes", "n_head", "tail"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    text_batches(spark)
-    joined = rows.mapInArrow(join, "row long, doc_id long, n_bytes long, n_head long, tail array<struct<token:string,times:long>>")
-    n_tokens = F.col("n_head")
-    if least > 1:
-        # Row numbers hold from here on: the pass is run once.
-        joined = cut(joined)
-        tail = joined.select("row", F.explode("tail").alias("t")).select("row", "t.token", "t.times")
-        rare = table.where(F.col("times") < least).select("token", "pieces")
-        sums = tail.join(rare, "token").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("n_tail"))
-        joined = joined.drop("tail").join(sums, "row", "left")
-        n_tokens = F.col("n_head") + F.coalesce("n_tail", F.lit(0))
-    return joined.select("doc_id", "n_bytes", n_tokens.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
+    # Row numbers hold from here on: the pass is run once.
+    joined = cut(rows.mapInArrow(join, "row long, doc_id long, n_bytes long, n_head long, tail array<struct<token:string,times:int>>"))
+    tail = joined.select("row", F.explode("tail").alias("t")).select("t.token", "row", "t.times")
+    sums = products(tail, model).groupBy("row").agg(F.sum("n").alias("n_tail"))
+    n_tokens = F.col("n_head") + F.coalesce("n_tail", F.lit(0))
+    counted = joined.drop("tail").join(sums, "row", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
