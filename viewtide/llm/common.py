@@ -51,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df's rows as a table in the shared folder, which is read back: for many rows, where a checkpoint makes many objects."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it was counted to have few rows; beyond that Spark picks a shuffle join. df should be cheap to count (cut)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

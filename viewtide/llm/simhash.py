@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import around_extras, cut, rows_of, small_or_plain, text_batches
+from .common import around_extras, cut, rows_of, small_or_plain, text_batches, written
 
 SEED = 42
 RADIUS = 2
@@ -191,7 +191,7 @@ def links_within(cell: np.ndarray, fps: np.ndarray, ways: np.ndarray, own: np.nd
 
 
 def celled(classes: DataFrame, n_cell: int, radius: int, n_pivots: int) -> DataFrame:
-    """classes (fp, node) -> key (of a cell), ways, fp, node: a row for each cell that a class lies in."""
+    """classes (fp) -> key (of a cell), ways, fp: a row for each cell that a class lies in."""
     import pyarrow as pa
 
     pivots = pivot_values(max(n_cell, n_pivots))[:n_cell]
@@ -199,32 +199,32 @@ def celled(classes: DataFrame, n_cell: int, radius: int, n_pivots: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                fps, nodes = (c.to_numpy(zero_copy_only=False) for c in batch.slice(at, 1000).columns)
+                fps = batch.column(0).slice(at, 1000).to_numpy(zero_copy_only=False)
                 key, ways, row = cells(fps.view(np.uint64), pivots, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ways), pa.array(fps[row]), pa.array(nodes[row])], ["key", "ways", "fp", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ways), pa.array(fps[row])], ["key", "ways", "fp"])
 
-    return classes.select("fp", "node").mapInArrow(run, "key long, ways long, fp long, node long")
+    return classes.select("fp").mapInArrow(run, "key long, ways long, fp long")
 
 
 def class_edges(classes: DataFrame, radius: int = RADIUS, n_pivots: int = PIVOTS) -> DataFrame:
-    """classes (fp, node) -> (u, v) edges between nodes whose fingerprints link, fewer than rows in each cell."""
+    """classes (fp, each once) -> (u, v) edges between fingerprints that link, fewer than rows in each cell."""
     import pyarrow as pa
 
     n_cell = cell_pivots(classes.count())
     # The cells' own pivots tell rows of a cell apart least, so they come last.
     pivots = np.roll(pivot_values(max(n_pivots, n_cell + 1)), -n_cell)
-    rows = cut(celled(classes, n_cell, radius, n_pivots))
+    rows = written(celled(classes, n_cell, radius, n_pivots), "pivot-cells")
     sampled = rows.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).groupBy("key").count()
     large = cut(sampled.where(F.col("count") * SAMPLE > BLOCK_ROWS).select("key", F.ceil(F.col("count") * SAMPLE / BLOCK_ROWS).cast("int").alias("blocks")))
     # Block i meets block j in task (min, max); a cell of one block is its own task.
     one = F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(-1).alias("own")
     if large.isEmpty():
-        keyed = rows.select("key", *one, "ways", "fp", "node")
+        keyed = rows.select("key", *one, "ways", "fp")
     else:
         placed = rows.join(small_or_plain(large), "key", "left").withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("fp"), F.col("blocks"))).otherwise(0).cast("int"))
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
         own = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
-        keyed = placed.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), own.alias("own"), "ways", "fp", "node")
+        keyed = placed.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), own.alias("own"), "ways", "fp")
     key = ["key", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def class_edges(classes: DataFrame, radius: int = RADIUS, n_pivots: int = PIVOTS
             starts = np.concatenate([[True], (cols[1:, :3] != cols[:-1, :3]).any(axis=1)])
             own = cols[:, 3]
             pairs = links_within(np.cumsum(starts), cols[:, 5].copy().view(np.uint64), cols[:, 4], own if (own >= 0).any() else None, pivots, radius)
-            u, v = cols[pairs[:, 0], 6], cols[pairs[:, 1], 6]
+            u, v = cols[pairs[:, 0], 5], cols[pairs[:, 1], 5]
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
         for batch in batches:
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, n_piv
     prints = cut(fingerprints(docs, width))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     # A class is named by its fingerprint, so one without a doc_id links too.
-    found = components(class_edges(classes.select("fp", F.col("fp").alias("node")), radius, n_pivots))
+    found = components(class_edges(classes, radius, n_pivots))
     placed = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
