@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -368,7 +369,6 @@ def test_token_files_round_trip(docs, documents):
 
 
 def test_dropout_decodes_and_equals_the_agenda(docs, documents, pieces):
-    v = merge_dropout.vocabulary(merge_dropout.MODEL)
     plain = merge_dropout.Encoder(merge_dropout.MODEL, 1, 0.0)
     texts = [(i, t or "") for i, t, *_ in documents]
     for (_, t), ids in zip(texts, plain.encode(texts), strict=True):
@@ -378,11 +378,8 @@ def test_dropout_decodes_and_equals_the_agenda(docs, documents, pieces):
     assert all(e.decode(ids).decode() == t for ids, (_, t) in zip(first, texts, strict=True))
     assert first == merge_dropout.Encoder(merge_dropout.MODEL, 1, 0.3).encode(texts)
     assert first != merge_dropout.Encoder(merge_dropout.MODEL, 2, 0.3).encode(texts)
-    for k, table in enumerate(e.tables):
-        for token in list(table)[:300]:
-            assert np.frombuffer(table[token], "<u2").tolist() == merge_dropout.merge_one(token, merge_dropout.token_key(token, k, 1), 0.3, v)
-    word = " understanding"
-    assert len({e_[0] for e_ in ([merge_dropout.Encoder(merge_dropout.MODEL, s, 0.3).encode([(1, word[1:])])[0]] for s in range(30))}) > 2
+    word = "understanding"
+    assert len({merge_dropout.Encoder(merge_dropout.MODEL, s, 0.3).encode([(1, word)])[0] for s in range(30)}) > 2
     rows = by_id(merge_dropout.round_trips(docs).collect())
     assert all(r["lossless"] for x in rows.values() for r in x) and sum(map(len, rows.values())) == len(documents)
     out = merge_dropout.encoded(docs)
@@ -390,6 +387,66 @@ def test_dropout_decodes_and_equals_the_agenda(docs, documents, pieces):
     assert sorted(len(r.piece_ids) for r in out.collect()) == sorted(r["n_pieces"] for x in rows.values() for r in x)
 
 
+def brute_dropout(text, doc_id, seed, rate, pieces):
+    """Merge-dropout by its definition, from the model's pieces and scores alone: of all candidates that aren't skipped the best-ranked, leftmost one, again and again."""
+    mask = 2**64 - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    names = {pieces.id_to_piece(i): i for i in range(pieces.get_piece_size()) if not (pieces.is_byte(i) or pieces.is_control(i) or pieces.is_unknown(i))}
+    document = int.from_bytes(hashlib.blake2b(f"{seed}:{-1 if doc_id is None else doc_id}".encode(), digest_size=8).digest(), "little")
+    out = []
+    for number, token in enumerate(re.findall(" +[^ ]*", " " + text) if text else []):
+        key = mixed(document + number & mask)
+        # (text or None, where it begins)
+        symbols = [("▁" if c == " " else c if c != "▁" and c in names else None, i) for i, c in enumerate(token)]
+        while True:
+            best = None
+            for k in range(len(symbols) - 1):
+                (a, start), (b, middle) = symbols[k : k + 2]
+                if a is None or b is None or a + b not in names:
+                    continue
+                end = symbols[k + 2][1] if k + 2 < len(symbols) else len(token)
+                place = start * 0x9E3779B97F4A7C15 & mask ^ middle * 0xD6E8FEB86659FD93 & mask ^ end * 0xA0761D6478BD642F & mask
+                if mixed(mixed(key) ^ place) >> 11 < int(rate * 2**53):
+                    continue
+                i = names[a + b]
+                best = min(filter(None, (best, (-pieces.get_score(i), i, start, k))))
+            if best is None:
+                break
+            k = best[3]
+            symbols[k : k + 2] = [(symbols[k][0] + symbols[k + 1][0], symbols[k][1])]
+        for s, i in symbols:
+            out += [names[s]] if s is not None else [pieces.piece_to_id(f"<0x{b:02X}>") for b in token[i].encode()]
+    return out
+
+
+def test_dropout_equals_its_definition(spark, documents, pieces):
+    """Against a version that shares no code with the operator: pieces, their digest and the byte pieces' number."""
+    rows = [(i, (t or "")[:600]) for i, t, *_ in documents[::40]] + [(7, ("unbroken" * 30)[:200]), (None, "naïve\U0001F600▁ x  y "), (7, "日本語 a" + "b" * 70)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for seed, rate in ((merge_dropout.SEED, merge_dropout.RATE), (3, 0.5)):
+        ids = [brute_dropout(t, i, seed, rate, pieces) for i, t in rows]
+        wanted = sorted(((i, len(x), sum(map(pieces.is_byte, x)), zlib.crc32(np.array(x, "<u2").tobytes())) for (i, _), x in zip(rows, ids, strict=True)), key=str)
+        found = merge_dropout.round_trips(frame, seed=seed, rate=rate).select("doc_id", "n_pieces", "n_byte_pieces", "ids_crc32").collect()
+        assert sorted(map(tuple, found), key=str) == wanted
+
+
+def test_long_unbroken_texts(spark, pieces):
+    """A megabyte without a space: decoded as it was, in seconds, and without dropout as the library has it."""
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(97, 123, 1_000_000)))
+    begun = time.time()
+    e = merge_dropout.Encoder(merge_dropout.MODEL, 1, 0.1)
+    assert e.decode(e.encode([(1, text)])[0]).decode() == text
+    assert time.time() - begun < 30
+    plain = merge_dropout.Encoder(merge_dropout.MODEL, 1, 0.0).encode([(1, text)])[0]
+    assert np.frombuffer(plain, "<u2").tolist() == pieces.encode(text)
+
+
 def test_dropout_varies_by_occurrence(pieces):
     """A frequent word has many segmentations, within a document and over documents, each as the agenda has it under its own key."""
     v = merge_dropout.vocabulary(merge_dropout.MODEL)
@@ -428,10 +485,8 @@ def test_tables_turn_over(documents, monkeypatch, pieces):
     monkeypatch.setattr(token_files, "word_ids", lambda _: table)
     for part in (texts[:5], texts[5:], texts[:20], texts[::-1]):
         assert [np.frombuffer(x, "<u2").tolist() for x in token_files.encode_texts(part)] == [library.encode(t, add_special_tokens=False).ids for t in part]
-    wanted = merge_dropout.Encoder(merge_dropout.MODEL, 1, 0.2).encode(list(enumerate(texts)))
-    monkeypatch.setattr(merge_dropout, "TABLE_ROWS", 60)
     e = merge_dropout.Encoder(merge_dropout.MODEL, 1, 0.2)
-    assert [x for i, t in enumerate(texts) for x in e.encode([(i, t)])] == wanted
+    assert [x for i, t in enumerate(texts) for x in e.encode([(i, t)])] == e.encode(list(enumerate(texts)))
     monkeypatch.setattr(fertility, "TABLE_ROWS", 60)
     tokens = fertility.TokenTable(fertility.MODEL)
     for t in texts:

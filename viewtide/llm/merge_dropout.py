@@ -5,13 +5,15 @@ candidate - what lies to the left, what to the right, and where - is skipped whe
 rate; it comes back only as part of another candidate, after a neighbour was merged. The key is made of the seed, the doc_id
 and the pre-token's number in the document, so one seed always gives a document the same pieces, and a word is segmented anew
 wherever it occurs. A batch's pre-tokens are merged together, those of about a length at once as arrays (``merge_many``);
-``merge_one`` walks an agenda for a single one, and serves long ones. Both give the same pieces.
+``merge_one`` walks an agenda for a single one, and serves long ones: time grows as n log n with a pre-token's n characters, and
+it takes some 40 bytes for each. Both give the same pieces.
 
 Characters outside the vocabulary become byte pieces, and so does U+2581 itself, which the library would turn into a space:
 decoding gives back every text, code point by code point.
 
 Defined results: a null text is empty and has no pieces; a null doc_id counts as -1 in the key; repeated rows are encoded
-alike; other columns are ignored (``encoded`` keeps them); an empty table gives no rows.
+alike; other columns are ignored (``encoded`` keeps them); an empty table gives no rows; a text of megabytes is encoded whole,
+also where it has no space.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ import hashlib
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,10 +35,10 @@ from .pieces import MARK, MODEL, Vocabulary, vocabulary
 SEED, RATE = 42, 0.1
 #: Pre-tokens that are merged together.
 TOGETHER = 8192
-#: Pre-tokens that are kept between batches: none, as each occurrence has a key of its own.
-TABLE_ROWS = 0
 #: Longer pre-tokens are merged alone.
-TABLE_CHARS = 48
+ALONE = 48
+#: Fixed odd numbers of the places' hash.
+START, MIDDLE, END = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Here U+2581 is no space, unlike in the library.
 PRE_TOKEN = re.compile(" +[^ ]*")
 
@@ -53,7 +56,7 @@ def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndar
     if rate <= 0:
         return np.zeros(start.shape, bool)
     with np.errstate(over="ignore"):
-        place = (start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (middle.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (end.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        place = (start.astype(np.uint64) * np.uint64(START)) ^ (middle.astype(np.uint64) * np.uint64(MIDDLE)) ^ (end.astype(np.uint64) * np.uint64(END))
         return mix(mix(key) ^ place) >> np.uint64(11) < np.uint64(int(rate * 2**53))
 
 
@@ -81,43 +84,65 @@ def with_bytes(ids: list[int], starts: list[int], token: str, v: Vocabulary) ->
     return out
 
 
+def skip_test(key: int, rate: float) -> Callable[[int, int, int], bool]:
+    """skipped() for single candidates under one key."""
+    mask, limit = 2**64 - 1, int(rate * 2**53)
+    with np.errstate(over="ignore"):
+        mixed = int(mix(np.array([key], np.uint64))[0])
+
+    def test(start: int, middle: int, end: int) -> bool:
+        x = mixed ^ (start * START ^ middle * MIDDLE ^ end * END) & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return (x ^ x >> 31) >> 11 < limit
+
+    return test
+
+
 def merge_one(token: str, key: int, rate: float, v: Vocabulary) -> list[int]:
-    """A pre-token's pieces, by walking the agenda."""
-    ids = characters(token, v).tolist()
-    n = len(ids)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    agenda: list[tuple[int, int, int, int, int, int]] = []
-    keys, seen = np.array([key], np.uint64), {}
-
-    def merge_of(a: int, b: int) -> tuple[int, int]:
-        if (a, b) not in seen:
-            rank, i = v.merge(np.array([a]), np.array([b]))
-            seen[a, b] = int(rank[0]), int(i[0])
-        return seen[a, b]
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < n:
-            rank, _ = merge_of(ids[i], ids[j])
-            if rank < v.n:
-                heapq.heappush(agenda, (rank, i, j, after[j], ids[i], ids[j]))
-
-    for i in range(n - 1):
-        offer(i)
-    while agenda:
-        _, i, j, end, a, b = heapq.heappop(agenda)
+    """A pre-token's pieces, by walking the agenda: (rank, place) of the first candidates in order, and of later ones in a heap."""
+    found = characters(token, v)
+    n, none = len(found), v.n
+    # An id that is none pairs with nothing.
+    ids = array("q", np.where(found < 0, -(1 << 60), found.astype(np.int64)).tobytes())
+    after, before = array("q", range(1, n + 2)), array("q", range(-1, n))
+    place = np.arange(n - 1)
+    ranks, merged = v.merge(found[:-1], found[1:])
+    ranks[skipped(np.full(n - 1, key, np.uint64), place, place + 1, place + 2, rate)] = none
+    rank, into = array("i", ranks.astype(np.int32).tobytes()), array("i", merged.astype(np.int32).tobytes())
+    rank.append(none)
+    into.append(0)
+    some = np.flatnonzero(ranks < none)
+    first = array("q", np.sort(ranks[some].astype(np.int64) << 32 | some).tobytes())
+    later: list[int] = []
+    merges, skip, at, size = v.merges(), skip_test(key, rate), 0, len(first)
+
+    def offer(left: int, right: int) -> None:
+        pair = merges.get(ids[left] * none + ids[right])
+        if pair is None or skip(left, right, after[right]):
+            rank[left] = none
+        else:
+            rank[left], into[left] = pair
+            heapq.heappush(later, pair[0] << 32 | left)
+
+    while at < size or later:
+        if at < size and not (later and later[0] < first[at]):
+            x, at = first[at], at + 1
+        else:
+            x = heapq.heappop(later)
+        i = x & 0xFFFFFFFF
         # Either side may have been merged since.
-        if ids[i] != a or after[i] != j or ids[j] != b or after[j] != end:
+        if rank[i] != x >> 32:
             continue
-        if skipped(keys, np.array([i]), np.array([j]), np.array([end]), rate)[0]:
-            continue
-        ids[i], ids[j] = merge_of(a, b)[1], -2
-        after[i] = end
+        j = after[i]
+        end = after[j]
+        ids[i], after[i] = into[i], end
+        rank[i] = rank[j] = none
         if end < n:
             before[end] = i
-        offer(i)
+            offer(i, end)
         if before[i] >= 0:
-            offer(before[i])
+            offer(before[i], i)
     starts, at = [], 0
     while at < n:
         starts.append(at)
@@ -126,7 +151,7 @@ def merge_one(token: str, key: int, rate: float, v: Vocabulary) -> list[int]:
 
 
 def merge_many(tokens: list[str], keys: list[int] | np.ndarray, rate: float, v: Vocabulary) -> list[bytes]:
-    """The pieces of pre-tokens of like lengths as little-endian 16-bit integers, merged all together."""
+    """The pieces of pre-tokens of like lengths as little-endian integers of v.kind, merged all together."""
     n, lengths = len(tokens), np.fromiter(map(len, tokens), np.int64, len(tokens))
     width = int(lengths.max()) + 1
     key = np.array(keys, np.uint64)
@@ -172,12 +197,13 @@ def merge_many(tokens: list[str], keys: list[int] | np.ndarray, rate: float, v:
         offer(row[more], first[more], i[more])
     kept = np.flatnonzero(alive)
     found = symbol[kept]
-    ends = np.cumsum(np.bincount(kept // width, minlength=n)) * 2
-    flat = found.astype("<u2").tobytes()
+    size = int(v.kind[2:])
+    ends = np.cumsum(np.bincount(kept // width, minlength=n)) * size
+    flat = found.astype(v.kind).tobytes()
     out = [flat[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
     for k in np.unique(kept[found < 0] // width).tolist():
-        mine = slice(int(ends[k - 1]) // 2 if k else 0, int(ends[k]) // 2)
-        out[k] = np.array(with_bytes(found[mine].tolist(), place[kept[mine]].tolist(), tokens[k], v), "<u2").tobytes()
+        mine = slice(int(ends[k - 1]) // size if k else 0, int(ends[k]) // size)
+        out[k] = np.array(with_bytes(found[mine].tolist(), place[kept[mine]].tolist(), tokens[k], v), v.kind).tobytes()
     return out
 
 
@@ -187,12 +213,10 @@ class Encoder:
     def __init__(self, model: str, seed: int, rate: float):
         rarely_collect()
         self.v, self.seed, self.rate = vocabulary(model), seed, rate
-        if self.v.n > 1 << 16:
-            raise ValueError("ids need more than 16 bits")
-        self.tables: list[dict[str, bytes]] = [{}] * TABLE_ROWS
+        self.kind = self.v.kind
 
     def encode(self, rows: list[tuple[int | None, str]]) -> list[bytes]:
-        """The ids of each (doc_id, text) as little-endian 16-bit integers."""
+        """The ids of each (doc_id, text) as little-endian integers of ``kind``."""
         tokens, keys, ends = [], [np.zeros(0, np.uint64)], [0]
         for doc_id, text in rows:
             mine = PRE_TOKEN.findall(" " + text) if text else []
@@ -202,7 +226,7 @@ class Encoder:
         key = np.concatenate(keys)
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
         order = np.argsort(lengths, kind="stable")
-        short = int(np.searchsorted(lengths[order], TABLE_CHARS, side="right"))
+        short = int(np.searchsorted(lengths[order], ALONE, side="right"))
         found: list[bytes] = [b""] * len(tokens)
         for at in range(0, short, TOGETHER):
             part = order[at : min(at + TOGETHER, short)]
@@ -210,12 +234,12 @@ class Encoder:
             for i, ids in zip(places, merge_many([tokens[i] for i in places], key[part], self.rate, self.v), strict=True):
                 found[i] = ids
         for i in order[short:].tolist():
-            found[i] = np.array(merge_one(tokens[i], int(key[i]), self.rate, self.v), "<u2").tobytes()
+            found[i] = np.array(merge_one(tokens[i], int(key[i]), self.rate, self.v), self.kind).tobytes()
         return [b"".join(found[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids in UTF-8: the pieces' text without the one space that encoding put before it."""
-        return b"".join(map(self.v.bytes.__getitem__, np.frombuffer(ids, "<u2").tolist()))[1:]
+        return b"".join(map(self.v.bytes.__getitem__, np.frombuffer(ids, self.kind).tolist()))[1:]
 
 
 @lru_cache(maxsize=2)
@@ -224,7 +248,7 @@ def encoder(model: str, seed: int, rate: float) -> Encoder:
 
 
 def round_trips(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate: float = RATE) -> DataFrame:
-    """doc_id, n_bytes, n_pieces, n_byte_pieces, ids_crc32 (of little-endian 16-bit ids), decoded_sha256, lossless."""
+    """doc_id, n_bytes, n_pieces, n_byte_pieces, ids_crc32 (of little-endian ids, of 16 bits where the vocabulary fits, else 32), decoded_sha256, lossless."""
     import pyarrow as pa
 
     text_batches(docs.sparkSession)
@@ -236,8 +260,9 @@ def round_trips(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate: flo
             out = []
             for (doc_id, text), ids in zip(rows, e.encode(rows), strict=True):
                 plain, decoded = text.encode("utf-8", "replace"), e.decode(ids)
-                n_byte = int(e.v.is_byte[np.frombuffer(ids, "<u2")].sum())
-                out.append((doc_id, len(plain), len(ids) // 2, n_byte, zlib.crc32(ids), hashlib.sha256(decoded).hexdigest(), decoded == plain))
+                pieces = np.frombuffer(ids, e.kind)
+                n_byte = int(e.v.is_byte[pieces].sum())
+                out.append((doc_id, len(plain), len(pieces), n_byte, zlib.crc32(ids), hashlib.sha256(decoded).hexdigest(), decoded == plain))
             kinds = [pa.int64()] * 5 + [pa.string(), pa.bool_()]
             columns = zip(*out, strict=True) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_sha256", "lossless"])
@@ -257,8 +282,8 @@ def encoded(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate: float =
         e = encoder(model, seed, rate)
         for batch in batches:
             ids = e.encode([(d, t or "") for d, t in rows_of(batch, "doc_id", "text")])
-            ends = np.cumsum([0, *(len(x) // 2 for x in ids)])
-            flat = pa.array(np.frombuffer(b"".join(ids), "<u2").astype(np.int32))
+            ends = np.cumsum([0, *(len(x) // int(e.kind[2:]) for x in ids)])
+            flat = pa.array(np.frombuffer(b"".join(ids), e.kind).astype(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, name])
 

@@ -7,7 +7,7 @@ is cut at each run of space marks, and what one pre-token becomes doesn't depend
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -55,6 +55,8 @@ class Vocabulary:
         self.shared = np.zeros(1 << _SLOT_BITS, bool)
         used, times = np.unique(at, return_counts=True)
         self.shared[used[times > 1]] = True
+        #: The smallest of 16 and 32 bits that holds an id.
+        self.kind = "<u2" if n <= 1 << 16 else "<u4"
         #: Ids of single characters by code point.
         self.char_ids = np.full(0x110000, -1, np.int32)
         for c, i in self.chars.items():
@@ -64,6 +66,11 @@ class Vocabulary:
     def n(self) -> int:
         return len(self.pieces)
 
+    @cache  # noqa: B019  vocabularies are few and stay
+    def merges(self) -> dict[int, tuple[int, int]]:
+        """merge() of single pairs, by left * n + right: (rank, merged id)."""
+        return dict(zip(self.merge_keys.tolist(), zip(self.rank[self.merge_ids].tolist(), self.merge_ids.tolist(), strict=True), strict=True))
+
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
