@@ -368,6 +368,42 @@ def test_token_files_round_trip(docs, documents):
     assert shards.agg({"n_ids": "sum"}).first()[0] == starts
 
 
+def test_words_are_cut_by_the_file_not_its_name(tmp_path):
+    """A copy elsewhere, and files of other settings, each as the library has it."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    source = tokenizer_file("word_bpe_49k.json")
+    whole = json.load(open(source, encoding="utf-8"))
+    cased = whole | {"normalizer": whole["normalizer"] | {"normalizers": whole["normalizer"]["normalizers"][:2]}}
+    split, level = whole["pre_tokenizer"]["pretokenizers"]
+    spaced = whole | {"pre_tokenizer": whole["pre_tokenizer"] | {"pretokenizers": [split | {"pattern": {"Regex": r"\s|[\p{L}]+|[^\p{L}]"}}, level]}}
+    wide = whole | {"pre_tokenizer": whole["pre_tokenizer"] | {"pretokenizers": [split | {"pattern": {"Regex": r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"}}, level]}}
+    texts = ["The Cat's 12 naïve <|ENDOFTEXT|>  x<|endoftext|>y", "a\tb  c É1é", "", "日本 text"]
+    for name, settings, by_words in (("copy", whole, True), ("word_bpe_49k", cased, False), ("spaced", spaced, False), ("wide", wide, True)):
+        path = f"{tmp_path}/{name}.json"
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(settings, f)
+        assert (token_files.word_cut(path) is not None) == by_words
+        library = Tokenizer.from_file(path)
+        found = token_files.encode_texts(texts, path)
+        assert [np.frombuffer(x, token_files.id_kind(path)).tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    found = token_files.encode_texts(texts, "byte_bpe_50k.json")
+    assert [np.frombuffer(x, "<u2").tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_files_are_read_range_by_range(tmp_path):
+    """Elsewhere than on a local file system."""
+    from pyarrow import fs
+
+    np.arange(1000, dtype="<u8").tofile(f"{tmp_path}/x")
+    for system, path in ((fs.LocalFileSystem(), f"{tmp_path}/x"), (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), "x")):
+        x = token_files.Integers(system, path, "<u8")
+        assert len(x) == 1000 and [x[a:z].tolist() for a, z in ((0, 3), (990, 1010), (5, 5))] == [[0, 1, 2], list(range(990, 1000)), []]
+
+
 def test_dropout_decodes_and_equals_the_agenda(docs, documents, pieces):
     plain = merge_dropout.Encoder(merge_dropout.MODEL, 1, 0.0)
     texts = [(i, t or "") for i, t, *_ in documents]

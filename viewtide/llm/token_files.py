@@ -9,15 +9,18 @@ is base + offset. Readers map the files into memory and touch only the pages the
 A task writes its shard under a name of its own and reports it; only reported shards are read, so a task that ran twice or
 died half-way leaves a file that nobody looks at. The reports, a row for each shard, are kept in the shared folder.
 
-Words are cut at ASCII white space, which no token crosses, and each distinct word is encoded once per worker by the
-library; the table is bounded and starts anew when full.
+Where the vocabulary's file says that white space is dropped (``word_cut``), texts are cut into words at ASCII white space,
+which no token crosses, and each distinct word is encoded once per worker; the table is bounded and starts anew when full. Texts
+for any other vocabulary go to the library whole.
 
 Defined results: a null text counts as empty, and an empty document has the end id alone; a null doc_id comes first;
-repeated doc_ids keep the order of their texts; other columns are ignored; an empty table gives no shards and no rows.
+repeated doc_ids keep the order of their texts; other columns are ignored; an empty table gives no shards and no rows; a very
+long text is encoded whole, and its ids are written in one piece.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -39,6 +42,32 @@ TABLE_ROWS = 800_000
 TABLE_BYTES = 64
 
 
+#: The settings of a vocabulary's file under which lower-cased words can be cut here, all but the cutting pattern.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+#: Words that are cut here have printable ASCII and Latin-1 letters only; what ``\\p{L}`` and ``\\p{N}`` are among those.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+LETTERS, DIGITS = "A-Za-zÀ-ÖØ-öø-ÿ", "0-9"
+
+
+def word_cut(path: str) -> tuple[re.Pattern, list[str]] | None:
+    """From a vocabulary's file: the pattern that cuts a normalised plain word, and the added tokens in lower case. None unless the file normalises and cuts by SPLIT and BYTE_LEVEL."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    cutters = (d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    pattern = (cutters[0].get("pattern") or {}).get("Regex", "")
+    added = [a["content"].lower() for a in d.get("added_tokens") or ()]
+    as_known = (
+        d.get("normalizer") == NORMALIZER and len(cutters) == 2 and cutters[0] == SPLIT | {"pattern": {"Regex": pattern}} and BYTE_LEVEL.items() <= cutters[1].items()
+        and d["model"].get("type") == "BPE" and not d["model"].get("dropout") and not d.get("truncation") and not any(c.isspace() for a in added for c in a)
+    )
+    # Classes of characters are known only within brackets, and no match may hold white space.
+    if not as_known or re.search(r"\\[pPsS]| ", re.sub(r"\[\^\\s[^]]*\]|\[(\\p\{\w+\})*\]", "", pattern)):
+        return None
+    return re.compile(pattern.replace(r"\p{L}", LETTERS).replace(r"\p{N}", DIGITS)), added
+
+
 class WordIds:
     """word (UTF-8) -> its ids as little-endian integers of ``kind``, through the library.
 
@@ -54,13 +83,17 @@ class WordIds:
         from tokenizers import Tokenizer
 
         rarely_collect()
-        self.tokenizer = Tokenizer.from_file(tokenizer_file(model))
+        path = tokenizer_file(model)
+        self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_kind(model)
         self.words: dict[bytes, bytes] = {}
         self.old_words: dict[bytes, bytes] = {}
         self.cuts: dict[str, bytes] = {}
-        # Only vocabularies that lower-case and cut as word_bpe_49k.json does have the short way.
-        self.short_way = model == MODEL
+        known = word_cut(path)
+        self.by_words = known is not None
+        self.pattern, self.added = known or (None, [])
+        # What every added token has may be looked for first.
+        self.hint = os.path.commonprefix(self.added) if self.added else "\n"
 
     def turn(self) -> None:
         if len(self.words) > TABLE_ROWS // 2:
@@ -72,10 +105,11 @@ class WordIds:
         slow, cuts, get, model, size = [], self.cuts, self.cuts.get, self.tokenizer.model, int(self.kind[2:])
         for word in words:
             text = word.decode()
-            if not self.short_way or not PLAIN.fullmatch(text) or "<|" in text:
+            low = text.lower()
+            if not PLAIN.fullmatch(text) or self.hint in low and any(a in low for a in self.added):
                 slow.append(word)
                 continue
-            parts = CUT.findall(text.lower())
+            parts = self.pattern.findall(low)
             found = [get(p) for p in parts]
             for i, ids in enumerate(found):
                 if ids is None:
@@ -88,13 +122,12 @@ class WordIds:
             self.words[word] = b"".join(found)
         for at in range(0, len(slow), 4096):
             part = slow[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.words[word] = np.array(e.ids, self.kind).tobytes()
-
+            for word, ids in zip(part, self.whole([w.decode() for w in part]), strict=True):
+                self.words[word] = ids
 
-#: How the vocabulary's file cuts normalised text, for the letters that PLAIN lets through.
-CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, by the library alone."""
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _byte_chars() -> dict[int, int]:
@@ -123,6 +156,8 @@ def word_ids(model: str) -> WordIds:
 def encode_texts(texts: list[str], model: str = MODEL) -> list[bytes]:
     """The ids of each text as little-endian integers of id_kind(model), without an end id."""
     table = word_ids(model)
+    if not table.by_words:
+        return table.whole(texts)
     table.turn()
     # bytes.split() splits at ASCII white space, no more.
     words = [t.encode("utf-8", "replace").split() for t in texts]
@@ -180,16 +215,25 @@ def write_token_files(docs: DataFrame, model: str = MODEL, end_id: int = END_ID,
     return shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))).withColumn("folder", F.lit(folder)).withColumn("kind", F.lit(kind))
 
 
-def mapped(fs, path: str, kind: str) -> np.ndarray:
-    """A file's integers: mapped where the file system is local, read otherwise."""
-    from pyarrow import fs as pafs
+class Integers:
+    """A file's integers by slices: mapped where the file system is local, elsewhere read range by range."""
+
+    def __init__(self, fs, path: str, kind: str):
+        from pyarrow import fs as pafs
+
+        self.kind, self.size = np.dtype(kind), fs.get_file_info(path).size // np.dtype(kind).itemsize
+        local = isinstance(fs, pafs.LocalFileSystem)
+        self.file = None if local else fs.open_input_file(path)
+        self.map = np.memmap(path, kind, mode="r") if local and self.size else np.zeros(0, kind)
+
+    def __len__(self) -> int:
+        return self.size
 
-    if fs.get_file_info(path).size == 0:
-        return np.zeros(0, kind)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, kind, mode="r")
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.file is None:
+            return self.map[part]
+        a, z, _ = part.indices(self.size)
+        return np.frombuffer(self.file.read_at(max(0, z - a) * self.kind.itemsize, a * self.kind.itemsize), self.kind)
 
 
 def read_token_files(shards: DataFrame, digest_only: bool = False) -> DataFrame:
@@ -200,7 +244,7 @@ def read_token_files(shards: DataFrame, digest_only: bool = False) -> DataFrame:
         for batch in batches:
             for path, folder, base, kind in rows_of(batch, "path", "folder", "base", "kind"):
                 fs, _ = open_fs(folder)
-                ids, off, doc = mapped(fs, f"{path}.ids", kind), mapped(fs, f"{path}.off", "<u8"), mapped(fs, f"{path}.doc", "<i8")
+                ids, off, doc = Integers(fs, f"{path}.ids", kind), Integers(fs, f"{path}.off", "<u8"), Integers(fs, f"{path}.doc", "<i8")
                 for at in range(0, len(doc), 1000):
                     spans = list(zip(off[at : at + 1000].tolist(), off[at + 1 : at + 1001].tolist(), strict=False))
                     cols = [
