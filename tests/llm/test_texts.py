@@ -69,7 +69,29 @@ def test_pre_tokens_are_counted_once_and_joined(spark, docs, documents, pieces,
         assert by_id(token_counts.token_counts(docs).collect()) == whole
 
 
+def byte_level(name):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokenizer_file(name), "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def broken(i):
+        try:
+            encoding.decode_single_token_bytes(i).decode()
+        except UnicodeDecodeError:
+            return True
+        return False
+
+    return encoding.encode_ordinary, broken
+
+
 def test_quality_equals_brute_force(docs, documents, pieces):
+    vocabularies = [(pieces.encode, pieces.is_byte), byte_level("byte_bpe_50k.tiktoken"), byte_level("byte_bpe_multi_50k.tiktoken")]
+    names = [f"{v}_{m}" for v in ("piece", "byte", "multi") for m in ("chars_per_token", "byte_share", "entropy_bits")]
+
     def one(i, t, lang):
         words = WORD.findall(t)
         lines, dup = set(), 0
@@ -81,22 +103,26 @@ def test_quality_equals_brute_force(docs, documents, pieces):
         counts = Counter(windows)
         marked = {j + k for j, w in enumerate(windows) if counts[w] > 1 for k in range(3)}
         failed = len(words) < 50 or 100 * len(marked) > 50 * len(words)
-        ids = pieces.encode(t)
-        n = len(ids)
-        chars = len(t) / n if n else None
-        share = sum(map(pieces.is_byte, ids)) / n if n else None
-        bits = -sum(c / n * math.log2(c / n) for c in Counter(ids).values()) if n else None
         band = fertility.band_of(lang, t, fertility.BANDS)
-        kept = not failed and n > 0 and band.chars_low <= chars <= band.chars_high and share <= band.bytes_high and band.bits_low <= bits <= band.bits_high
+        kept, measures = not failed, []
+        for v, (encode, is_byte) in zip(("piece", "byte", "multi"), vocabularies, strict=True):
+            ids = encode(t)
+            n = len(ids)
+            chars = len(t) / n if n else None
+            share = sum(map(is_byte, ids)) / n if n else None
+            bits = -sum(c / n * math.log2(c / n) for c in Counter(ids).values()) if n else None
+            b = band[v]
+            kept = kept and n > 0 and b.chars_low <= chars <= b.chars_high and share <= b.bytes_high and b.bits_low <= bits <= b.bits_high
+            measures += [x and round(x, 9) for x in (chars, share, bits)]
         return {
             "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_dup_lines": dup, "n_repeat_words": len(marked), "base_failed": failed, "kept": kept,
-            "chars_per_token": chars and round(chars, 9), "byte_share": share and round(share, 9), "entropy_bits": bits and round(bits, 9),
+            **dict(zip(names, measures, strict=True)),
         }
 
     found = by_id(fertility.quality(docs).collect())
     for rows in found.values():
         for r in rows:
-            r |= {k: r[k] and round(r[k], 9) for k in ("chars_per_token", "byte_share", "entropy_bits")}
+            r |= {k: r[k] and round(r[k], 9) for k in names}
     wanted = expected(documents, one)
     assert_same(found, wanted, list(next(iter(wanted.values()))[0]))
     assert 0 < sum(r["kept"] for v in found.values() for r in v) < len(documents)
@@ -111,6 +137,27 @@ def test_scripts_choose_bands():
     assert fertility.band_of("xx", "123", fertility.BANDS) == fertility.BANDS[""]
 
 
+def test_parts_have_the_tokens_of_whole_texts(pieces, monkeypatch):
+    """Odd spaces of every kind between words, through tables that turn over."""
+    monkeypatch.setattr(fertility, "TABLE_ROWS", 40)
+    tables = fertility.TokenTables(tuple(fertility.VOCABULARIES.values()))
+    libraries = [pieces.encode, byte_level("byte_bpe_50k.tiktoken")[0], byte_level("byte_bpe_multi_50k.tiktoken")[0]]
+    spaces = [" ", "  ", "\n", " \n", "\n ", "\t ", " \x1c", "\x85", "\xa0 ", "\u2003", "\u3000 ", "▁", " ▁", "▁ ", "\u200b", "\ufeff "]
+    texts = [f"{a}it's{b}naïve{c}12,{a}don't{c}" for a in spaces for b in spaces for c in (" ", "\n ", "")] + ["", "y" * 500, "x " * 300]
+    for at in range(0, len(texts), 50):
+        part = texts[at : at + 50]
+        assert [[x.tolist() for x in row] for row in tables.tokens(part)] == [[encode(t) for encode in libraries] for t in part]
+
+
+def test_bands_are_fitted_to_good_documents(spark, docs):
+    """Bands hold all but the rarest of the documents that they are fitted to, whatever their order."""
+    measured = fertility.quality(docs).join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null")
+    bands = fertility.fit_bands(measured, rare=0.0)
+    assert bands == fertility.fit_bands(measured.orderBy("n_words"), rare=0.0) and set(bands) == {"en", "de", "fr", "es"}
+    for r in measured.where("not base_failed").collect():
+        assert all(b.holds(*(r[f"{v}_{m}"] for m in fertility.MEASURES)) for v, b in bands[r.lang].items())
+
+
 def brute_spans(text):
     out = []
     for m in re.finditer(secret_scan.ASSIGN.replace("(?i:", "(?:").replace("password|passwd|secret|token|api_?key", "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))), text):
@@ -523,10 +570,6 @@ def test_tables_turn_over(documents, monkeypatch, pieces):
         assert [np.frombuffer(x, "<u2").tolist() for x in token_files.encode_texts(part)] == [library.encode(t, add_special_tokens=False).ids for t in part]
     e = merge_dropout.Encoder(merge_dropout.MODEL, 1, 0.2)
     assert [x for i, t in enumerate(texts) for x in e.encode([(i, t)])] == e.encode(list(enumerate(texts)))
-    monkeypatch.setattr(fertility, "TABLE_ROWS", 60)
-    tokens = fertility.TokenTable(fertility.MODEL)
-    for t in texts:
-        assert tokens.tokens([t])[0].tolist() == pieces.encode(t)
 
 
 def test_plain_words_are_cut_as_the_library_does():
