@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from viewtide.llm import mixing, nearest, url_filter, warc
+from viewtide.llm.common import tokenizer_file
 from viewtide.llm.queries import RULES
 
 SF = "/root/testdata/sf0.001"
@@ -104,69 +105,93 @@ def brute_shares(total, children):
     return got
 
 
-def test_mixing_equals_brute_force(spark, docs, documents, monkeypatch):
-    monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
-    weights = {("d0",): 5.0, ("d1",): 1.0, ("d0", "en"): 3.0, ("d0", "en", "src3"): 1e9}
-    share, epochs = 0.9, 2
+TREE = mixing.Tree(
+    {"web": tuple(f"src{i}" for i in range(8)), "books": ("src8", "src9", "src10"), "none": ("src11",)},
+    {("web",): 2.0, ("books",): 9.0, ("other",): 1.0, ("none",): 0.0, ("web", "en"): 3.0, ("web", "de"): 1.0, ("web", "en", "src3"): 1e9, ("other", "fr"): 0.0},
+)
+
+
+@pytest.mark.parametrize(("share", "epochs", "bits"), [(0.9, 2, 2), (0.3, 1, 10), (5.0, 3, 10)])
+def test_mixing_equals_brute_force(spark, docs, documents, monkeypatch, share, epochs, bits):
+    """Budgets by filling up, and every row's copies by its leaf's documents in the seeded order; doc_ids that several texts have."""
+    import sentencepiece
+
+    monkeypatch.setattr(mixing, "DIGIT_BITS", bits)
+    monkeypatch.setattr(mixing, "ORDERED_ROWS", 3)
+    pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    again = [(documents[0][0], "another text of the same id", "en", "src3"), (documents[0][0], "another text of the same id", "de", "src19"), (None, "no id", "en", "src3"), (None, "none either", "en", "src3")]
+    rows = documents + again
+    docs = docs.unionByName(spark.createDataFrame(again, "doc_id long, text string, lang string, source string"), allowMissingColumns=True)
+    domain = {s: d for d, sources in TREE.domains.items() for s in sources}
+    path_of = [(domain.get(s or "?", "other"), x or "?", s or "?") for _, _, x, s in rows]
+    size = [len(pieces.encode(t or "")) for _, t, *_ in rows]
+    tokens = defaultdict(int)
+    for p, k in zip(path_of, size, strict=True):
+        tokens[p] += k
+    below = lambda path: sum(v for p, v in tokens.items() if p[: len(path)] == path)
+    weight = lambda path: TREE.weights.get(path, below(path) ** mixing.SMOOTHING)
+
+    def capacity(path):
+        if not weight(path):
+            return 0
+        return epochs * tokens[path] if len(path) == 3 else sum(capacity(c) for c in {p[: len(path) + 1] for p in tokens if p[: len(path)] == path})
+
     leaf = {}
-    tokens, of = defaultdict(int), []
-    for i, t, lang, source in documents:
-        s = source or "?"
-        n = s[3:]
-        path = ((f"d{int(n) // 10}" if n.isdigit() else s), lang or "?", s)
-        k = len((t or "").encode().split())
-        tokens[path] += k
-        of.append((i, path, k))
-
-    def weight(path):
-        return weights.get(path, sum(v for p, v in tokens.items() if p[: len(path)] == path) ** mixing.SMOOTHING)
 
     def down(path, total):
         if len(path) == 3:
-            leaf[path] = math.floor(total)
+            leaf[path] = math.floor(round(total, 3))
             return
         children = {p[: len(path) + 1] for p in tokens if p[: len(path)] == path}
-        capacity = {c: epochs * sum(v for p, v in tokens.items() if p[: len(c)] == c) for c in children}
-        for c, got in brute_shares(total, {c: (weight(c), capacity[c]) for c in children}).items():
+        for c, got in brute_shares(total, {c: (weight(c) if capacity(c) else 0.0, capacity(c)) for c in children}).items():
             down(c, got)
 
     down((), share * sum(tokens.values()))
-    chosen = mixing.choices(docs, share, epochs, weights).collect()
-    assert len(chosen) == len(documents)
-    assert sorted((str(r.doc_id), r.mix_domain, r.mix_lang, r.mix_source, r.mix_tokens) for r in chosen) == sorted((str(i), *p, k) for i, p, k in of)
-    by_leaf = defaultdict(list)
-    for r in chosen:
-        by_leaf[r.mix_domain, r.mix_lang, r.mix_source].append(r)
-    for path, rows in by_leaf.items():
-        target, all_ = leaf[path], tokens[path]
-        taken = sum(r.mix_copies * r.mix_tokens for r in rows)
-        # The longest prefix: what was taken fits, and the next document of the last epoch doesn't.
-        assert taken <= target + 1
-        least = {r.mix_copies for r in rows if r.mix_tokens}
-        if least:
-            assert max(least) - min(least) <= 1 and min(least) in (target // all_, target // all_ + 1, max(0, (target + 1) // all_))
-            left = [r.mix_tokens for r in rows if r.mix_tokens and r.mix_copies == min(least)]
-            assert taken == all_ * epochs or target - taken <= max(left)
-    assert {str(r.doc_id): r.mix_copies for r in chosen} == {str(r.doc_id): r.mix_copies for r in mixing.choices(docs.repartition(2), share, epochs, weights).collect()}
-    out = mixing.mixed(docs, share=share, max_epochs=epochs, weights=weights)
+    full = {p: leaf[p] // tokens[p] if tokens[p] else 0 for p in tokens}
+    keys = spark.createDataFrame([(i, full[p], d, t or "") for i, (p, (d, t, *_)) in enumerate(zip(path_of, rows, strict=True))], "i long, mix_epochs long, doc_id long, text string")
+    order = {r.i: r.o for r in keys.withColumn("mix_text", F.xxhash64("text")).select("i", mixing.order_of(mixing.SEED).alias("o")).collect()}
+    copies = [0] * len(rows)
+    for p in tokens:
+        mine = [i for i in range(len(rows)) if path_of[i] == p and size[i]]
+        rest = leaf[p] - full[p] * tokens[p]
+        for o in sorted({order[i] for i in mine}):
+            same = [i for i in mine if order[i] == o]
+            rest -= sum(size[i] for i in same)
+            for i in same:
+                copies[i] = full[p] + (rest >= 0)
+    wanted = sorted(((d, *p, k, n) for (d, *_), p, k, n in zip(rows, path_of, size, copies, strict=True)), key=str)
+    chosen = mixing.choices(docs, share, epochs, TREE)
+    assert sorted(map(tuple, chosen.collect()), key=str) == wanted
+    assert sorted(map(tuple, mixing.choices(docs.repartition(2), share, epochs, TREE).collect()), key=str) == wanted
+    out = mixing.mixed(docs, share=share, max_epochs=epochs, tree=TREE)
     assert out.columns == docs.columns
-    times = defaultdict(int)
-    for r in out.select("doc_id").collect():
-        times[r.doc_id] += 1
-    rows_of = defaultdict(int)
-    for i, *_ in of:
-        rows_of[i] += 1
-    assert times == {r.doc_id: r.mix_copies * rows_of[r.doc_id] for r in chosen if r.mix_copies and r.doc_id is not None}
+    assert sorted((tuple(r) for r in out.select("doc_id", "text", "lang", "source").collect()), key=str) == sorted((r for r, n in zip(rows, copies, strict=True) for _ in range(n)), key=str)
+    assert 0 < sum(copies) and not sum(n for n, p in zip(copies, path_of, strict=True) if p[0] == "none" or p[:2] == ("other", "fr"))
+
+
+def test_mixing_of_nothing(docs):
     assert mixing.choices(docs.where("false")).count() == 0 and mixing.mixed(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("total", [0.0, 5.0, 40.0, 333.3, 1e9])
+def test_division_by_bins_equals_filling_up(spark, monkeypatch, total):
+    """Many children in few bins, equal ratios, and weights of zero."""
+    monkeypatch.setattr(mixing, "BINS", 1)
+    rng = np.random.default_rng(4)
+    children = {("p", i): (float(rng.choice([0, 0.5, 1, 1, 3, 7.7])), float(rng.choice([0, 1, 2, 5, 8.5, 100]))) for i in range(60)}
+    frame = spark.createDataFrame([(k[0], k[1], *v, total) for k, v in children.items()], "p string, i long, mix_weight double, mix_capacity double, mix_total double")
+    found = {("p", r.i): r.mix_budget for r in mixing.divide(frame, ["p"]).collect()}
+    wanted = brute_shares(total, children)
+    assert found.keys() == wanted.keys() and all(math.isclose(found[k], wanted[k], abs_tol=1e-6) for k in wanted)
+
+
 def test_shortages_go_to_siblings_first(spark):
     """A leaf that has too little is made up for by its sibling, not by the other domain."""
     leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 1000), ("b", "x", "3", 1000)], "mix_domain string, mix_lang string, mix_source string, mix_tokens long")
     w = {("a",): 1.0, ("b",): 1.0, ("a", "x"): 1.0, ("b", "x"): 1.0, ("a", "x", "1"): 1.0, ("a", "x", "2"): 1.0, ("b", "x", "3"): 1.0}
-    got = {r.mix_source: r.mix_budget for r in mixing.budgets(leaves, 400 / 2010, 1, w).collect()}
+    got = {r.mix_source: r.mix_budget for r in mixing.budgets(leaves, 400 / 2010, 1, mixing.Tree(weights=w)).collect()}
     assert got == {"1": 10, "2": 190, "3": 200}
-    got = {r.mix_source: r.mix_budget for r in mixing.budgets(leaves.where("mix_source <> '2'"), 400 / 1010, 1, w).collect()}
+    got = {r.mix_source: r.mix_budget for r in mixing.budgets(leaves.where("mix_source <> '2'"), 400 / 1010, 1, mixing.Tree(weights=w)).collect()}
     assert got == {"1": 10, "3": 390}
 
 

@@ -12,6 +12,15 @@ from . import fertility, merge_dropout, mixing, nearest, secret_scan, simhash, t
 #: The rules of the URL query.
 RULES = [url_filter.Rule(*r) for r in (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))]
 
+#: The mixture: which sources make a domain, and the target weights of domains and languages; sources weigh by their tokens.
+MIX = mixing.Tree(
+    domains={name: tuple(f"src{i}" for i in range(at, at + 5)) for name, at in (("web", 0), ("books", 5), ("code", 10), ("news", 15))},
+    weights={
+        ("web",): 0.40, ("books",): 0.25, ("code",): 0.20, ("news",): 0.15, ("other",): 0.05,
+        **{(domain, lang): w for domain in ("web", "books", "code", "news") for lang, w in (("en", 0.55), ("de", 0.2), ("fr", 0.15), ("es", 0.1))},
+    },
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,7 +43,7 @@ def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = mixing.choices(table(spark, sf_dir, "documents"))
+    chosen = mixing.choices(table(spark, sf_dir, "documents"), tree=MIX)
     return chosen.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"), F.col("mix_source").alias("source"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"))
 
 

@@ -59,6 +59,26 @@ def count_pieces(tokens: list[str], model: str) -> list[int]:
     return [len(ids) if t else 1 for t, ids in zip(tokens, processor(model).encode(tokens, num_threads=1), strict=True)]
 
 
+@lru_cache(maxsize=2)
+def known_counts(model: str) -> dict[str, int]:
+    return {}
+
+
+def count_texts(texts: list[str], model: str = MODEL) -> list[int]:
+    """Pieces of each text, for operators that need a count on the row itself: each worker keeps a bounded table of pre-tokens."""
+    table = known_counts(model)
+    if len(table) > GATHERED:
+        table.clear()
+    cut_texts = [pre_tokens(t) for t in texts]
+    missing = list(set().union(*cut_texts) - table.keys())
+    table.update(zip(missing, count_pieces(missing, model), strict=True))
+    counts = [sum(map(table.__getitem__, c)) for c in cut_texts]
+    for token in missing:
+        if len(token) > LONG:
+            del table[token]
+    return counts
+
+
 def frequencies(docs: DataFrame) -> DataFrame:
     """token, times: the distinct pre-tokens of up to LONG characters."""
     import pyarrow as pa
