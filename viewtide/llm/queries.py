@@ -12,6 +12,8 @@ from . import fertility, merge_dropout, mixing, nearest, secret_scan, simhash, t
 #: The rules of the URL query.
 RULES = [url_filter.Rule(*r) for r in (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))]
 
+#: The URL query's list: canonical URLs of hosts with one of these labels, so it grows with the pages.
+LISTED_LABELS = ["casino-win", "free-bets", "spam-farm", "cheap-pills", "adult-x", "ads-track"]
 #: The mixture: which sources make a domain, and the target weights of domains and languages; sources weigh by their tokens.
 MIX = mixing.Tree(
     domains={name: tuple(f"src{i}" for i in range(at, at + 5)) for name, at in (("web", 0), ("books", 5), ("code", 10), ("news", 15))},
@@ -57,7 +59,7 @@ def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, RULES, url_filter.repeated_urls(pages))
+    return url_filter.judge(pages, RULES, url_filter.urls_of_hosts(pages, LISTED_LABELS))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +92,7 @@ WITH parsed AS (
 ), named AS (
   SELECT *, CASE WHEN host = '' THEN '' ELSE host || regexp_replace(path, '/+$', '') END AS canonical FROM parsed
 ), listed AS (
-  SELECT canonical FROM named WHERE canonical <> '' GROUP BY canonical HAVING count(*) > 1
+  SELECT DISTINCT canonical FROM named WHERE regexp_matches(host, '(^|[.])(casino-win|free-bets|spam-farm|cheap-pills|adult-x|ads-track)([.]|$)')
 ), ruled AS (
   SELECT *, CASE
     WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/7') THEN 'example.com/en/7'

@@ -7,7 +7,8 @@ list removes those. The filter is broadcast only when it was counted to have few
 their number. Both lookups run over distinct canonical URLs, so a URL that half of the pages share is looked up once.
 
 Everything is DataFrame functions. Defined results: a null url, or one without ``://``, has an empty host and path, fits no
-rule and is on no list; other columns are ignored; repeated rows are repeated in the result; an empty list lists nothing.
+rule and is on no list; other columns are ignored; repeated rows are repeated in the result; an empty list lists nothing; a
+very long url is judged whole.
 """
 
 from __future__ import annotations
@@ -117,13 +118,16 @@ def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, listed_verdict
     host, path = F.col("host"), F.col("path")
     rows = rows.select("*", rule_column(host, path, rules, "text").alias("rule"), rule_column(host, path, rules, "verdict").alias("by_rule"), canonical(host, path).alias("canonical"))
     found = cut(on_list(rows.where("by_rule is null"), listed)).withColumn("listed", F.lit(True))
-    asked = F.when(F.col("by_rule").isNull(), F.col("canonical"))
     by_list = F.when(F.col("listed"), F.lit(listed_verdict)).otherwise(F.lit(default))
-    joined = rows.withColumn("asked", asked).join(small_or_plain(found).withColumnRenamed("canonical", "asked"), "asked", "left")
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_list).alias("verdict"), "canonical")
-
-
-def repeated_urls(pages: DataFrame) -> DataFrame:
-    """A list for crawls: the canonical URLs that more than one page has."""
-    url = F.col("url")
-    return pages.select(canonical(host_of(url), path_of(url)).alias("canonical")).groupBy("canonical").count().where("count > 1").select("canonical")
+    # Only rows that ask the list are joined: rows with a rule or without a host share no key.
+    asks = F.col("by_rule").isNull() & (F.col("canonical") != "")
+    looked_up = rows.where(asks).join(small_or_plain(found), "canonical", "left").withColumn("verdict", by_list)
+    decided = rows.where(~asks).withColumn("verdict", F.coalesce("by_rule", F.lit(default)))
+    names = ["page_id", "host", "path", "rule", "verdict", "canonical"]
+    return decided.select(*names).unionByName(looked_up.select(*names))
+
+
+def urls_of_hosts(pages: DataFrame, labels: list[str]) -> DataFrame:
+    """A list for crawls: the canonical URLs of pages whose host has one of the labels (between its dots)."""
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    return pages.where(F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, labels)))).select(canonical(host, path).alias("canonical")).distinct()

@@ -6,13 +6,14 @@ that name it and carry its digest and size, but no payload. Digests and lengths
 (digest, page_id) pairs are grouped, pre-aggregated before the shuffle, and only rows of repeated payloads are joined.
 
 The reader inflates a member piece by piece, frames the record by its Content-Length, and compares the payload with the
-record's digest; a wrong digest, length or trailing data is an error. It holds one record at a time.
+record's digest and length; a wrong digest, length or trailing data is an error, and so is a revisit whose digest and length
+aren't those of the response that it names. It holds one record at a time.
 
 A task writes an archive under a name of its own and reports it; only reported archives are read.
 
 Defined results: a null html is an empty payload; a null url an empty target; a record without page_id
 is a response, and none refers to it; repeated rows of the page that holds the smallest page_id are all responses; an empty
-table gives no archives and no rows; other columns are ignored.
+table gives no archives and no rows; other columns are ignored; a very long page is one record, which a task holds whole.
 """
 
 from __future__ import annotations
@@ -117,6 +118,8 @@ def read_records(file) -> Iterator[tuple[dict[str, str], bytes]]:
             raise BadRecord("wrong block digest")
         if head["WARC-Type"] == "response" and head["WARC-Payload-Digest"] != f"sha256:{hashlib.sha256(body).hexdigest()}":
             raise BadRecord("wrong payload digest")
+        if head["WARC-Type"] == "response" and int(head["WARC-Payload-Length"]) != len(body):
+            raise BadRecord("wrong payload length")
         yield head, body
 
 
@@ -160,8 +163,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     return cut(rows.mapInArrow(write, "path string, folder string, n_records long"))
 
 
-def read_archives(archives: DataFrame, digest_only: bool = False) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of each record, and unless digest_only its payload (null for revisits)."""
+def _rows(archives: DataFrame, digest_only: bool) -> DataFrame:
     import pyarrow as pa
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
@@ -190,3 +192,18 @@ def read_archives(archives: DataFrame, digest_only: bool = False) -> DataFrame:
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ("" if digest_only else ", payload binary")
     n = max(1, min(archives.count(), 10_000))
     return archives.repartition(n, "path").mapInArrow(read, kinds)
+
+
+def read_archives(archives: DataFrame, digest_only: bool = False) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of each record, and unless digest_only its payload (null for revisits).
+
+    A revisit is believed only where the response that it names was read with that digest and length; BadRecord otherwise.
+    """
+    found = cut(_rows(archives, True))
+    same = ["payload_digest", "payload_bytes"]
+    responses = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), *same)
+    claims = found.where("record_type = 'revisit'").select("refers_to", *same).distinct()
+    wrong = claims.join(responses, ["refers_to", *same], "left_anti").first()
+    if wrong is not None:
+        raise BadRecord(f"revisits name page {wrong['refers_to']} for a payload that it hasn't got")
+    return found if digest_only else _rows(archives, False)
