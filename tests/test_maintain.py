@@ -63,7 +63,7 @@ def test_maintained_equals_recomputed(spark, seed):
         after = {n: cut(df) for n, df in apply_changes(tables, by_table).items()}
         assert {r.id for r in after["item"].collect()} == set(rows)
         for p in plans:
-            members[p.key] = cut(maintain(p, members[p.key], tables, after, by_table))
+            members[p.key] = cut(maintain(p, members[p.key], after, by_table))
             assert rows_of(members[p.key]) == rows_of(recompute(p, after)), (step, p.key)
         tables = after
 

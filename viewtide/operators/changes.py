@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from viewtide.functions.gtid import GtidSet, step
@@ -146,18 +147,33 @@ def normalize(rows: DataFrame, table: Table) -> DataFrame:
     return decoded
 
 
-def image(text: Column, table: Table, stored: DataFrame | None = None) -> Column:
+def image(text: Column, table: Table, stored: dict[str, T.DataType] | None = None) -> Column:
     """A JSON image as a struct of stored values, of the types that a stored table has; null for null."""
     cells = []
     for c in table.columns:
-        cell = F.get_json_object(text, f"$.{c.name}")
+        kind = stored_type(c.kind) if stored is None else stored[c.name]
         if c.derived:
-            cell = c.derived.column(F.get_json_object(text, f"$.{c.derived.source}"))
-        kind = stored_type(c.kind) if stored is None else stored.schema[c.name].dataType
-        cells.append((cell if c.derived else cell.try_cast(kind)).alias(c.name))
+            cells.append(c.derived.column(F.get_json_object(text, f"$.{c.derived.source}")).alias(c.name))
+        else:
+            cells.append(F.get_json_object(text, f"$.{c.name}").try_cast(kind).alias(c.name))
     return F.when(text.isNotNull(), F.struct(*cells))
 
 
+def unfit(text: Column, table: Table, stored: dict[str, T.DataType] | None = None) -> Column:
+    """The columns of a JSON image whose value can't be stored: text that isn't of the kind, or null where a value is needed."""
+    bad = []
+    for c in (c for c in table.columns if not c.derived):
+        cell = F.get_json_object(text, f"$.{c.name}")
+        kind = stored_type(c.kind) if stored is None else stored[c.name]
+        wrong = cell.isNotNull() & cell.try_cast(kind).isNull()
+        bad.append(F.when(wrong if c.nullable else wrong | cell.isNull(), F.lit(c.name)))
+    return F.when(text.isNotNull(), F.filter(F.array(*bad), lambda x: x.isNotNull()))
+
+
+def stored_types(df: DataFrame) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in df.schema.fields}
+
+
 def key_of(text: Column, table: Table) -> Column:
     """The key's text of a JSON image."""
     cells = [cell_text(F.get_json_object(text, f"$.{k}"), table.column(k).kind) for k in table.primary_key]
@@ -323,7 +339,7 @@ def images_by_table(changes: DataFrame, schema: Schema, order: list[str], stored
         # Keys of one table only: the expressions stay small.
         alone = Schema((t,), schema.partition_kind, by_name={t.name: t})
         rows = folded(rekeyed(changes.where(F.col("tbl") == t.name), alone), [*order, "half"])
-        like = (stored or {}).get(t.name)
+        like = stored_types(stored[t.name]) if stored and t.name in stored else None
         out[t.name] = rows.select(KEY, image(F.col("before"), t, like).alias("before"), image(F.col("after"), t, like).alias("after")).where("before is not null or after is not null")
     return out
 

@@ -17,6 +17,7 @@ from viewtide.plans.planner import plan_query
 from viewtide.plans.query import Builder, q
 from viewtide.plans.schema import KEY, Column, Derived, Parent, Relation, Schema, Table, compile_schema, project
 from viewtide.sources import fills as fl
+from viewtide.sources.keys import KeySet
 from viewtide.sources.shared import cut
 from viewtide.sources.tables import by_columns, read_tables
 
@@ -192,7 +193,7 @@ def rows_by_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chain_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, s = tables(spark, sf_dir), schema()
     way = (s.table("customer").relation("orders"), s.table("orders").relation("lines"))
-    return mt.reaching(t, s.table("customer"), way, t["lineitem"].where("l_quantity = 50 and l_returnflag = 'R'"))
+    return mt.reaching(t, s.table("customer"), way, t["lineitem"].where("l_quantity = 50 and l_returnflag = 'R'"), s)
 
 
 @register("snapshot_chunks", "SELECT chunk, count(*) AS n, min(__key) AS first_key, max(__key) AS last_key FROM (SELECT __key, (row_number() OVER (ORDER BY __key) - 1) // 500 AS chunk FROM (SELECT '[\"' || c_custkey || '\"]' AS __key FROM customer)) GROUP BY chunk")
@@ -298,8 +299,9 @@ def delta_of(name: str, query: Builder, before_sql: str, after_sql: str) -> None
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         planned = plan_query(schema(), query.query)
         before, by_table, after = changed(spark, sf_dir)
-        old = lv.recompute(planned, before)
-        return mt.delta(old, mt.maintain(planned, old, before, after, by_table))
+        members = mt.FrameMembers(cut(lv.recompute(planned, before)))
+        moves = mt.affected(planned, members, after, by_table)
+        return mt.changed_rows(spark, mt.entered_and_left(planned, members, moves, spark))
 
     sql = f"""
     WITH a AS ({AFTER}), old AS ({before_sql}), new AS ({after_sql})
@@ -324,9 +326,10 @@ delta_of("maintain_include_exists", q("nation").where(lambda c: c.lt("n_nationke
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = plan_query(schema(), q("customer").where(lambda c: c.gt("c_acctbal", 5000)).query)
     before, by_table, after = changed(spark, sf_dir)
-    old = lv.recompute(planned, before)
-    new = mt.maintain(planned, old, before, after, by_table)
-    sent = mt.row_updates(by_table, mt.delta(old, new), lv.seen(new), {"customer": after["customer"]})
+    members = mt.FrameMembers(cut(lv.recompute(planned, before)))
+    moves = mt.affected(planned, members, after, by_table)
+    entered = {n: added for n, (added, _) in mt.entered_and_left(planned, members, moves, spark).items()}
+    sent = mt.row_updates(by_table, entered, {"customer": moves[()].now & KeySet.of(by_table["customer"])}, after)
     return sent["customer"].select(KEY, F.col("image").isNull().alias("deleted"))
 
 

@@ -6,20 +6,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side is broadcast only after it was counted and found to have no more rows than this.
-BROADCAST_ROWS = 100_000
-
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; an own folder only where none is set, as in tests."""
+    """spark.checkpoint.dir as the session has it, as a URI. Only where none is set and all of Spark is one process, as in tests, an own folder."""
     context = spark.sparkContext._jsc.sc()
     root = spark.conf.get("spark.checkpoint.dir", None) or (context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else None)
-    root = root or "file://" + tempfile.mkdtemp(prefix="viewtide-")
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="viewtide-")
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
-    return root
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -32,6 +31,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def counted_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it was counted to be small; beyond that Spark shuffles, and splits skewed keys. df should be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+class Folder:
+    """Small files of text below a folder that driver and executors share; a file appears whole or not at all."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path, self._jvm = path.rstrip("/"), spark.sparkContext._jvm
+        self._fs = self._jvm.org.apache.hadoop.fs.FileSystem.get(self._at("").toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(""))) if self._fs.exists(self._at("")) else []
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        out = self._fs.create(self._at(f"_{name}"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self._fs.rename(self._at(f"_{name}"), self._at(name))
