@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewtide.sources.shared import cut, shared_folder
+
+__all__ = ["around_extras", "cut", "open_fs", "rarely_collect", "rows_of", "shared_folder", "small_or_plain", "text_batches", "text_or_empty", "tokenizer_file", "written"]
+
 #: A side is broadcast only after it was counted and found to have no more rows than this.
 BROADCAST_ROWS = 100_000
 #: Rows in an Arrow batch that carries whole texts.
@@ -19,23 +20,6 @@ TEXT_BATCH_ROWS = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI: spark.checkpoint.dir, or an own one where that is unset."""
-    context = spark.sparkContext._jsc.sc()
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        set_dir = context.getCheckpointDir()
-        root = set_dir.get() if set_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="viewtide-")
-    if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root if "://" in root or root.startswith("file:") else f"file://{root}"
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def open_fs(uri: str):
     """pyarrow's file system for a URI of the shared folder, and the path within it."""
     from pyarrow import fs
@@ -45,12 +29,6 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Runs df once and continues from its rows in the shared folder, so a lost executor costs no recomputation."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df's rows as a table in the shared folder, which is read back: for many rows, where a checkpoint makes many objects."""
     folder = shared_folder(df.sparkSession, name)
@@ -64,8 +42,10 @@ def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    """Keeps Arrow batches of whole texts small, for the session, as batches are cut when a plan runs; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH_ROWS:
+        spark.conf.set(name, str(TEXT_BATCH_ROWS))
 
 
 def rarely_collect() -> None:
