@@ -24,31 +24,25 @@ def item(id_, **cells):
 
 
 def random_item(rng, id_):
-    group = id_.startswith("f") or rng.random() < 0.1
-    return item(
-        id_, type="GROUP" if group else "DOCUMENT", groupId=rng.choice(["f1", "f2", None]), displayOrder=rng.choice([None, 1, 2, 5, 7, 9]), title=rng.choice(["a", "B", "b", "A", None]),
-        createdAt=rng.choice(["2026-01-01 00:00:00", "2026-01-02 00:00:00"]), score=rng.choice([None, 0.5, 2.0]),
-    )
+    """Folders are groups, and now and then a document is one; every nullable cell is empty in a share of the rows."""
+    some = lambda values: rng.choice(values) if rng.random() < 0.75 else None
+    kind = "GROUP" if id_[0] == "f" or rng.randrange(12) == 0 else "DOCUMENT"
+    return item(id_, type=kind, groupId=some(["f1", "f2"]), displayOrder=some(range(1, 10, 2)), title=some("aAbB"), createdAt=f"2026-01-0{rng.randint(1, 2)} 00:00:00", score=some([0.5, 2.0]))
 
 
 def random_changes(rng: random.Random, rows: dict, n: int, rekey: bool = True) -> list[dict]:
-    """One transaction's changes of rows (id -> item), which it updates."""
-    out = []
+    """One transaction's changes of rows (id -> item), which it updates: rows are written, removed, or written under another key."""
+    ids, out = [*(f"d{i}" for i in range(10)), "f1", "f2"], []
     for _ in range(n):
-        id_ = rng.choice([f"f{rng.randint(1, 2)}"] if rng.random() < 0.15 else [f"d{rng.randint(0, 9)}"])
-        before = rows.get(id_)
-        if before is not None and rng.random() < 0.25:
-            rows.pop(id_)
+        old, kind = rng.choice(ids), rng.choices(["write", "remove", "rekey"], [6, 2, 1])[0]
+        before = rows.pop(old, None)
+        if kind == "remove" and before is not None:
             out.append(change("delete", before, None))
-        elif before is not None and rekey and rng.random() < 0.1 and (to := f"d{rng.randint(0, 9)}") not in rows:
-            after = random_item(rng, to)
-            del rows[id_]
-            rows[to] = after
-            out.append(change("update", before, after))
-        else:
-            after = random_item(rng, id_)
-            rows[id_] = after
-            out.append(change("insert" if before is None else "update", before, after))
+            continue
+        free = [i for i in ids[:10] if i not in rows and i != old]
+        new = rng.choice(free) if kind == "rekey" and rekey and before is not None and free else old
+        rows[new] = random_item(rng, new)
+        out.append(change("insert" if before is None else "update", before, rows[new]))
     return out
 
 
