@@ -10,9 +10,10 @@ from tests.fixtures import ORGANIZATION, SCHEMA, change, frame, item, random_cha
 from viewtide.operators.changes import images_by_table
 from viewtide.operators.levels import recompute
 from viewtide.operators.maintain import apply_changes, maintain
+from viewtide.operators.overlay import Pusher
 from viewtide.plans.planner import QueryProblem, plan_query
 from viewtide.plans.query import Include, Query, c, q
-from viewtide.plans.schema import KEY
+from viewtide.plans.schema import KEY, Column, Table
 from viewtide.sources.keys import KeySet
 from viewtide.sources.shared import cut
 from viewtide.streaming import state
@@ -138,6 +139,21 @@ def test_an_engine_outlives_its_process(spark, tmp_path):
     assert rows_of(last.tables["item"]) == rows_of(third.tables["item"]) and not last.held
 
 
+def test_pushes_over_live_tables(spark):
+    """The same protocol with rows and confirmed ids in live tables, which a new receiver goes on from."""
+    live = {"organization": state.LiveTable(spark, ORGANIZATION, frame(spark, [], ORGANIZATION).schema)}
+    live["organization"].load(frame(spark, [{"id": "o", "name": "old"}], ORGANIZATION), 1)
+    clients = Table("clients", ("client_id",), (Column("client_id", "string"), Column("last_mutation_id", "bigint")))
+    ids = state.LiveTable(spark, clients, frame(spark, [], clients).schema)
+    ids.load(frame(spark, [], clients), 0)
+    mutators = {"rename": lambda tx, a, ctx: tx.update("organization", [a[0]], {"name": a[1]}), "add": lambda tx, a, ctx: tx.insert("organization", a), "drop": lambda tx, a, ctx: tx.delete("organization", [a])}
+    receiver = lambda: Pusher(SCHEMA, mutators, state.LiveRows(live), confirmed=state.LiveIds(ids))
+    ask = lambda p, *ms: [o["status"] for o in p.push({"client_id": "c", "partition": "", "mutations": [{"id": i, "name": n, "args": a} for i, n, a in ms]})["outcomes"]]
+    assert ask(receiver(), (1, "rename", ["o", "new"]), (2, "add", {"id": "o", "name": "x"}), (3, "add", {"id": "p", "name": "P"})) == ["applied", "failed", "applied"]
+    assert ask(receiver(), (3, "drop", "p"), (4, "drop", "o")) == ["duplicate", "applied"]
+    assert {r.id: r.name for r in live["organization"].view().collect()} == {"p": "P"} and dict(state.LiveIds(ids)) == {"c": 4}
+
+
 def test_look_ups_read_the_buckets_of_their_keys(spark, monkeypatch):
     monkeypatch.setattr(state, "BUCKET_ROWS", 10)
     live = state.LiveTable(spark, ORGANIZATION, frame(spark, [], ORGANIZATION).schema)

@@ -94,6 +94,17 @@ def test_bad_cells_are_named(spark):
     assert (got[1].b, got[1].f, got[1].e, got[1].s) == (-9, 1000.0, "A", "x,y")
 
 
+def test_sets_of_sixty_four_members(spark):
+    members = [f"m{i}" for i in range(64)]
+    t = Table("t", ("id",), (Column("id", "int"), Column("s", "string", True, source_type=f"set({','.join(repr(m) for m in members)})")))
+    masks = [0, 1, 2**63, 2**64 - 1, 2**62 + 2, None]
+    rows = [(str(i), None if m is None else str(m)) for i, m in enumerate(masks)] + [("90", str(2**64)), ("91", "-1"), ("92", "x"), ("93", "1.5")]
+    got = {r.id: (r.s, r.bad) for r in ch.normalize(spark.createDataFrame(rows, "id string, s string"), t).collect()}
+    for i, m in enumerate(masks):
+        assert got[i] == (None if m is None else ",".join(members[b] for b in range(64) if m >> b & 1), [])
+    assert all(got[i][1] == ["s"] for i in (90, 91, 92, 93))
+
+
 def batch(engine, *transactions, **other):
     return {"protocol": 1, "schema_hash": SCHEMA.hash, "epoch": 0, "partition": "", "transactions": [{"seq": s, "gtid": f"{U}:{s}", "changes": list(c)} for s, c in transactions]} | other
 

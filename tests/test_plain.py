@@ -15,7 +15,7 @@ from viewtide.operators.overlay import MutationError, Pusher
 from viewtide.plans import named
 from viewtide.plans.planner import QueryProblem, chains, plan_query
 from viewtide.plans.query import Query, c, from_json, q, to_json
-from viewtide.plans.schema import Column, Derived, Parent, Relation, SchemaError, Table, compatibility, compile_schema, plan_migration
+from viewtide.plans.schema import Column, Derived, Parent, Relation, SchemaError, Table, compatibility, compile_schema, describe, plan_migration
 from viewtide.sources.fills import FillRegistry
 
 U = ["a2523813-adbe-11f1-b19c-0a2250a7ed6c", "b2523813-adbe-11f1-b19c-0a2250a7ed6c"]
@@ -149,13 +149,19 @@ def test_compatibility_and_migration():
     old, new = compile_schema([ORGANIZATION]), SCHEMA
     assert compatibility(new, old.summary()) == (True, None) and compatibility(new, new.summary()) == (True, None)
     assert not compatibility(old, new.summary())[0]
-    have = {t.name: ["__key", *t.names] for t in new.tables}
+    have = describe(new)
+    part = lambda name, **columns: {"key": have[name]["key"], "columns": columns}
+    without = lambda gone: part("item", **{n: k for n, k in have["item"]["columns"].items() if n != gone})
     assert plan_migration(new, {}, None).action == "create" and plan_migration(new, have, new.hash).action == "none"
-    less = have | {"item": [n for n in have["item"] if n != "score"], "stale": ["id"]}
+    less = have | {"item": without("score"), "stale": part("item", id="string")}
     plan = plan_migration(new, less, "x")
     assert (plan.action, plan.columns, plan.dropped) == ("additive", ("item.score",), ("stale",))
-    assert plan_migration(new, have | {"item": [n for n in have["item"] if n != "type"]}, "x").action == "reset"
-    assert plan_migration(new, have | {"item": [*have["item"], "more"]}, "x").action == "reset"
+    for changed, reason in (
+        (without("type"), "column item.type is required"), (part("item", **have["item"]["columns"], more="int"), "column item.more was removed"),
+        (part("item", **have["item"]["columns"] | {"score": "string"}), "column item.score is of another kind"), (have["item"] | {"key": ["title"]}, "table item has another primary key"),
+    ):
+        plan = plan_migration(new, have | {"item": changed}, "x")
+        assert (plan.action, plan.reason) == ("reset", reason)
     assert plan_migration(new, {"item": have["item"]}, "x").tables == ("organization",)
 
 
@@ -210,6 +216,27 @@ def test_push_protocol():
     assert p.transactions[1][0]["before"]["title"] is None and p.transactions[1][0]["after"]["title"] == "t" and list(p.source) == [("item", '["a"]')]
 
 
+def test_the_source_inserts_a_key_once_and_computes_derived_columns():
+    schema = compile_schema([Table("t", ("id",), (Column("id", "string"), Column("name", "string", True), Column("named", "bool", derived=Derived("name", "not_null"))))])
+    mutators = {"add": lambda tx, a, ctx: tx.insert("t", a), "patch": lambda tx, a, ctx: tx.update("t", a[0], a[1])}
+    p = Pusher(schema, mutators, {})
+    n = iter(range(1, 99))
+    push = lambda name, args: p.push({"client_id": "c", "partition": "", "mutations": [{"id": next(n), "name": name, "args": args}]})["outcomes"][0]
+    assert push("add", {"id": "a", "name": "x"})["status"] == "applied"
+    again = push("add", {"id": "a", "name": "other"})
+    assert again["status"] == "failed" and "already" in again["error"] and p.source["t", '["a"]']["name"] == "x"
+    # What a mutator says of a derived column holds on its client only.
+    assert push("add", {"id": "b", "named": True})["status"] == "applied" and p.source["t", '["b"]'] == {"id": "b", "name": None, "named": False}
+    assert push("patch", [["a"], {"named": False}])["status"] == "applied" and p.source["t", '["a"]']["named"] is True
+    assert push("patch", [["a"], {"id": "b"}])["status"] == "failed" and push("patch", [["a"], {"id": "c"}])["status"] == "applied"
+    assert sorted(k for _, k in p.source) == ['["b"]', '["c"]'] and p.confirmed == {"c": 6}
+    from viewtide.operators.overlay import LocalTransaction
+
+    tx = LocalTransaction(schema, {}, {})
+    tx.insert("t", {"id": "b", "named": True})
+    assert tx.get("t", ["b"])["named"] is True
+
+
 def test_writes_are_checked():
     p = Pusher(SCHEMA, {"bad": lambda tx, a, ctx: tx.insert("item", a), "patch": lambda tx, a, ctx: tx.update("item", a[0], a[1])}, {})
     bad = [{"id": "a"}, {"id": 1, "type": "x", "createdAt": "y"}, {"id": "a", "nope": 1}, {"id": "a", "type": None}]

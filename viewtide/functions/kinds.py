@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
@@ -144,11 +145,13 @@ def decode_enum(text: Column, values: list[str]) -> tuple[Column, Column]:
 
 
 def decode_set(text: Column, values: list[str]) -> tuple[Column, Column]:
-    """(members joined by commas, whether the bitmask is bad)."""
-    n = text.try_cast("bigint")
-    members = [F.when(F.shiftright(n, i).bitwiseAND(F.lit(1).cast("bigint")) == 1, F.lit(v)) for i, v in enumerate(values)]
-    found = F.when(n.isNotNull(), F.array_join(F.filter(F.array(*members), lambda x: x.isNotNull()), ","))
-    return found, text.isNotNull() & (n.isNull() | (n < 0) | (F.shiftright(n, len(values)) != 0))
+    """(members joined by commas, whether the bitmask is bad). A mask is unsigned, of up to 64 bits."""
+    mask = F.when(text.rlike(r"^\s*[0-9]+\s*$"), text.try_cast("decimal(20,0)"))
+    n = F.when(mask >= F.lit(Decimal(2**63)), mask - F.lit(Decimal(2**64))).otherwise(mask).cast("decimal(20,0)").cast("bigint")
+    members = [F.when(F.shiftrightunsigned(n, i).bitwiseAND(F.lit(1).cast("bigint")) == 1, F.lit(v)) for i, v in enumerate(values)]
+    bad = text.isNotNull() & F.coalesce(mask >= F.lit(Decimal(2 ** len(values))), F.lit(True))
+    found = F.when(~bad & mask.isNotNull(), F.array_join(F.filter(F.array(*members), lambda x: x.isNotNull()), ","))
+    return found, bad
 
 
 def decode_cell(text: Column, kind: str) -> tuple[Column, Column]:

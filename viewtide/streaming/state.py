@@ -10,8 +10,9 @@ buckets that the keys are in.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, MutableMapping
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,3 +154,61 @@ def _flat(layers: list[DataFrame], base: DataFrame) -> DataFrame:
     for layer in layers[1:]:
         top = _over(top, layer)
     return top.where("not __gone").drop("__gone").unionByName(base.join(top.select(KEY), KEY, "left_anti"))
+
+
+class LiveRows(MutableMapping):
+    """Live tables' rows as a mapping from (table, key) to the row, for the push protocol's source."""
+
+    def __init__(self, live: dict[str, LiveTable]):
+        self.live = live
+
+    def __getitem__(self, at: tuple[str, str]) -> dict[str, Any]:
+        name, key = at
+        live = self.live[name]
+        if key in live.late:
+            text = live.late[key]
+            if text is None:
+                raise KeyError(at)
+            return json.loads(text)
+        found = live.rows(KeySet(live.spark, frozenset({key}))).drop(KEY).first()
+        if found is None:
+            raise KeyError(at)
+        return found.asDict()
+
+    def __setitem__(self, at: tuple[str, str], row: dict[str, Any]) -> None:
+        self.live[at[0]].put({at[1]: json.dumps(row, default=str)})
+
+    def __delitem__(self, at: tuple[str, str]) -> None:
+        self.live[at[0]].put({at[1]: None})
+
+    def __iter__(self) -> Iterator[tuple[str, str]]:
+        return ((n, r[KEY]) for n, t in self.live.items() for r in t.view().select(KEY).toLocalIterator())
+
+    def __len__(self) -> int:
+        return sum(t.view().count() for t in self.live.values())
+
+
+class LiveIds(MutableMapping):
+    """A live table of clients (client_id, last_mutation_id) as a mapping from client to its last id."""
+
+    def __init__(self, live: LiveTable):
+        self.rows = LiveRows({live.table.name: live})
+        self.name = live.table.name
+
+    def _at(self, client: str) -> tuple[str, str]:
+        return self.name, json.dumps([client], ensure_ascii=False)
+
+    def __getitem__(self, client: str) -> int:
+        return int(self.rows[self._at(client)]["last_mutation_id"])
+
+    def __setitem__(self, client: str, last: int) -> None:
+        self.rows[self._at(client)] = {"client_id": client, "last_mutation_id": last}
+
+    def __delitem__(self, client: str) -> None:
+        del self.rows[self._at(client)]
+
+    def __iter__(self) -> Iterator[str]:
+        return (json.loads(k)[0] for _, k in self.rows)
+
+    def __len__(self) -> int:
+        return len(self.rows)
