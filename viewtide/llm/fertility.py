@@ -13,31 +13,32 @@ in bounded tables; a text's tokens are joined from those.
 Defined results: a null text has no words and fails; texts without tokens have null measures; a null or unknown lang takes
 the bands of the script that most of its letters are of, the widest bands without letters; a null doc_id stays null; ties
 of scripts go to the first in the table; repeated rows are repeated; other columns are ignored; no rows give no rows; a very
-long text is measured whole, and one without a space is a single part, which is encoded each time it occurs.
+long text is measured whole, and one without a space is a single part.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, text_batches, tokenizer_file
+from .common import rarely_collect, rows_of, text_batches, tokenizer_file
 from .pieces import MARK, MODEL, vocabulary
 
 #: White space between words, and the symbols that are counted.
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
-#: Distinct parts that a worker's tables hold; longer parts than TABLE_CHARS are encoded but not kept.
-TABLE_ROWS = 400_000
-TABLE_CHARS = 64
+#: Distinct parts that a worker's tables hold, and their ids under one vocabulary; beyond either the tables start anew.
+TABLE_ROWS, TABLE_IDS = 400_000, 4_000_000
 #: The vocabularies, and how their columns are named.
 VOCABULARIES = {"piece": MODEL, "byte": "byte_bpe_50k.tiktoken", "multi": "byte_bpe_multi_50k.tiktoken"}
 
@@ -78,7 +79,7 @@ SCRIPTS = {"Latin": re.compile("[A-Za-zÀ-ɏ]"), "Cyrillic": re.compile("[Ѐ-ӿ]
 
 
 class Library:
-    """A vocabulary: how it encodes parts, and which of its ids are byte fallbacks."""
+    """A vocabulary: how it encodes parts, as little-endian integers of ``kind``, and which of its ids are byte fallbacks."""
 
     def __init__(self, model: str):
         if model.endswith(".tiktoken"):
@@ -87,44 +88,91 @@ class Library:
 
             with open(tokenizer_file(model), "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            encoding = tiktoken.Encoding(model, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.encode_first = lambda parts: list(map(encoding.encode_ordinary, parts))
-            self.encode = lambda parts: list(map(encoding.encode_ordinary, map(" ".__add__, parts)))
-            self.n, broken = max(ranks.values()) + 1, [i for b, i in ranks.items() if b.decode("utf-8", "replace").find("\ufffd") >= 0 and b != "\ufffd".encode()]
-            self.is_byte = np.zeros(self.n, bool)
-            self.is_byte[broken] = True
+            self.encoding = tiktoken.Encoding(model, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.n = max(ranks.values()) + 1
+            self.is_byte, self.lengths = np.zeros(self.n, bool), np.zeros(self.n, np.int64)
+            for token, i in ranks.items():
+                self.lengths[i] = len(token)
+                self.is_byte[i] = not whole_characters(token)
         else:
-            v = vocabulary(model)
-            self.n, self.is_byte, mark = v.n, v.is_byte, [v.ids[MARK]]
-            # The library puts a mark before each string, but none before an empty one.
-            self.encode = self.encode_first = lambda parts: [ids if p else mark for p, ids in zip(parts, v.processor.encode(parts, num_threads=1), strict=True)]
+            self.vocabulary = v = vocabulary(model)
+            self.encoding, self.n, self.is_byte, self.mark = None, v.n, v.is_byte, v.ids[MARK]
         self.kind = "<u2" if self.n <= 1 << 16 else "<u4"
 
+    def first(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts that begin a text, one after another, and where each part's end."""
+        if self.encoding is None:
+            return self.others(parts)
+        found = list(map(self.encoding.encode_ordinary, parts))
+        return np.fromiter(chain.from_iterable(found), self.kind), np.cumsum(list(map(len, found)), dtype=np.int64)
+
+    def others(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of parts that follow a space."""
+        if self.encoding is None:
+            # The library puts a mark before each string, but none before an empty one.
+            found = [ids or [self.mark] for ids in self.vocabulary.processor.encode(parts, num_threads=1)]
+            return np.fromiter(chain.from_iterable(found), self.kind), np.cumsum(list(map(len, found)), dtype=np.int64)
+        if not parts or any(p[-1:].isspace() for p in parts):
+            return self.first([f" {p}" for p in parts])
+        # Together they are a text that is cut at just these spaces, as none ends with white space.
+        ids = self.encoding.encode_to_numpy(" " + " ".join(parts))
+        ends = np.cumsum(list(map(len, map(str.encode, parts, repeat("utf-8"), repeat("replace")))), dtype=np.int64) + np.arange(1, len(parts) + 1)
+        return ids.astype(self.kind), np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+
+
+def whole_characters(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
 
 class TokenTables:
-    """part -> its ids under each vocabulary as little-endian integers; parts that begin a text apart."""
+    """The ids of distinct parts under each vocabulary: a row for each part, all rows' ids one after another."""
 
     def __init__(self, models: tuple[str, ...]):
+        rarely_collect()
         self.libraries = [Library(m) for m in models]
-        self.tables: list[dict[str, bytes]] = [{} for _ in models]
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ids = [np.zeros(0, x.kind) for x in self.libraries]
+        self.ends = [np.zeros(0, np.int64) for _ in self.libraries]
 
     def tokens(self, texts: list[str]) -> list[list[np.ndarray]]:
         """For each text the ids under each vocabulary."""
-        if len(self.tables[0]) > TABLE_ROWS:
-            for table in self.tables:
-                table.clear()
+        if len(self.rows) > TABLE_ROWS or len(self.ids[0]) > TABLE_IDS:
+            self.clear()
         cut = [parts(t) for t in texts]
-        every = set().union(*(c[1:] for c in cut))
+        missing = list(set().union(*(c[1:] for c in cut)) - self.rows.keys())
+        # A part that ends a text may end with white space, and is encoded alone.
+        missing.sort(key=lambda p: p[-1:].isspace())
+        plain = bisect_left(missing, True, key=lambda p: p[-1:].isspace())
+        self.rows.update(zip(missing, range(len(self.rows), len(self.rows) + len(missing)), strict=True))
+        sizes = np.array([len(c) for c in cut], np.int64)
+        text_ends = np.cumsum(sizes)
+        begins = (text_ends - sizes)[sizes > 0]
+        # Rows of all texts' parts; those that begin a text have rows of their own behind the table's.
+        at = np.empty(int(sizes.sum()), np.int64)
+        behind = np.ones(len(at), bool)
+        behind[begins] = False
+        at[begins] = len(self.rows) + np.arange(len(begins))
+        at[behind] = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(c[1:] for c in cut)), np.int64, len(at) - len(begins))
         out = []
-        for library, table in zip(self.libraries, self.tables, strict=True):
-            missing = list(every - table.keys())
-            kind = library.kind
-            table.update(zip(missing, (np.array(ids, kind).tobytes() for ids in library.encode(missing)), strict=True))
-            first = [np.array(ids, kind).tobytes() for ids in library.encode_first([c[0] for c in cut if c])][::-1]
-            out.append([np.frombuffer((first.pop() if c else b"") + b"".join(map(table.__getitem__, c[1:])), kind) for c in cut])
-            for part in missing:
-                if len(part) > TABLE_CHARS:
-                    del table[part]
+        for k, library in enumerate(self.libraries):
+            for some in (missing[:plain], missing[plain:]):
+                ids, ends = library.others(some)
+                self.ends[k] = np.concatenate([self.ends[k], ends + len(self.ids[k])])
+                self.ids[k] = np.concatenate([self.ids[k], ids])
+            ids, ends = library.first([c[0] for c in cut if c])
+            every, stops = np.concatenate([self.ids[k], ids]), np.concatenate([[0], self.ends[k], ends + len(self.ids[k])])
+            n = stops[at + 1] - stops[at]
+            places = np.cumsum(n)
+            tokens = every[np.repeat(stops[at] - (places - n), n) + np.arange(len(places) and places[-1])]
+            cuts = np.concatenate([[0], places])[text_ends].tolist()
+            out.append([tokens[a:z] for a, z in zip([0, *cuts], cuts, strict=False)])
         return [list(x) for x in zip(*out, strict=True)]
 
 
