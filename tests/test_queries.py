@@ -111,7 +111,7 @@ def sql_rows(con, sql):
     return sorted(rel.columns), sorted(str([round(r[i], 6) if isinstance(r[i], float) else r[i] for i in at]) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_registered_queries_equal_duckdb(spark, name):
     if "lines" in registry.SQL[name] or "lineitem" in registry.SQL[name] and name.startswith("member"):
         pytest.skip("lineitem has a repeated key at this size")

@@ -153,7 +153,8 @@ def image(text: Column, table: Table, stored: dict[str, T.DataType] | None = Non
     for c in table.columns:
         kind = stored_type(c.kind) if stored is None else stored[c.name]
         if c.derived:
-            cells.append(c.derived.column(F.get_json_object(text, f"$.{c.derived.source}")).alias(c.name))
+            # Nullable as stored columns are, though it is never null in a row.
+            cells.append(F.when(text.isNotNull(), c.derived.column(F.get_json_object(text, f"$.{c.derived.source}"))).alias(c.name))
         else:
             cells.append(F.get_json_object(text, f"$.{c.name}").try_cast(kind).alias(c.name))
     return F.when(text.isNotNull(), F.struct(*cells))
@@ -376,6 +377,25 @@ def replayable(held: DataFrame, position: str) -> DataFrame:
     return held.where(~F.coalesce(GtidSet.parse(position).contains_column(F.col("gtid")), F.lit(False)))
 
 
+def position_of(ids: DataFrame) -> GtidSet:
+    """The position that ids (gtid) add up to. Ids are counted by stretches of numbers; only stretches with gaps are looked into."""
+    parsed = ids.where(F.col("gtid").isNotNull()).select(F.lower(F.substring_index("gtid", ":", 1)).alias("u"), F.substring_index("gtid", ":", -1).try_cast("bigint").alias("n"))
+    parsed = parsed.where("n is not null").distinct().withColumn("stretch", F.floor(F.col("n") / STRETCH))
+    by_stretch = parsed.groupBy("u", "stretch").agg(F.min("n").alias("a"), F.max("n").alias("z"), F.count("*").alias("size"))
+    # In a stretch, a number that follows none begins an interval: ranks of numbers and numbers differ by the same within one.
+    island = F.col("n") - F.row_number().over(Window.partitionBy("u", "stretch").orderBy("n"))
+    gaps = by_stretch.where("size < z - a + 1").select("u", "stretch")
+    broken = parsed.join(gaps, ["u", "stretch"], "left_semi").withColumn("island", island).groupBy("u", "stretch", "island").agg(F.min("n").alias("a"), F.max("n").alias("z"))
+    spans = by_stretch.where("size = z - a + 1").select("u", "a", "z").unionByName(broken.select("u", "a", "z"))
+    out = GtidSet()
+    found: dict[str, list[tuple[int, int]]] = {}
+    for r in spans.toLocalIterator():
+        found.setdefault(r["u"], []).append((r["a"], r["z"]))
+    for u, mine in found.items():
+        out = out.union(GtidSet({u: tuple(sorted(mine))}))
+    return out
+
+
 def filled(source: DataFrame, table: Table, partition: str, parents: DataFrame | None = None, parent: Table | None = None) -> DataFrame:
     """The rows of a partition: by the partition column, or by parents in the partition."""
     if isinstance(table.partition, str):

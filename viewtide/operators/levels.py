@@ -18,10 +18,11 @@ Path = tuple[str, ...]
 MEMBER = ["path", "tbl", KEY]
 
 
-def order_columns(planned: Planned, alias: str | None = None) -> list[Column]:
-    """The query's order, total since it ends with the primary key."""
+def order_columns(planned: Planned, alias: str | None = None, reverse: bool = False) -> list[Column]:
+    """The query's order, total since it ends with the primary key; reversed the last row comes first."""
     at = f"{alias}." if alias else ""
-    return [k for name, direction in planned.order_by for k in sort_keys(F.col(f"{at}{name}"), planned.table.column(name).kind, direction)]
+    flip = {"asc": "desc", "desc": "asc"} if reverse else {}
+    return [k for name, direction in planned.order_by for k in sort_keys(F.col(f"{at}{name}"), planned.table.column(name).kind, flip.get(direction, direction))]
 
 
 def filtered(schema: Schema, table: Table, where, tables: dict[str, DataFrame], rows: DataFrame | None = None) -> DataFrame:

@@ -398,8 +398,10 @@ def assembled_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Run]:
+    from viewtide import live_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {name: SQL[name] for name in queries() if name in SQL}
