@@ -58,6 +58,22 @@ def test_neighbours_of_the_table(spark):
     assert all(math.isclose(s, by_pair[q, i], abs_tol=1e-12) and len(v) == 20 for q, v in found.items() for s, i in v)
 
 
+def test_a_search_meets_fewer_vectors_than_there_are():
+    """Queries of the larger table: the distinct vectors in the leaves that they visit, and how many of the nearest are among them."""
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.unique(np.array(table.column("embedding").to_pylist(), np.float64), axis=0)
+    n = len(x)
+    forest = nearest.fit(x, n, 4, float(np.sqrt((x * x).sum(axis=1).max())), 7)
+    ids = forest.leaf_of(x) + np.arange(forest.trees) * forest.leaves
+    sizes = np.bincount(ids.ravel(), minlength=forest.trees * forest.leaves)
+    queries = x[::20]
+    paths = forest.walk(queries, sizes, min(4.0, nearest.share_to_visit(forest, x, 20, 0.93, n)) * n)
+    met = [np.isin(ids, p).any(axis=1) for p in paths]
+    best = np.argsort(-(queries @ x.T), axis=1)[:, :20]
+    assert np.mean([m.sum() for m in met]) < 0.85 * n
+    assert np.mean([m[b].mean() for m, b in zip(met, best, strict=True)]) >= 0.9
+
+
 def test_neighbours_with_copies_and_bad_vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.standard_normal(8).round(1).tolist()) for i in range(60)] + [(100 + i, [0.5] * 8) for i in range(40)] + [(200, [1000.0] * 8)]

@@ -8,13 +8,14 @@ more component that makes all of them equally long, and queries a zero there.
 A query walks all trees through one queue, the node with the smallest squared distance to its cell first, until the leaves
 it has taken hold ``visited`` vectors. How many that are is measured when the index is built: the sample's own neighbours,
 found by brute force, tell how far down the queue they lie, and the share of vectors to visit is what finds ``recall`` of
-them. Where the data have structure that is little; for vectors without any it is most of the data, and the search is then
-the exact one in blocks.
+them. Where the data have structure that is little; for vectors without any it is more than half of the data.
 
 Leaves are dealt out in groups: the members of a group and the queries that visit it meet in one task as two matrices, and
-only the best of a query in a group leave it. Groups of many queries are dealt out by blocks of queries. What a query has
-found in all groups is merged by array functions, first some groups, then all. Scores are sums of products in the
-components' order, in double precision, so copies and trees agree to the last bit.
+only the best of a query in a group leave it. A member carries its leaves in all trees and a query the leaves that it visits, so
+a vector that a query meets in several trees is reranked in the first of them only. Groups of many queries are dealt out by
+blocks of queries. What a query has found in all groups is merged by array functions, first some groups, then all. Vectors
+travel as bytes of the precision that they are stored in. Scores are sums of products in the components' order, in double
+precision, so copies and trees agree to the last bit.
 
 Defined results: vectors that are null, empty or zero, or have a null or non-finite component, take no part; neither have
 those of another dimension than most vectors (the larger one of equal counts); a query doesn't find its own row, but copies
@@ -39,8 +40,8 @@ from .common import cut
 SAMPLE, PROBES, LEAF_SAMPLE = 16_384, 128, 8
 #: Members and queries that meet in one task, about.
 GROUP_MEMBERS, GROUP_QUERIES = 8_192, 16_384
-#: Groups whose results are merged together first.
-MERGE = 64
+#: Groups whose results are merged together first, and inner products that a task has at a time.
+MERGE, PRODUCTS = 64, 2_000_000
 
 
 @dataclass
@@ -163,28 +164,50 @@ def _best(column: str | Column, k: int) -> Column:
     return F.slice(F.array_distinct(F.array_sort(F.flatten(F.collect_list(column)))), 1, k)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 4, recall: float = 0.95, seed: int = 7, vector: str = "embedding") -> DataFrame:
+def _matrix(column, kind: str, d: int) -> np.ndarray:
+    """Vectors as bytes (a Python list or a pandas column of them) -> a row for each, in double precision."""
+    return np.frombuffer(b"".join(column), kind).reshape(-1, d).astype(np.float64)
+
+
+def packed(rows: DataFrame, kind: str, d: int) -> DataFrame:
+    """rows (vec_id, v) -> vec_id, v as bytes, its squared length."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # Zeros have no sign, so equal vectors have equal bytes.
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(kind) + np.array(0, kind)
+            square = (x.astype(np.float64) ** 2).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(square)], ["vec_id", "v", "square"])
+
+    return rows.mapInArrow(run, "vec_id long, v binary, square double")
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 4, recall: float = 0.93, seed: int = 7, vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each row that is_query (a condition on vec_id) holds for."""
     import pandas as pd
     import pyarrow as pa
 
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    known = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", F.col(vector).alias("v"))
+    known = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).alias("v"))
     dimension = known.where("v is not null and size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     if dimension is None:
         return empty
     d = dimension["n"]
-    rows = known.where(_usable(F.col("v"), d)).select("vec_id", F.transform("v", lambda x: x.cast("double") + 0.0).alias("v"))
+    single = known.schema["v"].dataType.elementType.typeName() == "float"
+    kind = "<f4" if single else "<f8"
+    usable = known.where(_usable(F.col("v"), d)).select("vec_id", F.col("v").cast("array<float>" if single else "array<double>").alias("v"))
+    rows = cut(packed(usable, kind, d))
     # A class's k + 1 smallest ids are all that any query can need of it: its own row may be one of them.
     by_class = Window.partitionBy("v").orderBy("vec_id")
     firsts = rows.dropDuplicates(["vec_id", "v"]).withColumn("place", F.row_number().over(by_class)).where(F.col("place") <= k + 1)
-    classes = cut(firsts.groupBy("v").agg(F.min("vec_id").alias("c"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    stats = classes.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("length")).first()
+    classes = cut(firsts.groupBy("v").agg(F.min("vec_id").alias("c"), F.first("square").alias("square"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
+    stats = classes.agg(F.count("*").alias("n"), F.sqrt(F.max("square")).alias("length")).first()
     n = stats["n"]
     if not n:
         return empty
-    sample = np.array([r["v"] for r in classes.select("v").orderBy(F.xxhash64("c"), "c").limit(SAMPLE).collect()], np.float64)
+    sample = _matrix([bytes(r["v"]) for r in classes.select("v").orderBy(F.xxhash64("c"), "c").limit(SAMPLE).collect()], kind, d)
     forest = fit(sample, n, trees, stats["length"], seed)
     visited = min(1.0 * trees, share_to_visit(forest, sample, k, recall, n)) * n
     leaves = forest.leaves
@@ -192,13 +215,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 4, r
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = b.column(1).flatten().to_numpy().reshape(-1, d)
-                ids = (forest.leaf_of(x) + np.arange(trees) * leaves).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), trees)), pa.array(ids)], ["c", "leaf"])
+                ids = forest.leaf_of(_matrix(b.column(1).to_pylist(), kind, d)) + np.arange(trees) * leaves
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * trees, pa.int32()), pa.array(ids.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["c", "v", "leaves"])
 
-    placed = cut(classes.select("c", "v").mapInArrow(place, "c long, leaf long"))
+    placed = cut(classes.select("c", "v").mapInArrow(place, "c long, v binary, leaves array<long>"))
     sizes = np.zeros(trees * leaves, np.int64)
-    for r in placed.groupBy("leaf").count().collect():
+    for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():
         sizes[r["leaf"]] = r["count"]
     # Leaves in groups of about GROUP_MEMBERS vectors, none across trees; a larger leaf is dealt out in parts.
     group, parts, at = np.zeros(trees * leaves, np.int64), np.maximum(1, -(-sizes // GROUP_MEMBERS)), -1
@@ -217,50 +240,52 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 4, r
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 s = b.slice(lo, 256)
-                x = s.column(1).flatten().to_numpy().reshape(-1, d)
+                vectors_ = s.column(1).to_pylist()
                 out: list[tuple] = []
-                for c, v, path in zip(s.column(0).to_pylist(), x, forest.walk(x, sizes, visited), strict=True):
-                    by_group: dict[tuple[int, int], list[int]] = {}
-                    for leaf in path:
-                        for part in range(parts[leaf]):
-                            by_group.setdefault((int(group[leaf]), part), []).append(leaf)
-                    out += [(g, part, c % blocks, c, v, lv) for (g, part), lv in by_group.items()]
-                g, part, block, c, v, lv = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(part, pa.int64()), pa.array(block, pa.int64()), pa.array(c, pa.int64()), pa.array(list(v), pa.list_(pa.float64())), pa.array(lv, pa.list_(pa.int64()))], ["g", "part", "block", "q", "x", "leaves"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    visits = query_classes.repartition(spark.sparkContext.defaultParallelism, "c").mapInArrow(walk, "g long, part long, block long, q long, x array<double>, leaves array<long>")
+                for c, v, path in zip(s.column(0).to_pylist(), vectors_, forest.walk(_matrix(vectors_, kind, d), sizes, visited), strict=True):
+                    bits = np.zeros(trees * leaves, bool)
+                    bits[path] = True
+                    seen = np.packbits(bits).tobytes()
+                    out += [(g, part, c % blocks, c, v, seen) for g, part in {(int(group[leaf]), part) for leaf in path for part in range(parts[leaf])}]
+                kinds = [pa.int64()] * 4 + [pa.binary()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "part", "block", "q", "x", "seen"])
+
+    visits = query_classes.repartition(spark.sparkContext.defaultParallelism, "c").mapInArrow(walk, "g long, part long, block long, q long, x binary, seen binary")
+    # A row for each leaf, of which the sample's size bounds the number.
     table = spark.createDataFrame(pd.DataFrame({"leaf": np.arange(len(group)), "g": group, "parts": parts}))
-    members = placed.join(F.broadcast(table), "leaf").join(classes.select("c", "v"), "c")
+    members = placed.select("c", "v", "leaves", F.explode("leaves").alias("leaf")).join(F.broadcast(table), "leaf")
     members = members.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    members = members.select("g", "part", "block", "leaf", "c", "v")
+    members = members.select("g", "part", "block", "leaf", "leaves", "c", "v")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         nothing = pd.DataFrame({"q": pd.Series([], dtype="int64"), "best": pd.Series([], dtype=object)})
         if left.empty or right.empty:
             return nothing
         left = left.sort_values("leaf", kind="stable")
-        x, ids, leaf = np.stack(left["v"].to_numpy()), left["c"].to_numpy(), left["leaf"].to_numpy()
-        y, q = np.stack(right["x"].to_numpy()), right["q"].to_numpy()
-        begins = dict(zip(*np.unique(leaf, return_index=True), strict=True))
-        ends = {v: int(np.searchsorted(leaf, v, side="right")) for v in begins}
-        visitors: dict[int, list[int]] = {}
-        for i, path in enumerate(right["leaves"]):
-            for v in path:
-                if v in begins:
-                    visitors.setdefault(v, []).append(i)
+        x, ids, leaf = _matrix(left["v"], kind, d), left["c"].to_numpy(), left["leaf"].to_numpy()
+        y, q = _matrix(right["x"], kind, d), right["q"].to_numpy()
+        all_leaves = np.stack(left["leaves"].to_numpy())
+        seen = np.unpackbits(np.frombuffer(b"".join(right["seen"]), np.uint8).reshape(len(right), -1), axis=1, count=trees * leaves).astype(bool)
         which, what = [], []
-        for v, who in visitors.items():
-            a, z, who = begins[v], ends[v], np.array(who)
-            s = y[who] @ x[a:z].T
-            keep = min(k + 1, z - a)
-            top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-            # Ties with the last one kept stay too: which of them come first is decided by id.
-            least = np.take_along_axis(s, top, 1).min(axis=1)
-            i, j = np.nonzero(s >= (least - 1e-9 * np.abs(least))[:, None])
-            which.append(who[i])
-            what.append(a + j)
-        if not which:
+        for v in np.unique(leaf):
+            a, z = np.searchsorted(leaf, v), np.searchsorted(leaf, v, side="right")
+            who = np.flatnonzero(seen[:, v])
+            if not len(who):
+                continue
+            keep, step = min(k + 1, z - a), max(1, PRODUCTS // (z - a))
+            for some in (who[w : w + step] for w in range(0, len(who), step)):
+                s = y[some] @ x[a:z].T
+                for t in range(int(v) // leaves):
+                    # In an earlier tree the query has met it already.
+                    s[seen[some][:, all_leaves[a:z, t]]] = -np.inf
+                top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+                # Ties with the last one kept stay too: which of them come first is decided by id.
+                least = np.take_along_axis(s, top, 1).min(axis=1)
+                bound = np.where(np.isfinite(least), least - 1e-9 * np.abs(least), -np.finfo(np.float64).max)
+                i, j = np.nonzero(s >= bound[:, None])
+                which.append(some[i])
+                what.append(a + j)
+        if not which or not sum(map(len, which)):
             return nothing
         i, j = np.concatenate(which), np.concatenate(what)
         score = np.zeros(len(i))
