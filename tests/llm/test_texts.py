@@ -169,14 +169,22 @@ def brute_spans(text):
     weak = []
     for rank, kind, pattern in ((3, "ident", secret_scan.IDENT), (4, "opaque", secret_scan.OPAQUE), (5, "endpoint", secret_scan.ENDPOINT)):
         weak += [(m.start(), rank, kind, m.end()) for m in re.finditer(pattern, text, re.ASCII)]
-    role = {"access": "id", "ident": "id", "endpoint": "endpoint"}
+    userinfo = [(m.start(), 6, "userinfo", m.end()) for m in re.finditer(secret_scan.USERINFO, text, re.ASCII)]
+    role = lambda p: {"access": "id", "ident": "id", "endpoint": "endpoint"}.get(p[2], "secret")
     over = lambda a, b: a[0] < b[3] and b[0] < a[3]
-    every = base + weak
+    inside = lambda a, b: b[0] <= a[0] and a[3] <= b[3]
+
+    def completes(o, w):
+        """Whether o is what w lacks: in its scope, of another role that w asks for, and apart unless an endpoint holds the secret."""
+        if role(o) not in {"id": {"secret"}, "secret": {"id", "endpoint"}, "endpoint": {"secret"}}[role(w)] or not (o[0] < w[3] + 256 and o[3] > w[0] - 256):
+            return False
+        return not over(o, w) or role(w) == "endpoint" and inside(o, w) or role(o) == "endpoint" and inside(w, o)
+
     for w in weak:
-        if any(over(w, b) for b in base):
+        # What overlaps a base part is that part again, but for an endpoint, which may hold it.
+        if role(w) != "endpoint" and any(over(w, b) for b in base):
             continue
-        need = "id" if role.get(w[2], "secret") == "secret" else "secret"
-        if any(role.get(o[2], "secret") == need and not over(w, o) and o[0] < w[3] + 256 and o[3] > w[0] - 256 for o in every):
+        if any(completes(o, w) for o in base + weak + userinfo):
             out.append(w)
     return base, sorted(out)
 
@@ -190,6 +198,9 @@ SECRETS = [
     "0123456789abcdef" * 3 + " é 日本 \U0001F600 passwd:  \"12345678\"" + " TOKEN=short",
     "AKIA AKIAAKIAAKIAAKIA AKIAshort PASSWORD  =  zzzzzzzz.",
     "secret = aaaaaaaa " * 400,
+    "call https://api.example.com/v1 with Xk29dLq84mZpT7vWb3Ns10Qe now and redis://:hunter2@cache:6379/0",
+    "postgresql://admin:Xk29dLq84mZpT7vWb3Ns10Qe@db.example.com:5432/prod?token=abcdefgh1234",
+    "y" * 1_000_000 + " user=bob " + "q7Q" + "zZ9" * 9 + " " + "0123456789abcdef" * 60_000,
 ]
 
 

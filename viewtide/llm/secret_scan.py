@@ -10,12 +10,13 @@ which is a secret part but no kind of its own) is complete by itself. Parts meet
 each is dealt to the cells of REACH code points that it covers, a weak one also to those that its scope covers, and cells are
 joined by document and number before the intervals are compared. A cell holds few parts, however long the text.
 
-A text is read once: Spark gives a pattern's matches and, by splitting, what lies between them, so spans are running sums of
-lengths in code points. Only those lengths, for texts that have a match, are kept, exploded and shuffled.
+A scan is one pass over the table: for each kind a test whether the pattern occurs at all, and where it does its matches and,
+by splitting, what lies between them, so spans are running sums of lengths in code points. Only those lengths, for texts that
+have a match, are kept, exploded and shuffled.
 
 Defined results: a null text is empty, and texts without a span have an empty string and the digest of one; parts are
 told apart by doc_id (null is one of its values) and a hash of the text, so repeated rows get equal results each; other
-columns are ignored; an empty table gives no rows.
+columns are ignored; an empty table gives no rows; a very long text is scanned whole, and its parts are linked by cells.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from .common import around_extras, cut, text_or_empty
 
 #: The patterns of the base kinds, as the contract states them.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+#: The other two with the lengths that count: a shorter match fails, and none begins within another.
+ACCESS = r"AKIA[A-Z0-9]{12,}"
+HEX = r"[0-9a-f]{32,}"
 #: The base kinds in their order, then the weak ones.
 BASE_KINDS = ("assign", "access", "hex")
 WEAK_KINDS = ("ident", "opaque", "endpoint")
@@ -45,6 +47,8 @@ ENDPOINT = SCHEME + r"[^\s\"'<>]+"
 USERINFO = SCHEME + r"[^\s\"'<>/?#:@]*:[^\s\"'<>/?#]+@"
 #: Code points to both sides within which parts belong together.
 REACH = 256
+#: Texts with spans that are broadcast for redaction, at most, with four times as many spans.
+MARKS = 100_000
 KEY = ["scan_doc", "scan_null", "scan_hash"]
 
 
@@ -65,8 +69,8 @@ def scan(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
     cuts = {
         "assign": _cuts(text, ASSIGN, ASSIGN, lambda v: F.char_length(v) >= 8, 2),
-        "access": _cuts(text, r"AKIA[A-Z0-9]{12,}", r"AKIA[A-Z0-9]{12,}"),
-        "hex": _cuts(text, r"[0-9a-f]{32,}", r"[0-9a-f]{32,}"),
+        "access": _cuts(text, ACCESS, ACCESS),
+        "hex": _cuts(text, HEX, HEX),
         "ident": _cuts(text, IDENT, IDENT),
         "opaque": _cuts(text, OPAQUE, r"[A-Za-z0-9+/_-]{20}"),
         "endpoint": _cuts(text, ENDPOINT, "://"),
@@ -164,6 +168,10 @@ def _redacted(docs: DataFrame, reach: int) -> DataFrame:
         ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))),
     )
     marks = cut(spans(scanned, reach).select(*(F.col(k).alias(f"{k}_") for k in KEY), merged.alias("scan_spans")))
+    # Few marked texts with few spans go to the texts; else the texts go to them.
+    size = marks.agg(F.count("*").alias("rows"), F.sum(F.size("scan_spans")).alias("spans")).first()
+    if size["rows"] <= MARKS and (size["spans"] or 0) <= 4 * MARKS:
+        marks = F.broadcast(marks)
     names = docs.columns
     text = F.col("text")
     rows = docs.select("*", *(c.alias(k) for c, k in zip(_key(text_or_empty()), KEY, strict=True)))
