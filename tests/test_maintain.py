@@ -15,7 +15,7 @@ from viewtide.plans.query import q
 from viewtide.plans.schema import KEY, Column, Parent, Table, compile_schema
 from viewtide.sources.fills import parent_index
 from viewtide.streaming.engine import Engine, for_session
-from viewtide.streaming.pipeline import ChangeStream, Watch, sequenced_stream
+from viewtide.streaming.pipeline import ChangeStream, Watch, numbered, sequenced_stream
 
 def rows_of(df):
     return sorted(map(tuple, df.collect()), key=str)
@@ -209,6 +209,50 @@ def test_stream_is_exactly_once(spark, tmp_path):
     assert [(r.partition, r.seq, r.key) for r in stream.state.read("aside").collect()] == [("B", 2, '["e"]')]
 
 
+def test_the_stream_keeps_the_source_order(spark, tmp_path, monkeypatch):
+    """Lines as they come, whatever their commit times; a file that is sent again changes nothing; parents of earlier batches are found."""
+    from viewtide.sources.tables import read_transactions
+    from viewtide.streaming import pipeline
+
+    monkeypatch.setattr(pipeline, "COMPACT", 2)
+    source, folder = tmp_path / "in", f"file://{tmp_path}/state"
+    source.mkdir()
+
+    def line(n, time, *changes):
+        return json.dumps({"gtid": f"{U}:{n}", "keyspace": "k", "shard": "0", "position": "", "commit_timestamp": time, "changes": [{"table": t, "op": "insert", "key": [r["id"]], "before": None, "after": json.dumps(r)} for t, r in changes]})
+
+    stream = ChangeStream(spark, PC, folder, position=f"{U}:1-2")
+    run = lambda: stream.start(read_transactions(spark, str(source)), f"file://{tmp_path}/cp").awaitTermination()
+    (source / "01.json").write_text("\n".join([line(2, 1, ("p", {"id": "seen", "org": "A"})), line(3, 900, ("p", {"id": "p1", "org": "A"})), line(4, 100, ("c", {"id": "c1", "pid": "p1"}))]))
+    run()
+    (source / "02.json").write_text("\n".join([line(5, 5, ("c", {"id": "c2", "pid": "p1"})), line(6, 4, ("p", {"id": "p1", "org": "B"})), line(7, 3, ("c", {"id": "c3", "pid": "p1"}))]))
+    run()
+    (source / "03.json").write_text((source / "01.json").read_text() + "\n" + (source / "02.json").read_text())
+    run()
+    (source / "04.json").write_text(line(8, 0, ("c", {"id": "c4", "pid": "p1"})))
+    run()
+    got = sorted((r.partition, r.seq, r.key) for r in stream.changes().collect())
+    assert got == [("A", 1, '["p1"]'), ("A", 2, '["c1"]'), ("A", 3, '["c2"]'), ("B", 1, '["p1"]'), ("B", 2, '["c3"]'), ("B", 3, '["c4"]')]
+    assert str(stream.position()) == f"{U}:1-8" and rows_of(stream.parents()) == [("p", "p1", "B")]
+    assert [v for v in range(4) if stream.state.has("parents_whole", v)] == [1, 3]
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    """Files that are read in many blocks, and blocks of several files in one task."""
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.json").write_text("\n".join(json.dumps({"gtid": f"{name}{i:04d}"}) for i in range(400)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(old, ("3000", "10"), strict=True):
+            spark.conf.set(k, v)
+        rows = spark.read.schema("gtid string").json(f"file://{tmp_path}").select("gtid", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("source_block"))
+        assert rows.rdd.getNumPartitions() > 4
+        assert [r.gtid for r in numbered(rows).orderBy("stream_index").collect()] == [f"{n}{i:04d}" for n in "abc" for i in range(400)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_sequences_in_the_state_store(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     (tmp_path / "in").mkdir()

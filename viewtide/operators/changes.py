@@ -219,6 +219,15 @@ def parent_updates(changes: DataFrame, schema: Schema) -> DataFrame:
     return changes.where(F.col("after").isNotNull()).select("stream_index", "ord", "tbl", key.alias("parent_key"), partition.alias("partition")).where("parent_key is not null and partition is not null")
 
 
+def asked_parents(changes: DataFrame, schema: Schema) -> DataFrame:
+    """tbl, parent_key of the parents that the changes' rows take their partition from."""
+    children = [t for t in schema.tables if isinstance(t.partition, Parent)]
+    parent = _by_table(schema, F.col("tbl"), lambda t: F.lit(t.partition.table) if t in children else None)
+    key = lambda side: _by_table(schema, F.col("tbl"), lambda t: F.get_json_object(side, f"$.{t.partition.column}") if t in children else None)
+    both = changes.select(parent.alias("tbl"), F.explode(F.array(key("before"), key("after"))).alias("parent_key"))
+    return both.where("tbl is not null and parent_key is not null").distinct()
+
+
 def latest_parents(updates: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """The parent index (tbl, parent_key, partition) after the updates. Entries are never removed."""
     if index is not None:

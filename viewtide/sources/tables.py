@@ -69,10 +69,17 @@ class Versions:
             numbers += [int(s.getPath().getName()[1:-5]) for s in self._fs.listStatus(self._path("")) if s.getPath().getName().endswith(".done")]
         return max(numbers)
 
+    def has(self, name: str, version: int) -> bool:
+        return version >= 0 and self._fs.exists(self._path(f"v{version}/{name}"))
+
     def read(self, name: str, version: int | None = None) -> DataFrame | None:
         version = self.current() if version is None else version
-        path = f"{self.folder}/v{version}/{name}"
-        return self.spark.read.parquet(path) if version >= 0 and self._fs.exists(self._path(f"v{version}/{name}")) else None
+        return self.spark.read.parquet(f"{self.folder}/v{version}/{name}") if self.has(name, version) else None
+
+    def read_all(self, name: str) -> DataFrame | None:
+        """A table's rows of all versions, in one scan."""
+        paths = [f"{self.folder}/v{v}/{name}" for v in range(self.current() + 1) if self.has(name, v)]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def publish(self, version: int, tables: dict[str, DataFrame], partition_by: str | None = None) -> bool:
         """Writes the tables of a version, then its mark. False, and nothing written, if the version was published before."""
@@ -92,9 +99,13 @@ def transaction_schema() -> str:
 
 
 def read_transactions(spark: SparkSession, folder: str, max_files: int | None = 100) -> DataFrame:
-    """A stream of JSON-lines files of transactions, some files at a time."""
+    """A stream of JSON-lines files of transactions, some files at a time, with the file and the block that a line is read from.
+
+    Files are taken in the order of their times of writing by Spark, and ordered by name within a batch: names should grow.
+    """
     reader = spark.readStream.schema(transaction_schema())
-    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(folder)
+    rows = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(folder)
+    return rows.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("source_block"))
 
 
 def row_json(row: dict) -> str:
