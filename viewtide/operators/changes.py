@@ -253,22 +253,25 @@ def route(changes: DataFrame, schema: Schema, index: DataFrame | None = None) ->
     of the change's transaction, its own updates included: a parent's updates make periods, and a child joins the period that
     its transaction lies in. Only updates are put in order, so a parent of very many children is a skewed join key, no more.
     """
-    sides = changes.select("*", F.explode(F.expr("array('before', 'after')")).alias("side"))
-    sides = sides.withColumn("img", F.when(F.col("side") == "before", F.col("before")).otherwise(F.col("after"))).where("img is not null")
-    own = _by_table(schema, F.col("tbl"), lambda t: F.get_json_object("img", f"$.{t.partition}") if isinstance(t.partition, str) else None)
-    parent = _by_table(schema, F.col("tbl"), lambda t: F.lit(t.partition.table) if isinstance(t.partition, Parent) else None)
-    parent_key = _by_table(schema, F.col("tbl"), lambda t: F.get_json_object("img", f"$.{t.partition.column}") if isinstance(t.partition, Parent) else None)
-    sides = sides.select("stream_index", "ord", "side", own.alias("own"), parent.alias("parent"), parent_key.alias("parent_key"))
-    asked = sides.where("parent is not null and parent_key is not null").select("stream_index", "ord", "side", "parent", "parent_key")
-    known = parent_periods(parent_updates(changes, schema), index)
-    during = (asked["parent"] == known["tbl"]) & (asked["parent_key"] == known["known_key"]) & (asked["stream_index"] >= known["since"]) & (asked["stream_index"] < known["until"])
-    answered = asked.join(known, during).select("stream_index", "ord", "side", "found")
-    placed = sides.join(answered, ["stream_index", "ord", "side"], "left").withColumn("place", F.coalesce("own", "found"))
-    ways = placed.groupBy("stream_index", "ord").agg(
-        F.max(F.when(F.col("side") == "before", F.col("place"))).alias("was"),
-        F.max(F.when(F.col("side") == "after", F.col("place"))).alias("now"),
-        F.bool_or(F.col("parent_key").isNotNull() & F.col("place").isNull()).alias("lost"),
-    )
+    children = [t for t in schema.tables if isinstance(t.partition, Parent)]
+    own = lambda side: _by_table(schema, F.col("tbl"), lambda t: F.get_json_object(side, f"$.{t.partition}") if isinstance(t.partition, str) else None)
+    is_child = F.col("tbl").isin(*(t.name for t in children)) if children else F.lit(False)
+    # Rows with a partition column of their own say where they go; only children are joined, and of these the keys of their parents.
+    placed = changes.where(~is_child).select("*", own("before").alias("was"), own("after").alias("now"), F.lit(False).alias("lost"))
+    if children:
+        mine = changes.where(is_child)
+        key = lambda side: _by_table(schema, F.col("tbl"), lambda t: F.get_json_object(side, f"$.{t.partition.column}") if t in children else None)
+        parent = _by_table(schema, F.col("tbl"), lambda t: F.lit(t.partition.table) if t in children else None)
+        sides = mine.select("stream_index", "ord", parent.alias("parent"), F.posexplode(F.array(key("before"), key("after"))).alias("side", "parent_key")).where("parent_key is not null")
+        known = parent_periods(parent_updates(changes, schema), index)
+        during = (sides["parent"] == known["tbl"]) & (sides["parent_key"] == known["known_key"]) & (sides["stream_index"] >= known["since"]) & (sides["stream_index"] < known["until"])
+        answered = sides.join(known, during, "left")
+        ways = answered.groupBy("stream_index", "ord").agg(
+            F.max(F.when(F.col("side") == 0, F.col("found"))).alias("was"),
+            F.max(F.when(F.col("side") == 1, F.col("found"))).alias("now"),
+            F.bool_or(F.col("found").isNull()).alias("lost"),
+        )
+        placed = placed.unionByName(mine.join(ways, ["stream_index", "ord"], "left").withColumn("lost", F.coalesce("lost", F.lit(False))))
     old_key = _by_table(schema, F.col("tbl"), lambda t: key_of(F.col("before"), t))
     new_key = _by_table(schema, F.col("tbl"), lambda t: key_of(F.col("after"), t))
 
@@ -290,7 +293,7 @@ def route(changes: DataFrame, schema: Schema, index: DataFrame | None = None) ->
         .when(was, F.array(delete))
         .otherwise(F.array(nowhere))
     )
-    routed = changes.join(ways, ["stream_index", "ord"]).withColumn("part", F.explode(parts))
+    routed = placed.withColumn("part", F.explode(parts))
     outcome = F.when(F.col("part.partition").isNull() & F.col("lost"), F.lit("unresolved")).otherwise(F.col("part.outcome"))
     return routed.select("stream_index", "gtid", "part.partition", "ord", F.col("part.turn").alias("turn"), "tbl", "part.op", "part.key", "part.before", "part.after", outcome.alias("outcome"))
 

@@ -59,9 +59,14 @@ def level_rows(planned: Planned, tables: dict[str, DataFrame], root: DataFrame |
     if planned.limit is not None and planned.levels:
         root = cut(root)
     found: dict[Path, DataFrame] = {(): root}
+    refers: dict[Path, DataFrame] = {(): root}
     for level in planned.levels:
         rows = filtered(planned.schema, level.target, level.where, tables)
-        found[level.path] = related(level, rows, found[level.above])
+        found[level.path] = related(level, rows, refers[level.above])
+        below = sorted({c for lv in planned.levels if lv.above == level.path for c in lv.relation.from_columns})
+        if below:
+            # What levels below need of this one is run once for all of them.
+            refers[level.path] = cut(found[level.path].select(*below).distinct())
     return found
 
 
