@@ -103,3 +103,25 @@ def test_waits_grow_to_their_bound():
     status = send(down, {"transactions": [{"seq": 1}]}, Limits(attempts=8, wait=1.0, longest=5.0), waits.append)
     assert status == ("undelivered", "no", 8)
     assert all(least <= w <= 1.5 * least for w, least in zip(waits, (1, 2, 4, 5, 5, 5, 5, 5), strict=True))
+
+
+def test_commands(spark, tmp_path, capsys):
+    """The stream's run, its position, and what was put aside, from the command line."""
+    from tests.fixtures import SCHEMA, item
+    from viewtide.__main__ import main
+    from viewtide.plans.schema import tables_to_json
+
+    uuid = "5d1c0a7e-9b58-4c55-a9a1-1c5f2d7e8f90"
+    (tmp_path / "in").mkdir()
+    lines = [json.dumps({"gtid": f"{uuid}:{n}", "changes": [{"table": "item", "op": "insert", "key": [f"d{n}"], "before": None, "after": json.dumps(item(f"d{n}"))}]}) for n in (1, 2, 3)]
+    (tmp_path / "in" / "1.json").write_text("\n".join(lines))
+    (tmp_path / "schema.json").write_text(json.dumps(tables_to_json(SCHEMA.tables)))
+    state = f"file://{tmp_path}/state"
+    said = lambda *args: (main(list(args), spark), capsys.readouterr().out.strip())[1]
+    assert said("run", f"{tmp_path}/schema.json", f"{tmp_path}/in", state, "--from", f"{uuid}:1") == f"{uuid}:1-3"
+    assert said("position", "show", state) == f"{uuid}:1-3" and said("position", "reset", state, f"{uuid}:1-2") == f"{uuid}:1-2" == said("position", "show", state)
+    assert said("quarantine", "list", state) == ""
+    Quarantine(spark, f"{state}/aside").put(transactions(sequenced(spark).where("partition = 'b'")).selectExpr("*", "'invalid_row' reason"))
+    assert said("quarantine", "list", state) == "b\tinvalid_row\t5\t1-5" and said("quarantine", "drop", state, "b") == "5" and said("quarantine", "list", state) == ""
+    found = json.loads(said("schema", "introspect", "file:///root/testdata/sf0.001"))
+    assert {t["name"] for t in found["tables"]} >= {"orders", "nation"} and {c["name"]: c["kind"] for t in found["tables"] if t["name"] == "nation" for c in t["columns"]}["n_nationkey"] == "int"

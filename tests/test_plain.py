@@ -15,7 +15,7 @@ from viewtide.operators.overlay import MutationError, Pusher
 from viewtide.plans import named
 from viewtide.plans.planner import QueryProblem, chains, plan_query
 from viewtide.plans.query import Query, c, from_json, q, to_json
-from viewtide.plans.schema import Column, Derived, Parent, Relation, SchemaError, Table, compatibility, compile_schema, describe, plan_migration
+from viewtide.plans.schema import Column, Derived, Parent, Relation, SchemaError, Table, compatibility, compile_schema, describe, plan_migration, schema_from_json, tables_to_json
 from viewtide.sources.fills import FillRegistry
 
 U = ["a2523813-adbe-11f1-b19c-0a2250a7ed6c", "b2523813-adbe-11f1-b19c-0a2250a7ed6c"]
@@ -165,6 +165,19 @@ def test_compatibility_and_migration():
     assert plan_migration(new, {"item": have["item"]}, "x").tables == ("organization",)
 
 
+def test_schemas_as_json(tmp_path, capsys):
+    from viewtide.__main__ import main
+    from viewtide.queries import schema
+
+    for s in (SCHEMA, schema()):
+        again = schema_from_json(json.loads(json.dumps(tables_to_json(s.tables) | {"partition_kind": s.partition_kind})))
+        assert again.hash == s.hash and again.tables == s.tables
+    (tmp_path / "good.json").write_text(json.dumps(tables_to_json(SCHEMA.tables)))
+    (tmp_path / "bad.json").write_text(json.dumps({"tables": [{"name": "t", "primary_key": ["x"], "columns": [{"name": "id", "kind": "stone"}]}]}))
+    assert main(["schema", "validate", str(tmp_path / "good.json")]) == 0 and capsys.readouterr().out.strip() == SCHEMA.hash
+    assert main(["schema", "validate", str(tmp_path / "bad.json")]) == 1 and len(capsys.readouterr().out.splitlines()) == 2
+
+
 def events(*, position=1, columns=("id", "name"), rows=((None, {"id": "a", "name": "n"}),)):
     return [
         {"type": "begin", "timestamp": 5}, {"type": "field", "table": "organization", "columns": list(columns)},

@@ -25,6 +25,7 @@ from viewtide.queries import AFTER, FOLD, MEMBERS, O9, WITH_ORDERS, changed, cus
 from viewtide.sources.keys import KeySet
 from viewtide.sources.shared import cut
 from viewtide.sources.tables import introspect, matches
+from viewtide.streaming import delivery as dv
 from viewtide.streaming.engine import Engine
 
 UUID = "7f3c2b1a-50de-4c11-9a8f-0d9b6c2e4f10"
@@ -189,6 +190,22 @@ def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return goes.withColumn("aside", F.lit(False)).unionByName(aside.withColumn("aside", F.lit(True)))
 
 
+@register("delivery_batches", "SELECT CAST(user_id AS VARCHAR) AS partition, event_id AS seq, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 3 AS batch FROM events")
+def delivery_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables(spark, sf_dir)["events"]
+    txs = e.select(F.col("user_id").cast("string").alias("partition"), F.col("event_id").alias("seq"), F.lit("g").alias("gtid"), F.lit("[]").alias("changes"))
+    return dv.batch_numbers(txs, dv.Limits(transactions=3))
+
+
+@register("delivery_outcomes", "WITH e AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 2 AS b FROM events) SELECT CAST(user_id AS VARCHAR) AS partition, min(event_id) AS first_seq, max(event_id) AS last_seq, CASE WHEN user_id % 10 = 7 THEN 'rejected' ELSE 'applied' END AS status FROM e WHERE user_id % 10 <> 7 OR b = 0 GROUP BY user_id, b")
+def delivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sink that takes nothing of some partitions: these stop at their first batch."""
+    e = tables(spark, sf_dir)["events"]
+    txs = e.select(F.col("user_id").cast("string").alias("partition"), F.col("event_id").alias("seq"), F.lit("g").alias("gtid"), F.lit("[]").alias("changes"))
+    answer = lambda batch: {"rejected": "invalid_row"} if batch["partition"].endswith("7") else {"applied_seq": batch["transactions"][-1]["seq"]}
+    return cut(dv.deliver(txs, lambda: answer, {}, dv.Limits(transactions=2))).select("partition", "first_seq", "last_seq", "status")
+
+
 @register("ids_in_sets", "SELECT event_id, event_id <= 300 OR event_id BETWEEN 400 AND 450 AS in_union, (event_id <= 100 OR event_id BETWEEN 201 AND 300) AS in_difference FROM events WHERE event_id > 0")
 def ids_in_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = GtidSet.parse(f"{UUID}:1-120:101-300"), GtidSet.parse(f"{UUID}:101-200:400-450")
