@@ -287,8 +287,30 @@ def test_replica_follows_the_engine(spark):
     log = MutationLog(SCHEMA, {"add": lambda tx, a, ctx: tx.insert("item", item(a, displayOrder=-1))}, r.tables)
     log.mutate("add", "new")
     assert ids(log=log) == ["new", "c"]
-    r.release(key)
+    # Released with a time, a subscription is kept until its time is over; a listener hears of what changes meanwhile.
+    heard = []
+    stop = r.listen(lambda cursor, keys: heard.append((cursor, keys)))
+    r.release(key, now=100)
+    assert r.status() == {"cursor": 2, "subscriptions": sorted([key, larger]), "released": [key]} and r.sweep(now=399) == []
+    _, (d,) = e.apply_batch(batch(e, (3, [put(e, item("first", displayOrder=-5))])))
+    r.apply_delta(d.cursor, d.changed, d.rows)
+    stop()
+    assert heard == [(3, {key, larger})] and r.retain(key) and r.sweep(now=999) == []
+    r.release(key, now=1000)
+    assert r.sweep(now=1300) == [key] and r.status()["subscriptions"] == [larger] and not r.retain(key)
     r.release(larger)
+    assert r.tables["item"].count() == 0
+
+
+def test_many_rows_are_looked_up_at_once(spark):
+    from viewtide.operators.overlay import LocalTransaction
+
+    tx = LocalTransaction(SCHEMA, {"item": frame(spark, [item("a", title="x"), item("b")])}, {})
+    tx.insert("item", item("c", title="new"))
+    found = tx.get_many("item", [("a",), {"id": "c"}, ("gone",)])
+    assert [r and r["title"] for r in found] == ["x", "new", None]
+    tx.tables = {}
+    assert tx.get("item", ("a",))["title"] == "x" and tx.get("item", ("gone",)) is None
 
 
 def test_raw_rows_and_parent_index(spark):

@@ -130,20 +130,28 @@ def _root(planned: Planned, members, after, changes: Changes, keys: dict[str, Ke
     matching = KeySet.of(filtered(planned.schema, table, planned.query.where, after, rows_at(after, table.name, touched)))
     if planned.limit is None:
         return Move(touched, members.of((), touched), matching)
-    window = KeySet.of(members.all(()))
+    order = [n for n, _ in planned.order_by]
+    ranked = lambda rows: rows.select(KEY, *(n for n in dict.fromkeys(order) if n != KEY))
+    known = getattr(members, "window", None)
+    window = KeySet.of(members.all(()) if known is None else known)
     was = window & touched
     full = window.small is None or len(window.small) >= planned.limit
     again = not (was - matching).empty
-    order = [n for n, _ in planned.order_by]
     if not again and not was.empty and table.name in changes:
         moved = ~F.struct(*(F.col(f"before.{n}") for n in order)).eqNullSafe(F.struct(*(F.col(f"after.{n}") for n in order)))
         again = not (KeySet.of(changes[table.name].where(moved)) & was).empty
     if again and full:
-        new = KeySet.of(top(planned, filtered(planned.schema, table, planned.query.where, after)))
+        rows = settled(ranked(top(planned, filtered(planned.schema, table, planned.query.where, after))))
     elif not again and (matching - window).empty:
-        new = window
+        rows = known
     else:
-        new = KeySet.of(top(planned, rows_at(after, table.name, (window - (was - matching)) | matching)))
+        # Rows that weren't touched stand as they stood; if they are at hand, they aren't read again.
+        standing = window - touched
+        stood = standing.within(known) if known is not None else ranked(rows_at(after, table.name, standing))
+        rows = settled(top(planned, stood.unionByName(ranked(rows_at(after, table.name, (was & matching) | matching)))))
+    new = window if rows is None else KeySet.of(rows)
+    if rows is not None and hasattr(members, "window"):
+        members.window = rows
     every = touched | (new - window) | (window - new)
     return Move(every, window & every, new & every)
 

@@ -19,9 +19,18 @@ from viewtide.sources.shared import cut
 
 #: Rows that the driver holds of one set, at most.
 SMALL = 10_000
+#: Keys that are looked up by a filter; ``push_filters`` lets files see as many.
+FILTER = 1_000
 KEYS = T.StructType([T.StructField(KEY, T.StringType())])
 
 
+def push_filters(spark: SparkSession) -> None:
+    """Lets Parquet files see every value of a filter of FILTER values, and not only their range."""
+    name = "spark.sql.parquet.pushdown.inFilterThreshold"
+    if int(spark.conf.get(name)) < FILTER:
+        spark.conf.set(name, str(FILTER))
+
+
 def local(spark: SparkSession, schema: T.StructType, rows: list[tuple]) -> DataFrame:
     """rows as a relation that the plan itself holds."""
     import pyarrow as pa
@@ -83,7 +92,7 @@ class KeySet:
 
     def within(self, df: DataFrame) -> DataFrame:
         """df's rows with one of the keys."""
-        if self.small is not None and len(self.small) <= 100:
+        if self.small is not None and len(self.small) <= FILTER:
             # So few are a filter, which reaches the files.
             return df.where(F.col(KEY).isin(*sorted(self.small))) if self.small else df.limit(0)
         return df.join(self.df(), KEY, "left_semi")

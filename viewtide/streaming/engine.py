@@ -34,7 +34,7 @@ from viewtide.operators.maintain import Move, affected, changed_rows, entered_an
 from viewtide.plans.planner import Planned, plan_query
 from viewtide.plans.query import Query, from_json, to_json
 from viewtide.plans.schema import KEY, Column, Schema, Table
-from viewtide.sources.keys import KEYS, KeySet, local, settled, union
+from viewtide.sources.keys import KEYS, KeySet, local, push_filters, settled, union
 from viewtide.sources.shared import Folder, cut
 from viewtide.sources.tables import rewritten
 from viewtide.streaming.state import LiveTable
@@ -58,6 +58,8 @@ class Members:
         self.spark = spark
         self.target = {(): planned.table.name} | {lv.path: lv.target.name for lv in planned.levels}
         self.live = LiveTable(spark, MEMBERS, T.StructType([*KEYS.fields, *MEMBERS.struct().fields]))
+        #: A window's keys with what orders them, as of the last batch that changed it.
+        self.window: DataFrame | None = None
         keyed = cut(rows.select(F.concat_ws(" ", "path", KEY).alias("k"), "path", "tbl", F.col(KEY).alias("row")).withColumnRenamed("k", KEY))
         self.live.load(keyed, keyed.count())
 
@@ -175,6 +177,7 @@ class Delta:
 
 class Engine:
     def __init__(self, spark: SparkSession, schema: Schema, partition: str = "", epoch: int = 0, folder: str | None = None):
+        push_filters(spark)
         self.spark, self.schema, self.partition, self.epoch = spark, schema, partition, epoch
         self.applied = 0
         self.log: OrderedDict[int, str] = OrderedDict()

@@ -3,8 +3,8 @@
 Changes are kept by key: the last ones on the driver, LOCAL at most, older ones in tiers in the shared folder, each GROWTH
 times as large as the one above it. A full tier is merged into the next, the last into the base once it passes a share of the
 base. So a change is rewritten about GROWTH times for each tier, of which there are few, and not for each row of the table.
-Base and tiers are Parquet files by bucket of the key's hash, about BUCKET_ROWS rows each, and a look-up by keys reads only the
-buckets that the keys are in.
+Base and tiers are Parquet files by bucket of the key's hash, about BUCKET_ROWS rows each in the order of keys, and a look-up
+reads only the buckets that its keys are in, and of these the pages.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from viewtide.sources.shared import shared_folder
 
 #: Changes on the driver, a tier's size over that of the one above it, the base's share that the last tier may have, rows of a bucket.
 LOCAL, GROWTH, SHARE, BUCKET_ROWS = 2_000, 8, 0.1, 20_000
+#: Rows of a page: a look-up reads the pages that its keys are in, as a bucket is in the order of keys.
+PAGE_ROWS = 500
 BUCKET = "__bucket"
 IMAGES = T.StructType([T.StructField(KEY, T.StringType()), T.StructField("after", T.StringType())])
 
@@ -63,7 +65,8 @@ class LiveTable:
         buckets = max(1, min(4096, n // BUCKET_ROWS))
         folder = shared_folder(self.spark, f"{self.folder or 'live'}-{self.table.name}")
         dealt = rows.withColumn(BUCKET, bucket_of(F.col(KEY), buckets))
-        (dealt.repartition(buckets, BUCKET) if buckets > 1 else dealt.coalesce(1)).write.partitionBy(BUCKET).parquet(folder)
+        dealt = dealt.repartition(buckets, BUCKET) if buckets > 1 else dealt.coalesce(1)
+        dealt.sortWithinPartitions(BUCKET, KEY).write.option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy(BUCKET).parquet(folder)
         self.written += n
         return Part(folder, n, buckets)
 
