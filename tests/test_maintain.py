@@ -80,7 +80,8 @@ def test_sequences_in_stretches(spark, monkeypatch):
     assert [(r.partition, r.seq) for r in got] == [("a", i + 1) for i in range(14)] + [("b", i + 101) for i in range(26)]
 
 
-def test_assembled_as_a_plan(spark):
+def test_assembled_as_a_plan(spark, monkeypatch):
+    monkeypatch.setattr(ch, "STRETCH", 3)
     events = [("s", 0, "begin", None, None, None, None, 5), ("s", 1, "row", "t", None, "{}", None, None), ("s", 2, "vgtid", None, None, None, "p1", None), ("s", 3, "commit", None, None, None, None, None), ("s", 4, "begin", None, None, None, None, 6), ("s", 5, "row", "t", "{}", None, None, None), ("s", 6, "rollback", None, None, None, None, None), ("u", 1, "vgtid", None, None, None, "p9", None)]
     rows = ch.assemble(spark.createDataFrame(events, "shard string, ord int, type string, tbl string, before string, after string, position string, timestamp long")).collect()
     assert [(r.shard, r.stream_index, r.position, r.commit_timestamp, [c.op for c in r.changes]) for r in rows] == [("s", 1, "p1", 5, ["insert"])]

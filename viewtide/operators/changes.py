@@ -112,9 +112,15 @@ def assemble(events: DataFrame) -> DataFrame:
     """events (shard, ord, type, tbl, before, after, position, timestamp) -> shard, stream_index, position, commit_timestamp, changes.
 
     The same as a plan: a transaction's number is how many have begun in its shard, events outside and rolled back ones drop out.
+    Begins are counted within stretches of STRETCH places, and the stretches' counts are summed before, so no shard is put in
+    order in one task.
     """
-    begun = F.sum((F.col("type") == "begin").cast("long")).over(Window.partitionBy("shard").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    numbered = events.withColumn("stream_index", begun).where("stream_index > 0")
+    begins = F.sum((F.col("type") == "begin").cast("long"))
+    placed = events.withColumn("stretch", F.floor(F.col("ord") / STRETCH))
+    earlier = F.sum("begins").over(Window.partitionBy("shard").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    counts = placed.groupBy("shard", "stretch").agg(begins.alias("begins")).select("shard", "stretch", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    here = begins.over(Window.partitionBy("shard", "stretch").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = placed.withColumn("here", here).join(counts, ["shard", "stretch"]).withColumn("stream_index", F.col("here") + F.col("earlier")).where("stream_index > 0")
     op = F.when(F.col("before").isNull(), "insert").when(F.col("after").isNull(), "delete").otherwise("update")
     change = F.when(F.col("type") == "row", F.struct("ord", F.col("tbl").alias("table"), op.alias("op"), "before", "after"))
     grouped = numbered.groupBy("shard", "stream_index").agg(

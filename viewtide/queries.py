@@ -259,12 +259,12 @@ def sequence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.sequence(ch.route(customer_changes(spark, sf_dir), schema())).select("partition", "stream_index", "seq").distinct()
 
 
-@register("route_derived", "SELECT o_orderkey, CAST(c_nationkey AS VARCHAR) AS partition FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 5 = 0")
+@register("route_derived", "SELECT o_orderkey, CAST(c_nationkey AS VARCHAR) AS partition FROM orders JOIN customer ON c_custkey = o_custkey")
 def route_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     index = t["customer"].select(F.lit("customer").alias("tbl"), F.col("c_custkey").cast("string").alias("parent_key"), F.col("c_nationkey").cast("string").alias("partition"))
     after = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("o_orderkey"), F.col("o_custkey").cast("string").alias("o_custkey")))
-    rows = t["orders"].where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("stream_index"), F.lit("g").alias("gtid"), F.lit(0).alias("ord"), F.lit("orders").alias("tbl"), F.lit("insert").alias("op"), F.lit(None).cast("string").alias("before"), after.alias("after"))
+    rows = t["orders"].select(F.col("o_orderkey").alias("stream_index"), F.lit("g").alias("gtid"), F.lit(0).alias("ord"), F.lit("orders").alias("tbl"), F.lit("insert").alias("op"), F.lit(None).cast("string").alias("before"), after.alias("after"))
     return ch.route(rows, schema(), index).select(F.col("stream_index").alias("o_orderkey"), "partition")
 
 
@@ -342,9 +342,9 @@ def overlay_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ov.overlay_view(c, rows).select("c_custkey", "c_acctbal")
 
 
-@register("deduplicated_batch", "SELECT 'p' AS partition, event_id AS seq, CASE WHEN event_id > 300 THEN 'new' WHEN event_id % 50 = 0 THEN 'conflict' ELSE 'duplicate' END AS status FROM events WHERE event_id > 0")
+@register("deduplicated_batch", "SELECT 'p' AS partition, event_id + 1 AS seq, CASE WHEN event_id >= 300 THEN 'new' WHEN (event_id + 1) % 50 = 0 THEN 'conflict' ELSE 'duplicate' END AS status FROM events")
 def deduplicated_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables(spark, sf_dir)["events"].where("event_id > 0").select(F.lit("p").alias("partition"), F.col("event_id").alias("seq"), F.concat(F.lit("g"), "event_id").alias("gtid"))
+    e = tables(spark, sf_dir)["events"].select(F.lit("p").alias("partition"), (F.col("event_id") + 1).alias("seq"), F.concat(F.lit("g"), F.col("event_id") + 1).alias("gtid"))
     applied = spark.createDataFrame([("p", 300)], "partition string, seq long")
     log = e.where("seq <= 300").withColumn("gtid", F.when(F.col("seq") % 50 == 0, "other").otherwise(F.col("gtid")))
     return ch.deduplicated(e, applied, log).select("partition", "seq", "status")
