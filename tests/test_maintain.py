@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tests.fixtures import ITEM, SCHEMA, change, frame, item
 from viewtide.functions import wire
 from viewtide.operators import changes as ch
-from viewtide.operators.overlay import MutationLog
+from viewtide.operators.client import Client
+from viewtide.operators.overlay import MutationLog, Pusher
 from viewtide.operators.replica import Replica, membership_index
 from viewtide.plans.planner import plan_query
 from viewtide.plans.query import q
@@ -303,6 +304,42 @@ def test_replica_follows_the_engine(spark):
     assert r.tables["item"].count() == 0
 
 
+def test_a_client_from_end_to_end(spark):
+    """Live queries, an optimistic mutation, its push, the delta that brings it back, and its confirmation."""
+    e = Engine(spark, SCHEMA)
+    ((fill, _),) = e.ensure({"item"})
+    e.fill(fill, frame(spark, [item("a", displayOrder=1, title="x"), item("b", displayOrder=2, title="y")]))
+    e.complete(fill, "")
+    rename = lambda tx, a, ctx: tx.update("item", (a[0],), {"title": a[1]})
+    source = {("item", f'["{i}"]'): item(i, displayOrder=n, title=t) for n, (i, t) in enumerate((("a", "x"), ("b", "y")), 1)}
+    receiver = Pusher(SCHEMA, {"rename": rename}, source)
+    client = Client(spark, SCHEMA, {"rename": rename}, lambda query, base: e.subscribe(query, base), e.unsubscribe)
+    told, outcomes = [], []
+    seen = client.live_query(q("item").order_by("displayOrder").limit(1), lambda x: told.append([r.title for r in x.read().collect()]))
+    stop = client.on_mutation(lambda m: outcomes.append((m.id, m.error is None)))
+    assert [r.title for r in seen.read().collect()] == ["x"] and client.status()["live"] == [seen.key]
+    client.mutate("rename", ("a", "mine"))
+    client.mutate("rename", ("b", "z"))
+    assert told[-1] == ["mine"] and client.status()["pending"] == [1, 2]
+    # The second row isn't the client's to see, so its rename fails here, and works at the source.
+    assert client.status()["failed"] == [2]
+    client.push(receiver.push)
+    assert outcomes == [(1, True), (2, True)] and source["item", '["b"]']["title"] == "z"
+    changes = [change(c["op"], c["before"], c["after"]) for tx in receiver.transactions for c in tx if c["table"] == "item"]
+    _, (delta,) = e.apply_batch(batch(e, (1, changes)))
+    client.take(delta)
+    client.confirm(2)
+    assert client.status()["pending"] == [] and told[-1] == ["mine"] and [r.title for r in client.replica.tables["item"].collect()] == ["mine"]
+    larger = client.live_query(q("item").order_by("displayOrder").limit(2), None, seen)
+    assert [r.title for r in larger.read().collect()] == ["mine", "z"]
+    stop()
+    larger.stop(now=10)
+    seen.stop(now=10)
+    again = client.live_query(q("item").order_by("displayOrder").limit(1))
+    assert again.key == seen.key and client.sweep(now=400) == [larger.key] and client.status()["subscriptions"] == [seen.key]
+    assert e.subscriptions[larger.key].orphaned is not None and client.read(q("item")).count() == 1
+
+
 def test_many_rows_are_looked_up_at_once(spark):
     from viewtide.operators.overlay import LocalTransaction
 
