@@ -21,7 +21,7 @@ from viewtide.plans import named
 from viewtide.plans.planner import plan_query
 from viewtide.plans.query import q
 from viewtide.plans.schema import KEY, Column, Derived, Table, describe
-from viewtide.queries import AFTER, FOLD, MEMBERS, O9, WITH_ORDERS, changed, customer_changes, register, schema, tables
+from viewtide.queries import AFTER, FOLD, MEMBERS, O9, WITH_ORDERS, customer_changes, register, schema, tables
 from viewtide.sources.keys import KeySet
 from viewtide.sources.shared import cut
 from viewtide.sources.tables import introspect, matches
@@ -485,6 +485,22 @@ def membership_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.membership_index({str(i): m for i, m in enumerate(members)}).select("tbl", KEY)
 
 
+@register("membership_difference", "WITH o AS (SELECT c_custkey FROM customer WHERE c_acctbal > 3000), n AS (SELECT c_custkey FROM customer WHERE c_nationkey < 12) SELECT 'customer' AS tbl, '[\"' || c_custkey || '\"]' AS __key, 'added' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT 'customer', '[\"' || c_custkey || '\"]', 'removed' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)")
+def membership_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir)
+    old, new = (lv.seen(lv.recompute(plan_query(schema(), x.query), t)) for x in (q("customer").where(lambda c: c.gt("c_acctbal", 3000)), q("customer").where(lambda c: c.lt("c_nationkey", 12))))
+    return lv.difference(new, old)
+
+
+@register("stored_literals", "SELECT c_custkey FROM customer WHERE CAST(c_acctbal AS DECIMAL(12,2)) IN (711.56, 121.65) OR c_custkey IN (12, 13)")
+def stored_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals are bound to what a column is stored as: bigints come as text, and one that can't be stored equals nothing."""
+    t = tables(spark, sf_dir)
+    balances = {"customer": t["customer"].withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(12,2)"))}
+    where = q("customer").where(lambda c: c.or_(c.in_("c_acctbal", [711.56, 121.65]), c.in_("c_custkey", ["12", "13", str(2**63)])))
+    return lv.root_rows(plan_query(schema(), where.query), dict(t) | balances).select("c_custkey")
+
+
 @register("looked_up_in_tiers", f"SELECT * FROM ({AFTER}) WHERE c_custkey IN (3, 7, 9, 1000000009, -1)")
 def looked_up_in_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys in a live table's base, in its changes, and nowhere, looked up together."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewtide.functions.kinds import key_text
-from viewtide.operators.levels import MEMBER, Path, difference, filtered, seen, top
+from viewtide.operators.levels import MEMBER, Path, filtered, top
 from viewtide.plans.planner import Planned, chains
 from viewtide.plans.query import Predicate
 from viewtide.plans.schema import KEY, Relation, Table
@@ -220,11 +220,6 @@ def entered_and_left(planned: Planned, members, moves: dict[Path, Move], spark:
     return out
 
 
-def delta(before: DataFrame, after: DataFrame) -> DataFrame:
-    """tbl, key, change of the rows that entered or left a query as a whole."""
-    return difference(seen(after), seen(before))
-
-
 def row_updates(changes: Changes, entered: dict[str, KeySet], present: dict[str, KeySet], after) -> dict[str, DataFrame]:
     """By table the images to send (key, image): of rows that entered, of changed members of any query, and null for deleted rows."""
     out = {}
