@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from viewtide.llm import fertility, merge_dropout, near_copies, secret_scan, simhash, token_counts, token_files
 from viewtide.llm.common import tokenizer_file
@@ -556,6 +557,35 @@ def test_dropout_varies_by_occurrence(pieces):
     assert len(set(whole)) == 3
 
 
+def test_very_long_texts(spark, pieces):
+    """Texts of a megabyte: one word, many words, white space, repeated lines; each operator as the library or brute force has it."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(9)
+    word = "".join(map(chr, rng.integers(97, 123, 400_000)))
+    prose = " ".join(f"w{x}" for x in rng.integers(0, 3000, 150_000).tolist())
+    texts = [word, prose, " \n" * 300_000 + "end", "the same line\n" * 60_000, "語" * 200_000]
+    frame = spark.createDataFrame([(i, t, "en", "src1") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(5)
+    counts = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.token_counts(frame).collect()}
+    assert counts == {i: (len(t.encode()), len(pieces.encode(t))) for i, t in enumerate(texts)}
+    assert token_counts.count_texts(texts) == [counts[i][1] for i in range(len(texts))]
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_duplicates(frame).collect()}
+    assert prints == {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+    found = {r.doc_id: r for r in fertility.quality(frame).collect()}
+    for i, t in enumerate(texts):
+        assert found[i].n_words == len(WORD.findall(t)) and math.isclose(found[i].piece_chars_per_token, len(t) / counts[i][1])
+    library = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    ids = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(token_files.write_token_files(frame), digest_only=True).collect()}
+    wanted = [np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4") for t in texts]
+    assert ids == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(wanted)}
+    assert all(r.lossless for r in merge_dropout.round_trips(frame).collect())
+    twice = frame.unionByName(frame.withColumn("doc_id", F.col("doc_id") + 10).withColumn("text", F.concat("text", F.lit(" more"))))
+    label = {r.doc_id: r.component_id for r in near_copies.near_copies(twice).collect()}
+    assert all(label[i] == i for i in range(5)) and label[11] == 1
+    # Three shingles against four are too few in common, and one word against two has none.
+    assert label[13] == 13 and label[10] == 10
+
+
 def test_empty_tables(no_docs):
     assert token_counts.token_counts(no_docs).count() == 0
     assert fertility.quality(no_docs).count() == 0

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewtide.sources.shared import cut, shared_folder
 
-__all__ = ["around_extras", "cut", "open_fs", "rarely_collect", "rows_of", "shared_folder", "small_or_plain", "text_batches", "text_or_empty", "tokenizer_file", "written"]
+__all__ = ["around_extras", "cut", "kept", "open_fs", "rarely_collect", "rows_of", "shared_folder", "small_or_plain", "text_batches", "text_or_empty", "tokenizer_file", "written"]
 
 #: A side is broadcast only after it was counted and found to have no more rows than this.
 BROADCAST_ROWS = 100_000
 #: Rows in an Arrow batch that carries whole texts.
-TEXT_BATCH_ROWS = 1_000
-#: The words of the quality, count and near-duplicate operators: runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+TEXT_BATCH_ROWS = 500
 
 
 def open_fs(uri: str):
@@ -48,10 +49,25 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXT_BATCH_ROWS))
 
 
+_kept: dict[tuple, Any] = {}
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """What make makes, kept in this worker for the stage's next batches. A worker serves many stages, so what another one kept goes."""
+    if key not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            # What was freed goes back to the system, where its allocator can do that.
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+        _kept[key] = make()
+    return _kept[key]
+
+
 def rarely_collect() -> None:
     """For workers that make many short-lived lists and no cycles: the collector looks at its young objects less often."""
-    import gc
-
     gc.set_threshold(200_000, 50, 100)
 
 

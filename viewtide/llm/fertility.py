@@ -24,21 +24,20 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rarely_collect, rows_of, text_batches, tokenizer_file
+from .common import kept, rarely_collect, rows_of, text_batches, tokenizer_file
 from .pieces import MARK, MODEL, vocabulary
 
 #: White space between words, and the symbols that are counted.
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 #: Distinct parts that a worker's tables hold, and their ids under one vocabulary; beyond either the tables start anew.
-TABLE_ROWS, TABLE_IDS = 400_000, 4_000_000
+TABLE_ROWS, TABLE_IDS = 100_000, 1_500_000
 #: The vocabularies, and how their columns are named.
 VOCABULARIES = {"piece": MODEL, "byte": "byte_bpe_50k.tiktoken", "multi": "byte_bpe_multi_50k.tiktoken"}
 
@@ -190,9 +189,8 @@ def parts(text: str) -> list[str]:
     return text.split(" ")
 
 
-@lru_cache(maxsize=2)
 def token_tables(models: tuple[str, ...]) -> TokenTables:
-    return TokenTables(models)
+    return kept(("fertility", models), lambda: TokenTables(models))
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -243,12 +241,12 @@ def judge(text: str, lang: str | None, tokens: list[np.ndarray], tables: TokenTa
     repeats = repeated_words(words)
     failed = n < min_words or repeats > max_repeated * n
     found = [measures(text, t, x.is_byte) for t, x in zip(tokens, tables.libraries, strict=True)]
-    kept = not failed
-    if kept:
+    stays = not failed
+    if stays:
         band = band_of(lang, text, bands)
-        kept = all(m[0] is not None and band[name].holds(*m) for name, m in zip(VOCABULARIES, found, strict=True))
+        stays = all(m[0] is not None and band[name].holds(*m) for name, m in zip(VOCABULARIES, found, strict=True))
     spaces = sum(map(text.count, SPACES))
-    return n, len(text) - spaces, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeats, failed, kept, *(x for m in found for x in m)
+    return n, len(text) - spaces, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeats, failed, stays, *(x for m in found for x in m)
 
 
 MEASURES = ("chars_per_token", "byte_share", "entropy_bits")

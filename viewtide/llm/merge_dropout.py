@@ -24,12 +24,11 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import rarely_collect, rows_of, text_batches
+from .common import kept, rarely_collect, rows_of, text_batches
 from .pieces import MARK, MODEL, Vocabulary, vocabulary
 
 SEED, RATE = 42, 0.1
@@ -242,9 +241,8 @@ class Encoder:
         return b"".join(map(self.v.bytes.__getitem__, np.frombuffer(ids, self.kind).tolist()))[1:]
 
 
-@lru_cache(maxsize=2)
 def encoder(model: str, seed: int, rate: float) -> Encoder:
-    return Encoder(model, seed, rate)
+    return kept(("merge dropout", model, seed, rate), lambda: Encoder(model, seed, rate))
 
 
 def round_trips(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate: float = RATE) -> DataFrame:

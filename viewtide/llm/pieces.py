@@ -6,7 +6,6 @@ is cut at each run of space marks, and what one pre-token becomes doesn't depend
 
 from __future__ import annotations
 
-import re
 from functools import cache, lru_cache
 
 import numpy as np
@@ -94,11 +93,3 @@ class Vocabulary:
 def vocabulary(model: str = MODEL) -> Vocabulary:
     return Vocabulary(model)
 
-
-#: The model reads a space and U+2581 as the same mark.
-PRE_TOKEN = re.compile("[ ▁]+[^ ▁]*")
-
-
-def pre_tokens(text: str) -> list[str]:
-    """The text's pre-tokens with the mark that the model puts before it; none for an empty text."""
-    return PRE_TOKEN.findall(" " + text) if text else []

@@ -27,13 +27,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rows_of, text_batches, text_or_empty, tokenizer_file
+from .common import cut, kept, rows_of, text_batches, text_or_empty, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
 #: Pre-tokens whose counts are broadcast, at most, characters that a pre-token that is moved has, at most, and texts for each sampled one.
 HEAD_ROWS, LONG, SAMPLE = 200_000, 64, 8
 #: Distinct pre-tokens that a task gathers before it passes them on.
-GATHERED = 300_000
+GATHERED = 250_000
+#: Distinct pre-tokens whose counts a worker keeps where a count is needed on the row itself.
+KNOWN = 150_000
 #: Space and U+2581 are the same mark to the model.
 PRE_TOKEN = re.compile("[ ▁]+[^ ▁]*")
 
@@ -59,15 +61,10 @@ def count_pieces(tokens: list[str], model: str) -> list[int]:
     return [len(ids) if t else 1 for t, ids in zip(tokens, processor(model).encode(tokens, num_threads=1), strict=True)]
 
 
-@lru_cache(maxsize=2)
-def known_counts(model: str) -> dict[str, int]:
-    return {}
-
-
 def count_texts(texts: list[str], model: str = MODEL) -> list[int]:
     """Pieces of each text, for operators that need a count on the row itself: each worker keeps a bounded table of pre-tokens."""
-    table = known_counts(model)
-    if len(table) > GATHERED:
+    table = kept(("token counts", model), dict)
+    if len(table) > KNOWN:
         table.clear()
     cut_texts = [pre_tokens(t) for t in texts]
     missing = list(set().union(*cut_texts) - table.keys())

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, open_fs, rarely_collect, rows_of, shared_folder, text_batches, tokenizer_file
+from .common import cut, kept, open_fs, rarely_collect, rows_of, shared_folder, text_batches, tokenizer_file
 
 MODEL = "word_bpe_49k.json"
 END_ID = 1
@@ -148,9 +148,8 @@ def id_kind(model: str) -> str:
     return "<u2" if Tokenizer.from_file(tokenizer_file(model)).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-@lru_cache(maxsize=2)
 def word_ids(model: str) -> WordIds:
-    return WordIds(model)
+    return kept(("token files", model), lambda: WordIds(model))
 
 
 def encode_texts(texts: list[str], model: str = MODEL) -> list[bytes]:
