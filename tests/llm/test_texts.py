@@ -356,6 +356,21 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, documents, sample):
     assert sorted(d for d in stay if d is not None) == sorted(d for d, x in zip(ids, label, strict=True) if d is not None and d == least[x])
 
 
+def test_a_common_passage_makes_no_bucket(spark, monkeypatch):
+    """All shingles of a passage that many texts have are frequent, so none of them takes the place of those put last; the driver gets no more than it keeps."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    rng = np.random.default_rng(7)
+    line = " ".join(f"p{i}" for i in range(60))
+    texts = [line + " " + " ".join(f"w{w}" for w in rng.integers(0, 100_000, 150)) for _ in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    frequent = near_copies.frequent_shingles(frame)
+    assert set(near_copies.shingle_set(line).tolist()) <= set(frequent.tolist())
+    meets = Counter(k for t in texts for k in near_copies.prefix(near_copies.shingle_set(t), frequent).tolist())
+    assert max(meets.values()) < 5
+    monkeypatch.setattr(near_copies, "FREQUENT_ROWS", len(frequent) // 2)
+    assert len(near_copies.frequent_shingles(frame)) <= len(frequent) // 2
+
+
 def test_pivot_cells_hold_every_link_once():
     """Fingerprints within the radius meet in one cell where they share no way; few others do."""
     rng = np.random.default_rng(3)
