@@ -371,6 +371,21 @@ def test_a_common_passage_makes_no_bucket(spark, monkeypatch):
     assert len(near_copies.frequent_shingles(frame)) <= len(frequent) // 2
 
 
+def test_near_copies_come_through_pivots(spark, monkeypatch):
+    """Without the prefix filter, fingerprints within the radius link where the sets are similar, and only there."""
+    monkeypatch.setattr(near_copies, "pairs", lambda met, classes, labelled: spark.createDataFrame([], "u long, v long"))
+    rng = np.random.default_rng(3)
+    base = [f"w{w}" for w in rng.integers(0, 5000, 900)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join([*base[:-1], "y"]), " ".join(base[:600]), " ".join(f"v{w}" for w in rng.integers(0, 5000, 900)), "one two", "two one"]
+    fps = [simhash.fingerprint_of(t, 5) for t in texts]
+    assert all((fps[0] ^ f).bit_count() <= 2 for f in fps[1:3]) and all((fps[0] ^ f).bit_count() > 2 for f in fps[3:])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6}
+    # Equal fingerprints of sets that aren't similar don't link.
+    monkeypatch.setattr(near_copies, "fingerprint_of_hashes", lambda hashes: 0)
+    assert all(r.doc_id == r.component_id for r in near_copies.near_copies(frame.where("doc_id > 2")).collect())
+
+
 def test_pivot_cells_hold_every_link_once():
     """Fingerprints within the radius meet in one cell where they share no way; few others do."""
     rng = np.random.default_rng(3)

@@ -64,7 +64,10 @@ def shingle_hashes(text: str, width: int, seed: int = SEED) -> np.ndarray:
 
 def fingerprint_of(text: str, width: int, seed: int = SEED) -> int:
     """The fingerprint as a signed 64-bit integer."""
-    hashes = shingle_hashes(text, width, seed)
+    return fingerprint_of_hashes(shingle_hashes(text, width, seed))
+
+
+def fingerprint_of_hashes(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     # Bits in little-endian order: bit k of the value at place k.
