@@ -371,6 +371,55 @@ def test_a_common_passage_makes_no_bucket(spark, monkeypatch):
     assert len(near_copies.frequent_shingles(frame)) <= len(frequent) // 2
 
 
+def test_a_large_group_gives_few_pairs(spark, monkeypatch):
+    """Copies that the first pairs leave apart from their group are compared with few of it, and so are those near the group that have no link."""
+    rng = np.random.default_rng(11)
+    base = [f"w{w}" for w in rng.integers(0, 5000, 150)]
+
+    def changed(places):
+        return " ".join(f"x{rng.integers(0, 1 << 40)}" if i in places else w for i, w in enumerate(base))
+
+    # Copies with one change (five of 146 shingles) are similar to each other and to those with one more; those with three elsewhere only to their like.
+    early, late = np.arange(5, 75, 7), np.arange(75, 145, 7)
+    texts = [changed({rng.choice(early)}) for _ in range(250)] + [changed({rng.choice(early), rng.choice(late)}) for _ in range(100)]
+    texts += [changed(set(rng.choice(late, 3, replace=False).tolist())) for _ in range(120)]
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    made = []
+    pairs = near_copies.pairs
+
+    def counted(met, classes, labelled):
+        found = pairs(met, classes, labelled)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_copies, "pairs", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(frame).collect()}
+    label = list(range(len(texts)))
+    for i, j in brute_similar(texts):
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    assert found == dict(enumerate(label)) and 20 < len(set(label)) <= 121
+    assert sum(made[1:]) < 8 * len(texts), made
+
+
+def test_bins_lose_no_similar_sets():
+    """Bins that differ are never more than the shingles that only one set has, for sets of one size and of several."""
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 40, 400, 5_000, 60_000):
+        a = rng.integers(0, 2**64, n, np.uint64)
+        for left in (n, n - n // 10, n - n // 5):
+            for more in (0, n // 20, n // 9):
+                x, y = np.unique(a), np.unique(np.concatenate([a[:left], rng.integers(0, 2**64, more, np.uint64)]))
+                only, both = len(np.setxor1d(x, y)), len(np.intersect1d(x, y))
+                for f in (near_copies.bins, near_copies.wide_bins):
+                    p, q = f(x), f(y)
+                    if len(p) == len(q):
+                        assert near_copies.apart(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")) <= only
+                    assert bool(near_copies.close(only, len(x), len(y))) == near_copies.similar(both, len(x), len(y))
+                    assert near_copies.may_be_similar(p, q, len(x), len(y)) or not near_copies.similar(both, len(x), len(y))
+
+
 def test_near_copies_come_through_pivots(spark, monkeypatch):
     """Without the prefix filter, fingerprints within the radius link where the sets are similar, and only there."""
     monkeypatch.setattr(near_copies, "pairs", lambda met, classes, labelled: spark.createDataFrame([], "u long, v long"))
