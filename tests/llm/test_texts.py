@@ -456,6 +456,43 @@ def test_pivot_cells_hold_every_link_once():
         assert len(met) < 1.3 * 480_000 * share**n + 1_200
 
 
+def test_part_cells_hold_every_link():
+    """Fingerprints within the radius share one of radius + 1 cells; hardly any others do."""
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**64, 500, np.uint64)
+    for radius in (0, 1, 2, 3):
+        b = a.copy()
+        for _ in range(radius):
+            b ^= np.uint64(1) << rng.integers(0, 64, len(b), np.uint64)
+        sides = [simhash.part_cells(fps, simhash.pivot_values(simhash.PART_PIVOTS), radius) for fps in (a, b)]
+        assert all(len(row) == (radius + 1) * len(a) and not ways.any() for _, ways, row in sides)
+        keys = [[set(key[row == i].tolist()) for i in range(len(a))] for key, _, row in sides]
+        assert all(x & y for x, y in zip(*keys, strict=True))
+        assert sum(bool(x & y) for i, x in enumerate(keys[0]) for y in keys[1][:i]) < 50
+
+
+def test_pivot_rows_grow_with_the_classes(spark, monkeypatch):
+    """The near-copy step makes three pivot rows for a fingerprint, of few fingerprints and of many, and finds the links that brute force finds."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", 20)
+    written, rows = simhash.written, []
+
+    def counted(df, name):
+        found = written(df, name)
+        rows.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "written", counted)
+    rng = np.random.default_rng(6)
+    for n in (100, 800):
+        fps = rng.integers(0, 2**62, n).tolist()
+        fps = sorted({*fps, *(f ^ 1 << int(rng.integers(0, 62)) ^ 1 << int(rng.integers(0, 62)) for f in fps[::4]), *(f ^ 1 for f in fps[::10])})
+        classes = spark.createDataFrame([(i, f, 100) for i, f in enumerate(fps)], "name long, fp long, n int")
+        found = {r.node: r.component for r in simhash.components(near_copies.pivot_pairs(classes)).collect()}
+        labels = [found.get(i, i) for i in range(len(fps))]
+        assert labels == brute_components(list(enumerate(fps))) and len(found) > n // 4
+        assert rows.pop() == 3 * len(fps)
+
+
 @pytest.mark.parametrize("block", [8, 8192])
 def test_links_of_dense_fingerprints(spark, monkeypatch, block):
     """Chains and dense clusters, also with cells dealt out in blocks."""

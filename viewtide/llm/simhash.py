@@ -13,7 +13,8 @@ at most, and the table is used three times for it:
 
 How many pivots make the cells follows from the number of classes, so a class meets about ``CELL_ROWS`` others; each further pivot
 leaves 56 % of them and adds 40 % of rows, so rows grow as the 1.6th power of the number of classes. Cells that a sample shows
-to be large are dealt out as pairs of blocks to several tasks. A task gives the edges of a spanning forest, never its pairs,
+to be large are dealt out as pairs of blocks to several tasks. Where rows must not grow faster than classes, cells are made of
+differences of distances instead (``part_cells``). A task gives the edges of a spanning forest, never its pairs,
 and pairs that are connected already are skipped. Components come from contracting the edges until none is left; nothing of
 that is held on the driver.
 
@@ -25,6 +26,7 @@ read whole, its hashes added up in parts.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,8 @@ SEED = 42
 RADIUS = 2
 #: Reference fingerprints in a table.
 PIVOTS = 24
+#: Pivots whose distances and those to their inversions in a part of the bits make ``part_cells``.
+PART_PIVOTS = 12
 #: Rows of a cell, about, and of a block of a cell that is dealt out; one row in SAMPLE is looked at for large cells.
 CELL_ROWS, BLOCK_ROWS, SAMPLE = 2_500, 8_192, 16
 #: The share of random pairs that one pivot's cells leave together, for RADIUS.
@@ -154,6 +158,24 @@ def cells(fps: np.ndarray, pivots: np.ndarray, radius: int) -> tuple[np.ndarray,
     return key, ways, row
 
 
+def part_cells(fps: np.ndarray, pivots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with radius + 1 cells for each fingerprint, however many pivots make them; no way is ever shared.
+
+    The bits are dealt out to radius + 1 parts, and each pivot has an inversion in each part. A bit outside a part changes the
+    distances to a pivot and to its inversion in the part alike, so their difference stays as it is. Fingerprints that link
+    differ in radius parts at most, so there is a part for which all differences are equal, and they share its cell.
+    """
+    table, place = pivot_table(fps, pivots).astype(np.int64), np.arange(64) % (radius + 1)
+    keys = []
+    for part in range(radius + 1):
+        inverted = np.bitwise_or.reduce(np.uint64(1) << np.flatnonzero(place == part).astype(np.uint64))
+        differences = table - pivot_table(fps, pivots ^ inverted) + 64
+        names = np.array([[hash_of(part * len(pivots) + j, d) for d in range(129)] for j in range(len(pivots))], np.uint64)
+        keys.append(np.bitwise_xor.reduce(names[np.arange(len(pivots)), differences], axis=1))
+    return np.concatenate(keys), np.zeros((radius + 1) * len(fps), np.int64), np.tile(np.arange(len(fps)), radius + 1)
+
+
+@functools.cache
 def hash_of(pivot: int, cell: int) -> int:
     from xxhash import xxh64_intdigest
 
@@ -193,7 +215,7 @@ def links_within(cell: np.ndarray, fps: np.ndarray, ways: np.ndarray, own: np.nd
     return np.concatenate([np.zeros((0, 2), np.int64), *forest.edges])
 
 
-def celled(classes: DataFrame, n_cell: int, radius: int, n_pivots: int) -> DataFrame:
+def celled(classes: DataFrame, n_cell: int, radius: int, n_pivots: int, in_parts: bool = False) -> DataFrame:
     """classes (fp) -> key (of a cell), ways, fp: a row for each cell that a class lies in."""
     import pyarrow as pa
 
@@ -203,20 +225,20 @@ def celled(classes: DataFrame, n_cell: int, radius: int, n_pivots: int) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 fps = batch.column(0).slice(at, 1000).to_numpy(zero_copy_only=False)
-                key, ways, row = cells(fps.view(np.uint64), pivots, radius)
+                key, ways, row = (part_cells if in_parts else cells)(fps.view(np.uint64), pivots, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ways), pa.array(fps[row])], ["key", "ways", "fp"])
 
     return classes.select("fp").mapInArrow(run, "key long, ways long, fp long")
 
 
-def class_edges(classes: DataFrame, radius: int = RADIUS, n_pivots: int = PIVOTS) -> DataFrame:
-    """classes (fp, each once) -> (u, v) edges between fingerprints that link, fewer than rows in each cell."""
+def class_edges(classes: DataFrame, radius: int = RADIUS, n_pivots: int = PIVOTS, in_parts: bool = False) -> DataFrame:
+    """classes (fp, each once) -> (u, v) edges between fingerprints that link, fewer than rows in each cell. in_parts: radius + 1 rows for each class (part_cells)."""
     import pyarrow as pa
 
-    n_cell = cell_pivots(classes.count())
+    n_cell = PART_PIVOTS if in_parts else cell_pivots(classes.count())
     # The cells' own pivots tell rows of a cell apart least, so they come last.
     pivots = np.roll(pivot_values(max(n_pivots, n_cell + 1)), -n_cell)
-    rows = written(celled(classes, n_cell, radius, n_pivots), "pivot-cells")
+    rows = written(celled(classes, n_cell, radius, n_pivots, in_parts), "pivot-cells")
     sampled = rows.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).groupBy("key").count()
     large = cut(sampled.where(F.col("count") * SAMPLE > BLOCK_ROWS).select("key", F.ceil(F.col("count") * SAMPLE / BLOCK_ROWS).cast("int").alias("blocks")))
     # Block i meets block j in task (min, max); a cell of one block is its own task.
