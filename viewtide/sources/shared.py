@@ -26,9 +26,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Runs df once and goes on from its rows in the shared folder."""
+    """Runs df once and goes on from its rows in the shared folder.
+
+    A checkpoint hands on what holds of its rows (constraints). Where a plan has the same checkpoint twice, Spark 4.1 names one's
+    columns anew but not always in its constraints, and a union of the two fails. So they are left out; sizes are kept.
+    """
     shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    jdf = df.checkpoint(eager=True)._jdf
+    session, rows, jvm = jdf.sparkSession(), jdf.queryExecution().analyzed(), df.sparkSession.sparkContext._jvm
+    size, nothing = jvm.scala.Some(rows.computeStats()), jvm.scala.Option.empty()
+    plain = rows.copy(rows.output(), rows.rdd(), rows.outputPartitioning(), rows.outputOrdering(), rows.isStreaming(), rows.stream(), session, size, nothing)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plain), df.sparkSession)
 
 
 class Folder:
