@@ -13,6 +13,7 @@ from viewtide.operators.predicates import condition
 from viewtide.plans.planner import plan_query
 from viewtide.plans.query import Query, c, q
 from viewtide.sources import keys
+from viewtide.sources.shared import cut
 
 #: Cells and literals are drawn from letters that fold, wildcards, a backslash and characters beyond ASCII.
 LETTERS = random.Random(77)
@@ -131,3 +132,28 @@ def test_sets_beyond_the_driver_equal_duckdb(spark, monkeypatch, name):
     monkeypatch.setattr(keys, "SMALL", 3)
     monkeypatch.setattr(keys.settled, "__defaults__", (3,))
     test_registered_queries_equal_duckdb(spark, name)
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far wrote to shuffles."""
+    context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("folders", [5, 100])
+def test_rows_without_a_parent_are_not_shuffled(spark, monkeypatch, folders):
+    """An include of a large table shuffles the rows that its level may have, and not the table."""
+    monkeypatch.setattr(keys, "SMALL", 10)
+    rows = [*(item(f"f{i}", type="GROUP") for i in range(folders)), *(item(f"d{i}", groupId=f"f{i}") for i in range(10_000)), item("x")]
+    tables = {"item": cut(frame(spark, rows)), "organization": frame(spark, [{"id": "org_1", "name": "One"}], ORGANIZATION)}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_rows(spark)
+        found = level_rows(plan_query(SCHEMA, q("item").where(lambda c: c.eq("type", "GROUP")).include("documents").query), tables)[("documents",)]
+        assert sorted(r.id for r in found.select("id").collect()) == sorted(f"d{i}" for i in range(folders))
+        assert shuffled_rows(spark) - before < 2_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -12,6 +12,7 @@ from viewtide.functions.kinds import sort_keys
 from viewtide.operators.predicates import condition
 from viewtide.plans.planner import Level, Planned
 from viewtide.plans.schema import KEY, Schema, Table
+from viewtide.sources.keys import having
 from viewtide.sources.shared import cut
 
 Path = tuple[str, ...]
@@ -47,10 +48,8 @@ def root_rows(planned: Planned, tables: dict[str, DataFrame], members: DataFrame
 
 
 def related(level: Level, rows: DataFrame, parents: DataFrame) -> DataFrame:
-    """The rows that parents refer to by the level's relation, each once."""
-    names = [f"__f{i}" for i in range(len(level.relation.from_columns))]
-    keys = parents.select(*(F.col(c).alias(n) for c, n in zip(level.relation.from_columns, names, strict=True)))
-    return rows.join(keys, [rows[t] == keys[n] for t, n in zip(level.relation.to_columns, names, strict=True)], "left_semi")
+    """The rows that parents refer to by the level's relation, each once. parents should be cut."""
+    return having(rows, level.relation.to_columns, parents.select(*level.relation.from_columns))
 
 
 def level_rows(planned: Planned, tables: dict[str, DataFrame], root: DataFrame | None = None) -> dict[Path, DataFrame]:
@@ -58,15 +57,19 @@ def level_rows(planned: Planned, tables: dict[str, DataFrame], root: DataFrame |
     root = root_rows(planned, tables) if root is None else root
     if planned.limit is not None and planned.levels:
         root = cut(root)
-    found: dict[Path, DataFrame] = {(): root}
-    refers: dict[Path, DataFrame] = {(): root}
-    for level in planned.levels:
-        rows = filtered(planned.schema, level.target, level.where, tables)
-        found[level.path] = related(level, rows, refers[level.above])
-        below = sorted({c for lv in planned.levels if lv.above == level.path for c in lv.relation.from_columns})
+    found: dict[Path, DataFrame] = {}
+    refers: dict[Path, DataFrame] = {}
+
+    def take(path: Path, rows: DataFrame) -> None:
+        found[path] = rows
+        below = sorted({c for lv in planned.levels if lv.above == path for c in lv.relation.from_columns})
         if below:
             # What levels below need of this one is run once for all of them.
-            refers[level.path] = cut(found[level.path].select(*below).distinct())
+            refers[path] = cut(rows.select(*below).distinct())
+
+    take((), root)
+    for level in planned.levels:
+        take(level.path, related(level, filtered(planned.schema, level.target, level.where, tables), refers[level.above]))
     return found
 
 

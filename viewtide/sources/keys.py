@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from viewtide.sources.shared import cut
 SMALL = 10_000
 #: Keys that are looked up by a filter; ``push_filters`` lets files see as many.
 FILTER = 1_000
+#: A filter of values: values to a block of 64 bits, bits set for each value, blocks at most (some 40 bytes each where they are broadcast).
+BLOCK_VALUES, SET_BITS, BLOCKS = 8, 3, 1 << 19
 KEYS = T.StructType([T.StructField(KEY, T.StringType())])
 
 
@@ -100,3 +102,32 @@ class KeySet:
 
 def union(spark: SparkSession, sets: list[KeySet]) -> KeySet:
     return reduce(KeySet.__or__, sets, KeySet.none(spark))
+
+
+def _places(columns: list[Column], blocks: int) -> tuple[Column, Column]:
+    """The block of a row's values in a filter, and their bits there."""
+    bits, one = F.xxhash64(*columns, F.lit("bits")), F.lit(1).cast("long")
+    places = [F.shiftrightunsigned(bits, 6 * i).bitwiseAND(63).cast("int") for i in range(SET_BITS)]
+    return F.pmod(F.xxhash64(*columns), F.lit(blocks)), reduce(Column.bitwiseOR, (F.call_function("shiftleft", one, p) for p in places))
+
+
+def having(rows: DataFrame, columns: tuple[str, ...], values: DataFrame) -> DataFrame:
+    """The rows whose columns have the values of one of values' rows (columns by position). values are run more than once: they should be cut.
+
+    Few values are broadcast. Of many, a Bloom filter in blocks is, of a bounded number, so that rows without a match, but few,
+    are dropped where they are read; a join by shuffle decides about the others.
+    """
+    names = [f"__f{i}" for i in range(len(columns))]
+    values = values.toDF(*names)
+    on = lambda: [rows[c] == values[n] for c, n in zip(columns, names, strict=True)]
+    few = values.distinct()
+    if few.limit(SMALL + 1).count() <= SMALL:
+        values = F.broadcast(few)
+        return rows.join(values, on(), "left_semi")
+    if all(rows.schema[c].dataType == values.schema[n].dataType for c, n in zip(columns, names, strict=True)):
+        blocks = max(1, min(BLOCKS, values.count() // BLOCK_VALUES))
+        block, bits = _places([F.col(n) for n in names], blocks)
+        filled = values.select(block.alias("__block"), bits.alias("__bits")).groupBy("__block").agg(F.bit_or("__bits").alias("__bits"))
+        block, bits = _places([rows[c] for c in columns], blocks)
+        rows = rows.join(F.broadcast(filled), (block == filled["__block"]) & (filled["__bits"].bitwiseAND(bits) == bits), "left_semi")
+    return rows.join(values, on(), "left_semi")
