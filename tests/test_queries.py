@@ -126,7 +126,7 @@ def test_registered_queries_equal_duckdb(spark, name):
     assert (columns, found) == sql_rows(con, registry.SQL[name])
 
 
-@pytest.mark.parametrize("name", ["engine_delta", "replica_follows", "row_updates", "sent_images", "include_in_key_order"])
+@pytest.mark.parametrize("name", ["engine_delta", "replica_follows", "row_updates", "sent_images", "include_in_key_order", "include_of_many_to_one"])
 def test_sets_beyond_the_driver_equal_duckdb(spark, monkeypatch, name):
     """Sets of a few keys are held in the shared folder, as large ones are; a union of two of these failed."""
     monkeypatch.setattr(keys, "SMALL", 3)
